@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import sentencepiece
+from archgraph.llm import chat, piecewise, sentencepiece
 from archgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,7 +17,45 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: Two turns whose texts hold control strings of the template.
+CONTROL_TURNS = r"""SELECT conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
+    FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)"""
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
+    return chat.digests(chat.format_conversations(rows))
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\b'), '</turn>', '\l/turn>'), '### ', '\h## ')) AS body,
+    CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+      ELSE 2 + length(replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\l/turn>'), '### ', '\h## '), ':', '\c')) END AS shown,
+    lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) || '>' || role AS move
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + shown + 2 + body + 8)::BIGINT AS formatted_chars,
+  bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid,
+  bool_and(move IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AND arg_max(role, struct_pack(a := turn, b := role, c := text)) = 'assistant' AS complete
+FROM e GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_chat": op3_chat,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
