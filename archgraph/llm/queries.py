@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import chat, piecewise, sentencepiece
+from archgraph.llm import chat, covering, piecewise, sentencepiece
 from archgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,9 +53,14 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
