@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import chat, covering, piecewise, sentencepiece
+from archgraph.llm import chat, covering, lempelziv, piecewise, sentencepiece
 from archgraph.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,6 +53,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempelziv.deduplicate(table(spark, sf_dir, "documents"), digest=True).drop("spans")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
+    "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
