@@ -144,3 +144,36 @@ def phrase(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, length) -> np
     """The hash of the words start .. start + length - 1."""
     total, down = sums
     return mixed((total[start + length] - total[start]) * down[start] + np.asarray(length, dtype=np.uint64))
+
+
+def appended(df: DataFrame, text: str, fields: dict[str, str], start, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns `sources` (all, if not given) and those of `fields` (name: type), which a function makes from the text column.
+
+    `start` is called once in each task and gives that function: Arrow column in, list of Arrow arrays out.
+    A name in `fields` that the frame has already is an error, so nothing is overwritten silently.
+    """
+    sources = tuple(df.columns) if sources is None else sources
+    if clash := set(sources) & set(fields):
+        raise ValueError(f"output names that the input has: {sorted(clash)}")
+    held = df.select(*[F.col(f"`{c}`") for c in sources], F.col(f"`{text}`").alias("__text__"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema[:-1]] + [f"`{n}` {t}" for n, t in fields.items()])
+
+    def run(batches):
+        of = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *of(batch.columns[-1])], names=[*sources, *fields])
+
+    return held.mapInArrow(run, schema)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text and quality of at most `rows` labelled documents that are not held out, those of least hash."""
+    chosen = (
+        labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
+        .filter(~held_out())
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .agg(F.min(F.col("quality").cast("int")).alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import chat, covering, lempelziv, piecewise, sentencepiece
-from archgraph.llm.common import table
+from archgraph.llm import chat, covering, language, lempelziv, piecewise, sentencepiece
+from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -53,6 +53,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), language.dictionaries(docs), keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.deduplicate(table(spark, sf_dir, "documents"), digest=True).drop("spans")
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
+    "op7_language": op7_language,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
 }
