@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import chat, covering, language, lempelziv, piecewise, sentencepiece
+from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, piecewise, sentencepiece
 from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,6 +53,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = boosting.fitted(docs, table(spark, sf_dir, "labels"))
+    scored = boosting.score(docs.select("doc_id", held_out().alias("held_out"), "text"), trees, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", boosting.predicted())
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), language.dictionaries(docs), keep=("doc_id", "held_out"))
@@ -67,12 +74,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = linechain.fitted(docs, table(spark, sf_dir, "labels"))
+    return linechain.judge(docs.select("doc_id", "text"), field, keep=("doc_id",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
     "op7_language": op7_language,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
+    "op10_rules": op10_rules,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
