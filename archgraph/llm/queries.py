@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, piecewise, sentencepiece
+from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, packing, piecewise, sentencepiece, warc
 from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,6 +60,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", boosting.predicted())
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("complete")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS chosen, unhex(sha1(html)) AS h FROM p),
+n AS (SELECT *, list_transform(range(4), lambda k: list_transform(range(8), lambda i: 1 + ((('0x' || substring(hex(h), 10 * k + 1, 10))::BIGINT >> (35 - 5 * i)) & 31))) AS places FROM d)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(flatten(places), lambda x: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chosen THEN chosen END AS refers_to
+FROM n
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), language.dictionaries(docs), keep=("doc_id", "held_out"))
@@ -85,9 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op7_language": op7_language,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL}
