@@ -18,7 +18,7 @@ CONFIG_NAMES = r"application\.(ya?ml|properties)$"
 
 def text_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, text) of all files below a folder whose names match."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
