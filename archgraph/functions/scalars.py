@@ -279,3 +279,10 @@ def glob_matches(path: Text, pattern: str) -> Column:
 
 def either(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def field_value(fields: Column, name: Text) -> Column:
+    """A constant from a map of qualified or plain field names: the name itself, else the least key that ends with `.name`."""
+    suffix = F.concat(F.lit("."), _c(name))
+    hits = F.array_sort(F.filter(F.map_keys(fields), lambda k: k.endswith(suffix)))
+    return F.coalesce(F.try_element_at(fields, _c(name)), F.try_element_at(fields, F.try_element_at(hits, F.lit(1))))

@@ -41,3 +41,30 @@ def application_report(applications: DataFrame, nodes: DataFrame) -> DataFrame:
     inner = nodes.filter("owner IS NOT NULL").groupBy("app_key", "owner").agg(F.count(F.when(F.col("type") == "Endpoint", 1)).alias("endpoints"), F.count(F.when(F.col("type") == "Method", 1)).alias("methods"), F.count(F.when(F.col("type") == "Repository", 1)).alias("repositories"))
     listed = inner.groupBy("app_key").agg(F.array_sort(F.collect_list(F.struct("owner", "endpoints", "methods", "repositories"))).alias("services"))
     return applications.select("app_key", "label").join(listed, "app_key", "left")
+
+
+def topic_graph(producers: DataFrame, consumers: DataFrame) -> DataFrame:
+    """Edges between topics and their two sides: (src, dst, type). producers (id, topic), consumers (id, topic)."""
+    a = producers.select(F.col("id").alias("src"), F.concat(F.lit("topic:"), F.col("topic")).alias("dst"), F.lit("PRODUCES_TO").alias("type"))
+    b = consumers.select(F.concat(F.lit("topic:"), F.col("topic")).alias("src"), F.col("id").alias("dst"), F.lit("CONSUMED_BY").alias("type"))
+    return a.union(b).distinct()
+
+
+def access_graph(repositories: DataFrame, accesses: DataFrame, first_only: bool = False) -> DataFrame:
+    """(repository, table): every repository, with each of its tables or the least one; null without any."""
+    found = accesses.select(F.col("src").alias("repository"), F.col("dst").alias("table")).distinct()
+    if first_only:
+        found = found.groupBy("repository").agg(F.min("table").alias("table"))
+    return repositories.select(F.col("id").alias("repository")).join(found, "repository", "left")
+
+
+def numbered_context(hits: DataFrame, text: str = "text") -> DataFrame:
+    """One row with the hits' texts as numbered blocks that keep their rank, or an answer that nothing was found."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("t"))))
+    blocks = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), r["rank"].cast("string"), F.lit("] "), r["t"])), "\n\n")
+    return hits.agg(F.count("*").alias("n"), blocks.alias("context")).select("n", F.when(F.col("n") == 0, "Nothing relevant was found.").otherwise(F.col("context")).alias("context"))
+
+
+def prompt(question: Column, context: Column) -> Column:
+    """The text for a language model; calling one is left to the caller."""
+    return F.concat(F.lit("Answer from the context only.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question)

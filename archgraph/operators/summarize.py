@@ -66,3 +66,13 @@ def deduplicated(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in a stated order; rows without the key go."""
     rest = [c for c in df.columns if c != key]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("v")).select(key, *[F.col(f"v.{c}") for c in rest])
+
+
+def sides_per_application(links: DataFrame, app_of: DataFrame) -> DataFrame:
+    """(app_key, producers, consumers): distinct producers and the number of consumer links of each application. links (id, topic, side)."""
+    per = links.groupBy("id").agg(F.max((F.col("side") == "producer").cast("int")).alias("p"), F.count(F.when(F.col("side") == "consumer", 1)).alias("c"))
+    return per.join(app_of.select("id", "app_key"), "id").groupBy("app_key").agg(F.sum("p").cast("bigint").alias("producers"), F.sum("c").cast("bigint").alias("consumers"))
+
+
+def scores(df: DataFrame, by: str, score: str = "score") -> DataFrame:
+    return df.groupBy(by).agg(F.max(score).alias("most"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.count("*").alias("n"))

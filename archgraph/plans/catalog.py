@@ -717,3 +717,58 @@ def webhook_events(spark, d):
     body = F.to_json(F.struct(action.alias("action"), F.col("user_id").alias("number")))
     form = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("payload="), F.url_encode(body))).otherwise(body)
     return webhooks.parsed(views.table(spark, d, "events").select("event_id", form.alias("body"))).select("event_id", "action", "pr_number", "todo")
+
+
+# -- displays ----------------------------------------------------------------------------------------------------------
+
+
+@query("WITH k AS (SELECT DISTINCT 'u:' || user_id AS id, event_type AS topic, user_id % 2 AS odd FROM events) SELECT id AS src, 'topic:' || topic AS dst, 'PRODUCES_TO' AS type FROM k WHERE odd = 0 UNION ALL SELECT 'topic:' || topic, id, 'CONSUMED_BY' FROM k WHERE odd = 1")
+def topic_graph(spark, d):
+    rows = views.table(spark, d, "events").select(views.key("u", "user_id").alias("id"), F.col("event_type").alias("topic"), (F.col("user_id") % 2).alias("odd"))
+    return render.topic_graph(rows.filter("odd = 0"), rows.filter("odd = 1"))
+
+
+@query("SELECT 's:' || s_suppkey AS repository, (SELECT min('p:' || l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS \"table\" FROM supplier")
+def access_graph(spark, d):
+    return render.access_graph(views.nodes(spark, d, ("Repository",)), views.edges(spark, d, ("ACCESSES",)), first_only=True)
+
+
+@query("SELECT app_key, count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS producers, count(*) FILTER (user_id % 2 = 1) AS consumers FROM events JOIN customer ON c_custkey = user_id JOIN nodes ON id = 'c:' || c_custkey GROUP BY 1", graph=True)
+def topic_sides_per_app(spark, d):
+    links_ = views.table(spark, d, "events").select(views.key("c", "user_id").alias("id"), F.col("event_type").alias("topic"), F.when(F.col("user_id") % 2 == 0, "producer").otherwise("consumer").alias("side"))
+    return summarize.sides_per_application(links_, views.nodes(spark, d, ("Endpoint",)))
+
+
+@query(f"WITH {VECTOR_SQL} SELECT label, round(max(score), 6) AS most, round(min(score), 6) AS least, round(avg(score), 6) AS mean, count(*) AS n FROM s GROUP BY label")
+def score_distribution(spark, d):
+    constant = F.array(*[F.lit(x) for x in query_vector(spark, d)])
+    found = summarize.scores(views.table(spark, d, "embeddings").select("label", chunks.cosine(F.col("embedding"), constant).alias("score")), "label")
+    return found.select("label", *[F.round(c, 6).alias(c) for c in ("most", "least", "mean")], "n")
+
+
+@query(f"""WITH {URL_SQL}, {ENDPOINTS_SQL}, c AS (SELECT page_id, path AS url, CASE WHEN page_id % 3 < 2 THEN path END AS target, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, list_filter(string_split(path, '/'), lambda x: x <> '')[-1] AS last FROM u WHERE path <> ''),
+  h AS (SELECT page_id, endpoint_id, CASE WHEN verb = 'GET' THEN 0 ELSE 1 END AS rule FROM c JOIN ends ON ends.path = c.target UNION ALL SELECT page_id, endpoint_id, 2 FROM c JOIN ends ON list_contains(string_split(ends.path, '/'), last) WHERE last <> '' AND NOT contains(last, '{{'))
+  SELECT page_id, endpoint_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rule, endpoint_id) AS k FROM h) WHERE k = 1""")
+def displayed_targets(spark, d):
+    urls = normalize_url(spark, d).filter("path <> ''")
+    verb = F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST")
+    calls = urls.select(F.col("page_id").alias("call_id"), verb.alias("verb"), F.when(F.col("page_id") % 3 < 2, F.col("path")).alias("target_path"), F.col("path").alias("url"))
+    return resolve.displayed_target(calls, endpoints(spark, d).withColumn("verb", F.lit("get"))).select(F.col("call_id").alias("page_id"), "endpoint_id", "rule")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'plain' ELSE s_name END AS value FROM supplier")
+def field_constants(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    fields = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.concat(F.lit("A.f"), k), F.col("s_name"), F.concat(F.lit("f"), k), F.lit("plain"))).otherwise(F.create_map(F.concat(F.lit("A.f"), k), F.col("s_name"), F.concat(F.lit("B.f"), k), F.lit("later")))
+    return views.table(spark, d, "supplier").select("s_suppkey", scalars.field_value(fields, F.concat(F.lit("f"), k)).alias("value"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 AND contains(lower(c_name), '#00')")
+def project_search(spark, d):
+    rows = views.table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("user_id"), (F.col("c_acctbal") < 0).alias("archived"))
+    return store.find_projects(rows, "BUILDING", True, "#00").select("c_custkey", F.col("name").alias("c_name"))
+
+
+@query("SELECT config_type, count(*) AS n FROM (VALUES ('MAPPING_ANNOTATIONS', 6), ('REST_TEMPLATE_METHODS', 7), ('WEBCLIENT_HTTP_METHODS', 6), ('KAFKA_PRODUCER_METHODS', 2), ('KAFKA_PRODUCER_TYPES', 1), ('HTTP_URL_CONNECTION_METHODS', 5), ('REPOSITORY_WRITE_METHODS', 13), ('REPOSITORY_READ_METHODS', 8), ('ALLOWED_ANALYSIS_PACKAGES', 1)) AS t(config_type, k), range(k) GROUP BY 1")
+def rule_tables(spark, d):
+    return rules.rule_table(spark, {"KAFKA_PRODUCER_TYPES": ("KafkaTemplate",)}).groupBy("config_type").agg(F.count("*").alias("n"))

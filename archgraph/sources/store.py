@@ -59,3 +59,10 @@ def checked_vectors(df: DataFrame, dimensions: int) -> DataFrame:
     """Vectors of the wrong length raise while the job runs."""
     wrong = F.size("embedding") != dimensions
     return df.withColumn("embedding", F.when(~wrong, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("vector length "), F.size("embedding").cast("string")))))
+
+
+def find_projects(projects: DataFrame, user: str | None = None, archived: bool | None = None, name: str | None = None, url: str | None = None) -> DataFrame:
+    """Projects by owner, archive flag, part of a name in any case, and repository URL; what is not given doesn't count."""
+    for wanted, test in ((user, F.col("user_id") == user), (archived, F.col("archived") == archived), (name, F.lower("name").contains((name or "").lower())), (url, F.array_contains("github_urls", url or ""))):
+        projects = projects if wanted is None else projects.filter(test)
+    return projects
