@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,17 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     folder = shared_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that functions in it can be imported there."""
+    context = spark.sparkContext
+    if getattr(context, "_archgraph_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="archgraph-package-")) / "archgraph.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._archgraph_shipped = True
