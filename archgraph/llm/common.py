@@ -8,8 +8,6 @@ document, not the batch.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archgraph.sources.shared import dropped, shared_folder, written
+
+__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "mixed", "phrase", "shared_folder", "table", "text_chunks", "written"]
+
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 1 << 19
 #: The words of every contract here are runs of bytes other than these six.
@@ -36,32 +38,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT_MOD == HELD_OUT_REMAINDER
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; where none is set (tests), below one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="archgraph-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/archgraph-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The frame written as a table in the shared folder and read back: lineage ends there and no executor holds it."""
-    folder = folder or shared_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the folders of a frame made by `written` that nothing will read any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/archgraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for runs of rows of about CHUNK_BYTES; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
