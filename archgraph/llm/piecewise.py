@@ -100,29 +100,33 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 def by_neighbours(df: DataFrame, fn: Callable[[str, str], tuple], schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """fn(text, next text) for every row, the next one in ascending doc_id, after the last the first.
 
-    Rows are dealt into ranges at quantiles of the ids; each bound is an id that occurs, so the first row of a range is
-    known beforehand and is sent to the range before it as well. That moves every text once and no range needs another.
+    Rows are dealt into ranges of ids; the least id of each range is found first, and its row is sent to the range before
+    it as well. That moves every text once and no range needs another. The driver gets one id for each range.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(doc_id), F.lit(FIRST)).cast("bigint").alias("at"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("at")
-    least = ids.agg(F.min("at")).first()[0]
-    # The sketch works on doubles: a bound counts as one only where it is an exact id.
-    bounds = sorted({int(x) for x in ids.filter(F.col("at") > FIRST).select(F.col("at").cast("double").alias("q")).approxQuantile("q", [i / parts for i in range(1, parts)], 0.2 / parts)} if least is not None else ())
-    bounds = sorted(r[0] for r in ids.filter(F.col("at").isin(bounds) & (F.col("at") > least)).distinct().collect()) if bounds else []
-    edges = np.array(bounds, np.int64)
+    cuts = ids.select(F.col("at").cast("double").alias("q")).approxQuantile("q", [i / parts for i in range(1, parts)], 0.2 / parts)
+    edges = np.array(sorted({int(x) for x in cuts if x > FIRST}), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, at.to_numpy(np.int64), "right").astype(np.int32))
+
+    firsts = sorted((r[0], r[1]) for r in ids.groupBy(range_of("at").alias("r")).agg(F.min("at")).collect())
+    first_of = {r: at for r, at in firsts}
+    before = {firsts[k][0]: firsts[k - 1][0] for k in range(len(firsts))}  # before the first range comes the last
 
     @F.pandas_udf("array<int>")
-    def ranges(at: pd.Series) -> pd.Series:
-        """2 * range for a row's own range; 2 * range + 1 where it is only looked at."""
+    def targets(at: pd.Series) -> pd.Series:
+        """2 * range for a row's own range; 2 * range + 1 for the range before, where the row is only looked at."""
         values = at.to_numpy(np.int64)
-        own = np.searchsorted(edges, values, "right")
-        starts = np.isin(values, edges)
-        return pd.Series([[2 * r] + [2 * r - 1] * bool(s) + [2 * len(edges) + 1] * (v == least) for r, s, v in zip(own.tolist(), starts.tolist(), values.tolist())])
+        own = np.searchsorted(edges, values, "right").tolist()
+        return pd.Series([[2 * r, 2 * before[r] + 1] if first_of[r] == v else [2 * r] for r, v in zip(own, values.tolist())])
 
     dealt = (
-        rows.select("at", "doc_id", "text", F.explode(ranges("at")).alias("to"))
+        rows.select("at", "doc_id", "text", F.explode(targets("at")).alias("to"))
         .withColumn("part", F.shiftright("to", 1))
         .repartition(parts, "part")
         .sortWithinPartitions("part", "to", "at", "text")
