@@ -89,6 +89,18 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.deduplicate(table(spark, sf_dir, "documents"), digest=True).drop("spans")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (s) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM hit, range(50) AS r(k)),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
