@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import chunks, cycles, diff, impact, pattern, render, resolve, summarize, traverse
+from archgraph.operators import build, chunks, cycles, diff, impact, pattern, render, resolve, summarize, traverse
 from archgraph.sources import driver_views as views
 from archgraph.sources import store
 from archgraph.streaming import webhooks
@@ -772,3 +772,67 @@ def project_search(spark, d):
 @query("SELECT config_type, count(*) AS n FROM (VALUES ('MAPPING_ANNOTATIONS', 6), ('REST_TEMPLATE_METHODS', 7), ('WEBCLIENT_HTTP_METHODS', 6), ('KAFKA_PRODUCER_METHODS', 2), ('KAFKA_PRODUCER_TYPES', 1), ('HTTP_URL_CONNECTION_METHODS', 5), ('REPOSITORY_WRITE_METHODS', 13), ('REPOSITORY_READ_METHODS', 8), ('ALLOWED_ANALYSIS_PACKAGES', 1)) AS t(config_type, k), range(k) GROUP BY 1")
 def rule_tables(spark, d):
     return rules.rule_table(spark, {"KAFKA_PRODUCER_TYPES": ("KafkaTemplate",)}).groupBy("config_type").agg(F.count("*").alias("n"))
+
+
+# -- construction ------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' WHEN 2 THEN 'Repository' WHEN 3 THEN 'Configuration' WHEN 4 THEN CASE WHEN p_partkey % 2 = 0 THEN 'KafkaListener' ELSE 'Component' END ELSE CASE WHEN p_partkey % 3 = 0 THEN 'Repository' WHEN p_partkey % 2 = 0 THEN 'KafkaListener' END END AS kind FROM part
+ WHERE p_size % 6 <> 5 OR p_partkey % 3 = 0 OR p_partkey % 2 = 0""")
+def component_classification(spark, d):
+    notes = F.array(*[F.array(F.lit(x)) for x in ("RestController", "Service", "Repository", "Configuration", "Component", "Data")])
+    interfaces = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("JpaRepository"))).otherwise(F.array(F.lit("Runnable")))
+    types = views.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("qualified_name"), F.element_at(notes, (F.col("p_size") % 6 + 1).cast("int")).alias("annotations"), interfaces.alias("interfaces"), (F.col("p_partkey") % 2 == 0).alias("has_listener"), F.lit(0).alias("ord"))
+    return build.classified(types).select(F.col("qualified_name").cast("bigint").alias("p_partkey"), "kind")
+
+
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 1000 AS t FROM lineitem), f AS (SELECT s_suppkey % 5 AS k, min(s_suppkey) AS first FROM supplier GROUP BY 1)
+ SELECT DISTINCT 'm:' || s AS caller, CASE WHEN t % 5 = t % 7 AND x.s_suppkey IS NOT NULL THEN 'm:' || t ELSE 'm:' || first END AS callee FROM i LEFT JOIN supplier x ON x.s_suppkey = t LEFT JOIN f ON f.k = t % 7 WHERE (t % 5 = t % 7 AND x.s_suppkey IS NOT NULL) OR first IS NOT NULL""")
+def call_resolution(spark, d):
+    s = views.table(spark, d, "supplier")
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    components = s.select(text("a.b.C", "s_suppkey").alias("qualified_name"), F.array().cast("array<string>").alias("interfaces"), F.col("s_suppkey").alias("ord"))
+    methods = s.select(text("m:", "s_suppkey").alias("method_id"), text("a.b.C", "s_suppkey").alias("component_id"), F.concat(F.lit("run"), (F.col("s_suppkey") % 5).cast("string")).alias("method_name"), F.lit(None).cast("string").alias("signature"), F.col("s_suppkey").alias("ord"))
+    injections = s.select(text("a.b.C", "s_suppkey").alias("component_id"), F.lit("unused").alias("field_name"), F.lit("Nothing").alias("declared"), F.lit(0).alias("ord"))
+    pairs = views.table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 1000).alias("t")).distinct()
+    calls = pairs.select(
+        F.concat_ws(":", "l_suppkey", "t").alias("invocation_id"), text("m:", "l_suppkey").alias("method_id"), text("a.b.C", "l_suppkey").alias("component_id"), F.lit(None).cast("string").alias("target_field"),
+        text("C", "t").alias("declared"), F.concat(F.lit("run"), (F.col("t") % 7).cast("string")).alias("method_name"), F.lit(False).alias("self_call"),
+    )
+    return build.resolved_calls(calls, methods, injections, components)
+
+
+@query("""SELECT event_id AS call, client, verb FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'RestTemplate' WHEN 1 THEN 'WebClient' WHEN 2 THEN 'HttpURLConnection' WHEN 3 THEN 'Feign' END AS client, CASE event_id % 5 WHEN 0 THEN 'PUT' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' WHEN 3 THEN 'GET' END AS verb FROM events) WHERE client IS NOT NULL""")
+def external_call_classification(spark, d):
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % 5 + 1).cast("int"))
+    calls = views.table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("method_id"), pick("org.springframework.RestTemplate", "WebClient", "java.net.HttpURLConnection", "OrderClient", "KafkaTemplate").alias("declared"),
+        pick("exchange", "post", "setRequestMethod", "fetch", "send").alias("method_name"), pick("HttpMethod.PUT", "x", "DELETE", "y", "topic").alias("argument"), F.lit("/u").alias("url"),
+    )
+    found = build.external_calls(calls, spark.sql("SELECT 'OrderClient' AS class_name"))
+    return found.select(F.col("method_id").cast("bigint").alias("call"), F.col("client_type").alias("client"), F.col("http_method").alias("verb"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 't_' || s_suppkey ELSE 'order_item' || s_suppkey END AS table_name, CASE s_suppkey % 3 WHEN 0 THEN 'READ' WHEN 1 THEN 'DELETE,WRITE' ELSE 'DELETE,READ,WRITE' END AS operations FROM supplier""")
+def repository_tables(spark, d):
+    s = views.table(spark, d, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    names = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("findAll"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("saveOne"), F.lit("removeAll"))).otherwise(F.array(F.lit("other")))
+    repositories = s.select(k.alias("component_id"), F.concat(F.lit("OrderItem"), k).alias("entity"), F.lit("JpaRepository").alias("extends_class"), names.alias("method_names"))
+    entities = s.select(F.concat(F.lit("a.b.OrderItem"), k).alias("qualified_name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("t_"), k)).alias("table_name"))
+    found = build.repository_tables(repositories, entities)
+    return found.select(F.col("component_id").cast("bigint").alias("s_suppkey"), "table_name", F.array_join("operations", ",").alias("operations"))
+
+
+@query("SELECT DISTINCT coalesce(nullif(CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END, ''), '<unknown>') AS name FROM events")
+def topic_nodes(spark, d):
+    return build.topics(views.table(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, "").otherwise(F.col("event_type")).alias("topic")))
+
+
+@query("SELECT p_partkey, p_brand || '.' || p_size AS app FROM part")
+def package_scoping(spark, d):
+    part = views.table(spark, d, "part")
+    base = F.concat_ws(".", "p_brand", F.col("p_size").cast("string"))
+    types = part.select("p_partkey", F.concat(base, F.lit("_inner")).alias("package_name"))
+    apps = part.select(F.concat(base, F.lit("_")).alias("base_package"), base.alias("app_key")).distinct()
+    return build.scoped(types, apps).select("p_partkey", F.col("app_key").alias("app"))
