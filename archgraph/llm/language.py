@@ -33,8 +33,12 @@ def dictionaries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     """One dictionary for each language of the training rows."""
     train = df.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     different = train.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    # Hashes are even: below a share of their range that follows from the count lie about twice the rows wanted, however large the table.
+    sizes = different.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE_DOCUMENTS / r["n"]))) for r in sizes], F.lit(0.0)) if sizes else F.lit(0.0)
+    near = different.filter(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = [(r[0], r[1]) for r in different.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "doc_id").collect()]
+    chosen = [(r[0], r[1]) for r in near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "doc_id").collect()]
     if len({x for x, _ in chosen}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     words = train.filter(F.col("doc_id").isin(sorted({i for _, i in chosen}))).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word <> ''")
