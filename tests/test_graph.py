@@ -158,3 +158,40 @@ def test_webhook_stream(spark, tmp_path):
     stream = webhooks.parsed(spark.readStream.schema("body string").parquet(str(bodies)))
     webhooks.run_available(stream, lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "check"))
     assert sorted(r["todo"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["build", "clean", "ignore"]
+
+
+def test_prompt_and_context(spark):
+    from archgraph.operators import render
+
+    hits = spark.createDataFrame([(2, "b"), (1, "a")], "rank int, text string")
+    assert tuple(render.numbered_context(hits).first()) == (2, "[1] a\n\n[2] b")
+    assert tuple(render.numbered_context(hits.limit(0)).first()) == (0, "Nothing relevant was found.")
+    assert "Question: q" in hits.select(render.prompt(F.lit("q"), F.col("text"))).first()[0]
+    assert spark.range(1).select(render.filled("{{A}}-{{B}}-{{C}}", {"A": F.lit(1), "B": F.lit(None)})).first()[0] == "1--{{C}}"
+
+
+def test_warnings_and_file_components(spark):
+    files = spark.createDataFrame([("m/src/main/java/a/UserService.java",), ("m/src/main/java/a/Odd.java",), ("README.md",)], "filename string")
+    mapped = impact.file_components(files, spark.createDataFrame([("UserService", "Service"), ("UserService", "Controller")], "class_name string, type string"))
+    assert {r["class_name"]: r["component_type"] for r in mapped.collect()} == {"UserService": "Controller", "Odd": "Other", "README": "Other"}
+    none = spark.range(0)
+    assert {(r["warning"], r["n"]) for r in impact.warnings(mapped, none, spark.range(2)).collect()} == {("not main Java", 1), ("unmapped", 1), ("new cycles", 2)}
+
+
+def test_patch_raises_versions(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, version int")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert sorted(map(tuple, store.patched(old, new, ["k"]).collect())) == [(1, "a", 1), (2, "c", 6)]
+
+
+def test_diff_ignores_row_order(spark, calls):
+    a = calls["before"]
+    assert diff.relation_diff(a, a.orderBy(F.desc("src")), ["src", "dst"]).count() == 0
+    found = {r["signature"] for r in cycles.service_cycles(calls["after"]).collect()}
+    assert found == {r["signature"] for r in cycles.service_cycles(calls["after"].orderBy(F.desc("dst"))).collect()}
+
+
+def test_database_access_ends_on_cycles(spark, calls):
+    accesses = spark.createDataFrame([("OrderRepo.save", "orders")], "src string, dst string")
+    assert [tuple(r) for r in traverse.accesses_reached(calls["before"], accesses, start(spark, "e1")).collect()] == [("OrderRepo.save", "orders")]
+    assert traverse.accesses_reached(calls["after"], accesses, start(spark, "e1")).count() == 0
