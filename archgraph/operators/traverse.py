@@ -18,7 +18,8 @@ def reach(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_depth:
     A start is in the result only if it lies on a cycle, or if `include_starts`.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    # Written once: the edges may be a plan of joins, and every round reads them.
+    links = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL"), "edges")
     frontier = starts.select("id").distinct()
     visited = written(frontier.withColumn("depth", F.lit(0))) if include_starts else None
     depth = 0
@@ -36,9 +37,12 @@ def reach(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_depth:
 
 
 def walks(edges: DataFrame, starts: DataFrame, max_depth: int, trail: bool = False, reverse: bool = False) -> DataFrame:
-    """(start, end, depth, path): all walks of 1 to max_depth edges, as arrays of node ids; `trail`: no edge twice."""
+    """(start, end, depth, path): all walks of 1 to max_depth edges, as arrays of node ids; `trail`: no edge twice.
+
+    Edges and steps are written, so each hop is one join and not one for every longer walk as well; an empty hop ends it.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    links = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "edges")
     step = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     out = None
     for _ in range(max_depth):
@@ -48,23 +52,28 @@ def walks(edges: DataFrame, starts: DataFrame, max_depth: int, trail: bool = Fal
             n = F.size("path")
             pairs = F.arrays_zip(F.slice("path", 1, n - 1).alias("x"), F.slice("path", 2, F.greatest(n - 1, F.lit(0))).alias("y"))
             nxt = nxt.filter(~F.exists(pairs, lambda p: (p["x"] == F.col("a")) & (p["y"] == F.col("b"))))
-        step = nxt.select("start", F.col("b").alias("end"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("b")).alias("path"))
+        step = written(nxt.select("start", F.col("b").alias("end"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("b")).alias("path")))
         out = step if out is None else out.unionByName(step)
+        if step.isEmpty():
+            break
     return out
 
 
 def closure_collect(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, reached): for each start the sorted distinct nodes within max_depth hops; starts without any are left out.
 
-    Pairs are made distinct after each hop, so the work follows the answer and not the number of paths.
+    Each hop takes only pairs that are new, so the work follows the answer and not the number of paths; no new pair ends it.
     """
-    links = edges.select("src", "dst").distinct()
-    step = starts.select(F.col("id").alias("start"), F.col("id").alias("end"))
-    out = None
-    for _ in range(max_depth):
-        step = step.join(links, step.end == links.src).select("start", F.col("dst").alias("end")).distinct()
-        out = step if out is None else out.unionByName(step)
-    return out.distinct().groupBy("start").agg(F.array_sort(F.collect_list("end")).alias("reached"))
+    links = written(edges.select("src", "dst").distinct(), "edges")
+    step = written(links.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("end")))
+    out = step
+    for _ in range(max_depth - 1):
+        new = step.join(links, step.end == links.src).select("start", F.col("dst").alias("end")).distinct()
+        step = written(new.join(out, ["start", "end"], "left_anti"))
+        if step.isEmpty():
+            break
+        out = out.unionByName(step)
+    return out.groupBy("start").agg(F.array_sort(F.collect_list("end")).alias("reached"))
 
 
 def call_tree(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
