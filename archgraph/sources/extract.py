@@ -73,20 +73,57 @@ def properties(files: DataFrame) -> DataFrame:
 TYPE = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:public\s+|final\s+|abstract\s+)*(class|interface|enum|record)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.<>, ]+?))?(?:\s+implements\s+([\w.<>, ]+?))?\s*\{")
 FIELD = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:private|protected|public)\s+(?:static\s+)?(final\s+)?([\w.<>]+)\s+(\w+)\s*(?:=[^;]*)?;")
 METHOD = re.compile(r"((?:@\w+(?:\((?:[^()]|\([^()]*\))*\))?\s*)*)(?:public|protected|private)\s+(?:static\s+)?([\w.<>\[\], ?]+?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws [\w., ]+)?\{")
-CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(\s*(\"[^\"]*\"|[\w.]+)?")
+CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(")
+ASSIGNED = re.compile(r"(?:String|var)\s+(\w+)\s*=\s*([^;]+);")
 ANNOTATION = re.compile(r"@(\w+)(?:\(([^)]*)\))?")
 STRUCT = pa.struct([("annotation", pa.string()), ("argument", pa.string())])
 JAVA = "path string, package_name string, kind string, owner string, name string, declared string, annotations array<struct<annotation: string, argument: string>>, extends_class string, interfaces array<string>, member string, argument string, ord int"
 KEYWORDS = {"if", "for", "while", "switch", "return", "new", "catch", "super", "this", "synchronized", "try"}
 
 
+DYNAMIC = "<dynamic>"
+
+
+def cut_outside(text: str, at: int, stops: str) -> int:
+    """Where the first of some signs stands at or after a place, outside quotes and brackets opened since; the end if nowhere."""
+    depth, quote = 0, ""
+    for i in range(at, len(text)):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote and text[i - 1] != "\\" else quote
+        elif c in "\"'":
+            quote = c
+        elif not depth and c in stops:
+            return i
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+    return len(text)
+
+
+def assembled(expression: str, known: dict[str, str]) -> str:
+    """The text that a Java expression makes: literals, constants and variables joined by `+`, String.format; what is computed is `<dynamic>`."""
+    e = expression.strip()
+    if m := re.match(r"String\.format\(\s*\"((?:[^\"\\]|\\.)*)\"", e):
+        return re.sub(r"%[-\d.]*[sd]", DYNAMIC, m[1])
+    out, at = [], 0
+    while at < len(e):
+        end = cut_outside(e, at, "+")
+        part = e[at:end].strip()
+        out.append(part[1:-1] if len(part) > 1 and part[0] == part[-1] == '"' else known.get(part.rpartition(".")[2], DYNAMIC))
+        at = end + 1
+    return "".join(out)
+
+
 def java_rows(path: str, text: str) -> Iterator[tuple]:
     """Types, fields, methods and invocations of a file, in order: rows of JAVA."""
-    text = re.sub(r"/\*.*?\*/|//[^\n]*", " ", text, flags=re.S)
+    text = re.sub(r'("(?:\\.|[^"\\\n])*")|/\*.*?\*/|//[^\n]*', lambda m: m[1] or " ", text, flags=re.S)  # comments, but not in strings
     package = (re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M) or [None, ""])[1]
     notes = lambda s: [{"annotation": a, "argument": b.strip().strip('"') if b else None} for a, b in ANNOTATION.findall(s or "")]
     names = lambda s: [re.sub(r"<.*", "", x).strip() for x in re.sub(r"<[^<>]*>", "", s or "").split(",") if x.strip()]
     owner = ""
+    constants = {m[4]: assembled(m[0].partition("=")[2].rstrip(";"), {}) for m in FIELD.finditer(text) if "=" in m[0]}
     for n, m in enumerate(TYPE.finditer(text)):
         owner = owner or m[3]
         yield path, package, "type", None, m[3], m[2], notes(m[1]), (m[4] or "").strip() or None, names(m[5]) + (names(m[4]) if m[2] == "interface" else []), None, None, n
@@ -100,9 +137,13 @@ def java_rows(path: str, text: str) -> Iterator[tuple]:
         while end < len(text) and depth:
             depth += {"{": 1, "}": -1}.get(text[end], 0)
             end += 1
+        known = dict(constants)
+        for a in ASSIGNED.finditer(text, m.end(), end):
+            known[a[1]] = assembled(a[2], known)
         for k, c in enumerate(CALL.finditer(text, m.end(), end)):
             if c[2] not in KEYWORDS:
-                yield path, package, "call", owner, m[3], c[1], [], None, [], c[2], (c[3] or "").strip('"') or None, 1000 * n + k
+                argument = text[c.end() : cut_outside(text, c.end(), ",)")].strip()
+                yield path, package, "call", owner, m[3], c[1], [], None, [], c[2], assembled(argument, known) if argument else None, 1000 * n + k
 
 
 def java_staging(files: DataFrame) -> DataFrame:

@@ -195,3 +195,13 @@ def test_database_access_ends_on_cycles(spark, calls):
     accesses = spark.createDataFrame([("OrderRepo.save", "orders")], "src string, dst string")
     assert [tuple(r) for r in traverse.accesses_reached(calls["before"], accesses, start(spark, "e1")).collect()] == [("OrderRepo.save", "orders")]
     assert traverse.accesses_reached(calls["after"], accesses, start(spark, "e1")).count() == 0
+
+
+def test_urls_are_assembled_from_literals_constants_and_variables():
+    java = """class C {
+  private static final String BASE = "http://h/api";
+  public void a(Long id) { String url = BASE + "/users/" + id; rest.getForObject(url, X.class); }
+  public void b() { rest.delete(String.format("/o/%s/i/%d", x(1, 2), y)); rest.put("/a,b(c)" + f("x+y"), 1); rest.get(); }
+}"""
+    got = [(r[9], r[10]) for r in extract.java_rows("C.java", java) if r[2] == "call" and r[5] == "rest"]
+    assert got == [("getForObject", "http://h/api/users/<dynamic>"), ("delete", "/o/<dynamic>/i/<dynamic>"), ("put", "/a,b(c)<dynamic>"), ("get", None)]
