@@ -9,7 +9,8 @@ bytes as Content-Length says. Continuations are grouped by origin, ordered by se
 length that the last one states is verified; the HTTP framing is decoded.
 
 Cases: a null payload is empty; payloads may hold any line ends and text that looks like a record; ties of equal payloads
-go to the largest id; a missing segment or a wrong total length marks the page `complete` = false; empty tables give no rows.
+go to the largest id; rows repeated in id and payload are one page, rows of one id and different payloads a record
+each; a page without an id is a response; a missing segment or a wrong total length marks the page `complete` = false; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record_id(page: int, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page/{page}/{segment}')}>"
+def record_id(page: int | None, digest: str, segment: int = 1) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page/{page}/{digest}/{segment}')}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -75,14 +76,14 @@ def records(page: int, url: str, payload: bytes, digest: str, refers_to: int | N
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page)), *common, content, profile, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", refers_to)], head)]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page, digest)), *common, content, profile, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", refers_to)], head)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
-    first = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(page)), *common, content, ("WARC-Payload-Digest", f"sha1:{digest}")]
+    first = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(page, digest)), *common, content, ("WARC-Payload-Digest", f"sha1:{digest}")]
     out = [record(first + ([("WARC-Segment-Number", 1)] if len(parts) > 1 else []), parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, k)), *common, ("WARC-Segment-Origin-ID", record_id(page)), ("WARC-Segment-Number", k), *total], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, digest, k)), *common, ("WARC-Segment-Origin-ID", record_id(page, digest)), ("WARC-Segment-Number", k), *total], part))
     return out
 
 
@@ -100,10 +101,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Archives of all pages in `folder`."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     hashed = rows.withColumn("digest", F.sha1("payload"))
+    distinct = hashed.dropDuplicates(["page_id", "digest"])
     # Only payloads that occur more than once move on; a group is one row whatever its size.
     copies = hashed.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).filter("n > 1").select("digest", "chosen")
-    revisits = hashed.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes).join(copies, "digest").filter("page_id < chosen").groupBy("page_id").agg(F.max("chosen").alias("chosen"))
-    planned = rows.join(revisits, "page_id", "left").withColumn("digest", base32(F.sha1("payload")))
+    revisits = hashed.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes).join(copies, "digest").filter("page_id < chosen").groupBy("page_id", "digest").agg(F.max("chosen").alias("chosen"))
+    planned = distinct.join(revisits, ["page_id", "digest"], "left").withColumn("digest", base32(F.col("digest")))
 
     def run(batches):
         for batch in batches:

@@ -305,6 +305,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert not warc.reassembled(broken).filter("page_id = 7").first()["complete"]
 
 
+def test_warc_of_repeated_ids_and_none(spark, tmp_path):
+    rows = [(1, "u", "a" * 3000), (1, "u", "a" * 3000), (1, "u", "b"), (2, "u", "a" * 3000), (None, None, "a" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["complete"]) for r in warc.round_trip(df, str(tmp_path / "w"), segment_bytes=1000).collect()), key=str)
+    assert got == [(1, 1, "response", None, True), (1, 3000, "revisit", 2, True), (2, 3000, "response", None, True), (None, 3000, "response", None, True)]
+    assert warc.round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
+
+
 def test_chunked_framing():
     for payload in (b"", b"abc", b"\r\n" * 3000):
         assert warc.dechunked(warc.chunked(payload, 7)) == payload
