@@ -31,7 +31,7 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def dictionaries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """One dictionary for each language of the training rows."""
-    train = df.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    train = df.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     different = train.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     # Hashes are even: below a share of their range that follows from the count lie about twice the rows wanted, however large the table.
     sizes = different.groupBy("lang").agg(F.count("*").alias("n")).collect()
