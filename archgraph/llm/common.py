@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from archgraph.sources.shared import dropped, shared_folder, written
 
-__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "mixed", "phrase", "shared_folder", "table", "text_chunks", "written"]
+__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "mixed", "phrase", "shared_folder", "span_hashes", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 1 << 19
+#: Bytes that are widened to 64 bits at once, in documents longer than a chunk.
+SLICE_BYTES = 1 << 22
 #: The words of every contract here are runs of bytes other than these six.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -80,6 +82,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """Hashes of disjoint spans in order. A hash depends on the bytes of its span alone, so spans are taken in slices of about SLICE_BYTES."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        part = data[base : int(ends[hi - 1])].astype(np.uint64)
+        part += np.uint64(1)
+        up, down = FAMILIES[family][0].upto(len(part) + 1)
+        part *= up[: len(part)]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
+
+
 class Words:
     """All words of a chunk: byte spans `starts`, `ends`; `doc`, the row of each; `first`, where each row's words begin."""
 
@@ -102,10 +123,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
 
     def hashes(self, family: int) -> np.ndarray:
-        up, down = FAMILIES[family][0].upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends, family)
 
     def sums(self, family: int) -> tuple[np.ndarray, np.ndarray]:
         """Prefix sums from which `phrase` takes the hash of any run of words."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from archgraph.llm.common import FAMILIES, Words, mixed, phrase
+from archgraph.llm.common import Words, mixed, phrase, span_hashes
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -47,10 +47,7 @@ class Lines:
         self.ends[last] = offs[1:][self.doc[last]]
         self.first = np.searchsorted(self.doc, np.arange(len(offs)))
         self.words = np.searchsorted(words.starts, self.ends) - np.searchsorted(words.starts, self.starts)
-        up, down = FAMILIES[0][0].upto(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = mixed((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        h = span_hashes(data, self.starts, self.ends, 0)
         full = np.flatnonzero(self.words > 0)
         order = full[np.lexsort((full, h[full], self.doc[full]))]
         self.repeats = np.zeros(len(h), bool)

@@ -44,6 +44,17 @@ def test_words_and_phrases():
         assert h[0] == h[1] == h[2]
 
 
+def test_span_hashes_do_not_depend_on_slices(monkeypatch):
+    import pyarrow as pa
+    from archgraph.llm import common
+
+    (_, _, data, offs), = text_chunks(pa.array([prose(500, 31), "x" * 900, prose(100, 32)]))
+    words = Words(data, offs)
+    whole = words.hashes(0)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    assert (words.hashes(0) == whole).all()
+
+
 def test_simhash_components_equal_brute_force(spark, docs):
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in covering.near_duplicates(docs).collect()}
     prints = {}
