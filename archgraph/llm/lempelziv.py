@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import Words, phrase, text_chunks, written
+from archgraph.llm.common import Words, dropped, phrase, text_chunks, written
 
 WINDOW, GRAM = 50, 8
 POSITION_BITS = 28
@@ -132,12 +132,17 @@ def parsed(text: str, runs: list[tuple[int, int, int]], window: int) -> tuple[li
     return words, factors
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, spans array<struct<begin, end>> in words, and the kept text (or, with `digest`, its SHA-256)."""
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False, keep: tuple[str, ...] = (), intact: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, spans array<struct<begin, end>> in words, and the kept text (or, with `digest`, its SHA-256).
+
+    `keep` names further columns that pass through; with `intact` a text that loses nothing stays as it is, white space included.
+    """
     if not gram <= window <= 64 + gram - 2:
         raise ValueError("a block must have at most 63 windows")
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = docs.filter("doc_id IS NOT NULL")
+    if clash := {"doc_id", "n_words", "n_removed", "spans", "text", "kept_sha256"} & set(keep):
+        raise ValueError(f"names of results among the kept columns: {sorted(clash)}")
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in keep])
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     runs = written(block_runs(known, window, gram))
     # One row for each different block: its smallest owner, and a place there to read it from.
     blocks = runs.groupBy("anchor", "block").agg(F.min(F.struct("doc_id", "first", "windows")).alias("own"), F.max("doc_id").alias("last")).select("anchor", "block", F.col("own.doc_id").alias("owner"), F.col("own.first").alias("first"), F.col("own.windows").alias("windows"), "last")
@@ -147,7 +152,11 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
     windows = written(opened(known.join(places, "doc_id").select("doc_id", "text", "blocks"), window))
     owners = windows.groupBy("w1", "w2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most").select("w1", "w2", "least")
     earlier = windows.join(owners, ["w1", "w2"]).filter("least < owner").groupBy("anchor", "block").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    # Written, so that both sides of the join below come from plain shuffles and large blocks of copies can be split.
     verdicts = blocks.join(earlier, ["anchor", "block"], "left").filter("mask IS NOT NULL OR last > owner").select("anchor", "block", "owner", F.coalesce("mask", F.lit(0)).alias("mask"))
+    verdicts = written(verdicts)
+    dropped(windows)
+    dropped(blocks)
     hits = (
         runs.join(verdicts, ["anchor", "block"])
         .select("doc_id", "first", F.col("windows").cast("int").alias("windows"), F.when(F.col("doc_id") > F.col("owner"), F.lit(-1).cast("bigint")).otherwise(F.col("mask")).alias("mask"))
@@ -155,21 +164,29 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("first", "windows", "mask")).alias("runs"))
     )
-    kept = "kept_sha256 string" if digest else "text string"
+    hits = written(hits)
+    dropped(runs)
+    dropped(verdicts)
+    kept = "kept_sha256" if digest else "text"
+    passed = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
 
     def run(batches):
         for batch in batches:
             rows = []
             for t, found in zip(batch.column(1), batch.column(2)):
-                words, factors = parsed(t.as_py(), [(x["first"], x["windows"], x["mask"]) for x in found.as_py() or ()], window)
+                source = t.as_py()
+                words, factors = parsed(source or "", [(x["first"], x["windows"], x["mask"]) for x in found.as_py() or ()], window)
                 left, at, removed = [], 0, 0
                 for lo, hi in factors:
                     left += words[at:lo]
                     at, removed = hi, removed + hi - lo
                 left += words[at:]
                 out = b" ".join(left)
-                rows.append((len(words), removed, [{"begin": a, "end": b} for a, b in factors], hashlib.sha256(out).hexdigest() if digest else out.decode("utf-8", "surrogatepass")))
+                result = hashlib.sha256(out).hexdigest() if digest else source if intact and not removed else out.decode("utf-8", "surrogatepass")
+                rows.append((len(words), removed, [{"begin": a, "end": b} for a, b in factors], result))
             n, gone, spans, texts = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", kept.split()[0]])
+            made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "spans", kept, *keep])
 
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<begin: int, end: int>>, {kept}")
+    schema = ", ".join(["doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<begin: int, end: int>>", f"{kept} string", *passed])
+    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "runs", *keep).mapInArrow(run, schema)
