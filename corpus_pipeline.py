@@ -33,11 +33,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; n_chars follows the text. A text that loses nothing stays as it is."""
-    kept = lempelziv.deduplicate(docs).filter("n_removed > 0").select("doc_id", F.col("text").alias(f"{OWN}text"))
-    changed = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce(f"{OWN}text", "text"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col(f"{OWN}text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+    own = {c: f"{OWN}{c}" for c in docs.columns if c not in ("doc_id", "text")}
+    kept = lempelziv.deduplicate(docs.withColumnsRenamed(own), keep=tuple(own.values()), intact=True)
+    if "n_chars" in own:
+        n = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+        kept = kept.withColumn(own["n_chars"], n)
+    return kept.select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
