@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.llm import covering, language, lempelziv, linechain, packing
 from archgraph.llm.common import table, written
+from archgraph.sources.shared import ship
 
 #: A prefix that no column of the input has, for what a stage adds and drops again.
 OWN = "__stage_"
@@ -46,12 +49,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def shipped(stage):
+    """The stage, after the package has been sent to the executors."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", keep_languages),
-    ("quality_rules", keep_quality),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeated_passages", drop_repeated_passages),
-    ("packing", pack),
+    ("language", shipped(keep_languages)),
+    ("quality_rules", shipped(keep_quality)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("repeated_passages", shipped(drop_repeated_passages)),
+    ("packing", shipped(pack)),
 ]
 
 #: SQL cannot express a trained stage; tests hold the stages against brute-force versions.
