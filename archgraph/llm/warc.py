@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import shared_folder
+from archgraph.llm.common import shared_folder, written
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, LEAST_REVISIT_BYTES = 16_384, 4_096, 5_000, 0
 CRLF = b"\r\n"
@@ -209,6 +209,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     back = reassembled(read_records(spark, folder)).select(
         "page_id", F.col("type").alias("record_type"), "refers_to", F.when(F.col("type") == "response", base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), "complete"
     )
+    back = written(back)  # ids, sizes and digests only; each use below would read the archives again
     responses = back.filter("record_type = 'response'")
     sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("bytes"))
     revisits = back.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to", "left").withColumnRenamed("bytes", "payload_bytes")
