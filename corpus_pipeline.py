@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm import covering, language, lempelziv, linechain, packing
+from archgraph.llm import jaccard, language, lempelziv, linechain, packing
 from archgraph.llm.common import table, written
 from archgraph.sources.shared import ship
 
@@ -28,10 +28,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate group; of repeated ids the rows stay together."""
-    groups = covering.near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of texts that share 0.8 or more of their five-word shingles: that of the smallest id, a null id last.
+
+    Rows are numbered, so repeated and null ids are rows like others.
+    """
+    row = f"{OWN}row"
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    of = jaccard.groups(held, row).withColumnRenamed("row", row)
+    first = held.select(row, "doc_id").join(of, row).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    return held.join(first.select(f"first.{row}"), row, "left_semi").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
