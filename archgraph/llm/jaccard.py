@@ -27,8 +27,10 @@ from archgraph.llm.covering import components
 WORDS, SEED = 5, 42
 #: The least similarity as a fraction of whole numbers.
 LEAST = (4, 5)
-#: Documents that the order of shingles is taken from, and entries of one shingle that are compared at once.
-SAMPLE, TILE = 20_000, 2048
+#: Documents that the order of shingles is taken from, shingles that it puts last, and entries of one shingle that are compared at once.
+SAMPLE, LATE, TILE = 20_000, 200_000, 2048
+#: First shingles of a document that the join of neighbours uses, and documents whose entries are made at once.
+NEAREST, SLICE = 3, 256
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -51,41 +53,49 @@ def each_set(column, words: int):
             yield shingles(raw[a:b], words)
 
 
-def sets(df: DataFrame, row: str, text: str, words: int = WORDS) -> DataFrame:
-    """(row, whole): the hashes of each row's set as 8 bytes each."""
+def frequent(docs: DataFrame, n: int, words: int) -> np.ndarray:
+    """Shingles that several documents of a sample hold, most frequent first. docs: (row, text), n of them."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in each_set(batch.column(1), words)], pa.binary())], names=["row", "whole"])
+            for s in each_set(batch.column(0), words):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["shingle"])
 
-    return df.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row bigint, whole binary")
+    sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // SAMPLE)))) == 0).select("text").mapInArrow(run, "shingle bigint")
+    often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(LATE)
+    return np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64)
 
 
-def entries(df: DataFrame, row: str, text: str, late: np.ndarray, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(shingle, row, n, pos): the first shingles of each row's set of n, those in `late` (sorted, most frequent first by `rank`) behind others."""
+def entries(df: DataFrame, text: str, late: np.ndarray, words: int = WORDS, least: tuple[int, int] = LEAST, most: int | None = None) -> DataFrame:
+    """(shingle, row, n, pos, part): the first shingles, `most` at most, of each row's set of n; those of `late` (most frequent first) come last.
+
+    df: (row, part, text); a null part means the row itself.
+    """
     t, u = least
     order = np.argsort(late)
     known = late[order]
 
+    def first(s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return s
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            s = s[np.argsort(np.where(known[at] == s, len(known) - order[at], 0), kind="stable")]
+        return s[: len(s) + (-t * len(s)) // u + 1][:most]
+
     def run(batches):
-        for batch in batches:
-            parts, rows, ns = [], [], []
-            for r, s in zip(batch.column(0).to_pylist(), each_set(batch.column(1), words)):
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, len(known) - order[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
-                parts.append(s[: len(s) + (-t * len(s)) // u + 1] if len(s) else s)
-                rows.append(r)
-                ns.append(len(s))
-            sizes = np.array([len(p) for p in parts], np.int64)
-            pos = np.concatenate([np.arange(k) for k in sizes]) if len(sizes) else np.zeros(0)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(rows, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(pos.astype(np.int32))], names=["shingle", "row", "n", "pos"]
-            )
-
-    return df.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "shingle bigint, row bigint, n int, pos int")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                found = [(first(s), len(s)) for s in each_set(batch.column(2), words)]
+                sizes = np.array([len(s) for s, _ in found], np.int64)
+                at = pa.array(np.repeat(np.arange(len(found)), sizes))
+                n = np.repeat(np.array([n for _, n in found], np.int32), sizes)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                flat = np.concatenate([s for s, _ in found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(at), pa.array(n), pa.array(pos), batch.column(1).take(at)], names=["shingle", "row", "n", "pos", "part"])
+
+    return df.select("row", "part", F.col(text).alias("text")).mapInArrow(run, "shingle bigint, row bigint, n int, pos int, part bigint")
 
 
 def paired(rows: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, least: tuple[int, int], neighbours: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +118,17 @@ def paired(rows: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, l
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(held: DataFrame, neighbours: bool, least: tuple[int, int] = LEAST, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of rows, a < b, that share a first shingle. held: (shingle, row, n, pos, part)."""
-    many = held.filter(F.pmod(F.xxhash64("row"), F.lit(64)) == 0).groupBy("shingle").agg((F.count("*") * 64).alias("about")).filter(F.col("about") > tile)
-    dealt = held.join(F.broadcast(many), "shingle", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("about") * 2 / tile), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    if neighbours:
-        dealt = dealt.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
-    else:
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.select("shingle", "lo", "hi", "row", "n", "pos", "part").repartition(parts, "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
+def candidates(docs: DataFrame, text: str, late: np.ndarray, neighbours: bool, words: int = WORDS, least: tuple[int, int] = LEAST, tile: int = TILE) -> DataFrame:
+    """(a, b): pairs of rows, a < b, that share a first shingle. docs: (row, part, text)."""
+    made = lambda df: entries(df, text, late, words, least, NEAREST if neighbours else None)
+    about = made(docs.filter(F.pmod(F.xxhash64("row"), F.lit(64)) == 0)).groupBy("shingle").agg((F.count("*") * 64).alias("about"))
+    many = about.filter(F.col("about") > tile).withColumn("blocks", F.ceil(F.col("about") * 2 / tile).cast("int")).select("shingle", "blocks")
+    dealt = made(docs).join(F.broadcast(many), "shingle", "left").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    # A tile is two blocks of a frequent shingle; the others are one tile each.
+    others = F.array(F.col("block")) if neighbours else F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0))))).withColumn("tile", F.coalesce(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"), F.lit(0)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.select("shingle", "tile", "row", "n", "pos", "part").repartition(parts, "shingle", "tile").sortWithinPartitions("shingle", "tile").withColumn("part", F.coalesce("part", "row"))
 
     def run(batches):
         left = None
@@ -125,7 +136,7 @@ def candidates(held: DataFrame, neighbours: bool, least: tuple[int, int] = LEAST
             now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
             if left is not None:
                 now = np.concatenate([left, now], axis=1)
-            cuts = np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(axis=0)) + 1
+            cuts = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0)) + 1
             bounds = np.concatenate([[0], cuts])
             # The last tile may go on in the next batch.
             left = now[:, bounds[-1] :]
@@ -135,29 +146,29 @@ def candidates(held: DataFrame, neighbours: bool, least: tuple[int, int] = LEAST
 
     def pairs(now: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         some = np.flatnonzero(np.diff(bounds) > 1)
-        found = [paired(*now[3:, bounds[k] : bounds[k + 1]], least, neighbours) for k in some.tolist()]
+        found = [paired(*now[2:, bounds[k] : bounds[k + 1]], least, neighbours) for k in some.tolist()]
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar(df: DataFrame, pairs: DataFrame, row: str, text: str, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def similar(df: DataFrame, pairs: DataFrame, text: str, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) of rows whose whole sets are similar enough."""
     t, u = least
-    named = pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct()
-    whole = written(sets(df.join(named, row, "left_semi"), row, text, words))
-    both = pairs.join(whole.select(F.col("row").alias("a"), F.col("whole").alias("x")), "a").join(whole.select(F.col("row").alias("b"), F.col("whole").alias("y")), "b")
+    side = lambda k: df.select(F.col("row").alias(k), F.col(text).alias(f"{k}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
-        for batch in batches:
-            fits = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                fits.append(len(np.intersect1d(x, y, assume_unique=True)) * (t + u) >= t * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                fits = []
+                for x, y in zip(each_set(batch.column(2), words), each_set(batch.column(3), words)):
+                    fits.append(len(np.intersect1d(x, y, assume_unique=True)) * (t + u) >= t * (len(x) + len(y)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -168,26 +179,16 @@ def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, leas
             found = [xxhash.xxh3_128_digest(s.tobytes()) for s in each_set(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["row", "digest"])
 
-    digests = written(df.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, "row bigint, digest binary"))
+    docs = df.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    digests = written(docs.mapInArrow(run, "row bigint, digest binary"))
     firsts = written(digests.groupBy("digest").agg(F.min("row").alias("first")))
-    once = df.join(firsts.select(F.col("first").alias(row)), row, "left_semi").select(row, text)
-
-    every = max(1, -(-firsts.count() // SAMPLE))
-    sample = sets(df.filter(F.pmod(F.xxhash64(row), F.lit(every)) == 0), row, text, words)
-
-    def flat(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64))], names=["shingle"])
-
-    often = sample.mapInArrow(flat, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(200_000)
-    late = np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64)
+    once = docs.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
+    late = frequent(docs, firsts.count(), words)
 
-    held = written(entries(once, row, text, late, words, least))
-    near = written(similar(once, candidates(held.withColumn("part", F.col("row")), True, least), row, text, words, least))
-    joined = written(components(near))
-    of = F.coalesce("root", "row").alias("part")
-    apart = held.join(joined, held.row == joined.node, "left").select("shingle", "row", "n", "pos", of)
-    far = similar(once, written(candidates(apart, False, least)), row, text, words, least)
+    alone = once.withColumn("part", F.lit(None).cast("bigint"))
+    near = written(similar(once, written(candidates(alone, "text", late, True, words, least)), "text", words, least))
+    linked = written(components(near)).select(F.col("node").alias("row"), F.col("root").alias("part"))
+    far = similar(once, written(candidates(once.join(linked, "row", "left"), "text", late, False, words, least)), "text", words, least)
     found = written(components(near.unionByName(far)))
     roots = firsts.join(found, firsts["first"] == found.node, "left").select("digest", F.coalesce("root", "first").alias("component"))
     return digests.join(roots, "digest").select("row", "component")
