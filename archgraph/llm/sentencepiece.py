@@ -90,6 +90,15 @@ class CharMap:
         return found
 
 
+def covered(pieces: list[tuple[int, int, int]]) -> int:
+    """Source bytes in the spans of pieces (id, begin, end), each counted once."""
+    total = last = 0
+    for _, begin, end in pieces:
+        total += max(0, end - max(begin, last))
+        last = max(last, end)
+    return total
+
+
 class Memo(dict):
     """Results by stretch; a missing one is made, and past MEMO_ENTRIES all go and are made again as they occur."""
 
@@ -145,14 +154,13 @@ class Model:
         crosses = any(a != SPACE and b == SPACE for p in long for a, b in pairwise(p))
         lines = any("\n" in p for p in long)
         self.stretch = None if crosses or own else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.plain = {p: str(i).encode() for p, i in self.ids.items() if self.kinds[i] in (NORMAL, USER_DEFINED, UNUSED)}
         self.has_unused = UNUSED in self.kinds
         self.memo = Memo(self.remembered)
 
     # -- normalisation -------------------------------------------------------------------------------------------
 
-    def normalized(self, text: str) -> tuple[str, list[tuple[int, int]]]:
-        """The normalised text, and for each of its characters the source bytes (begin, end) that it stands for."""
+    def normalized(self, text: str, start: bool = True) -> tuple[str, list[tuple[int, int]]]:
+        """The normalised text (with the dummy prefix, if it is a text's start), and for each of its characters the source bytes (begin, end) that it stands for."""
         source = text.encode("utf-8", "surrogatepass")
         parts: list[tuple[str, int, int]] = []
         at = 0
@@ -174,7 +182,7 @@ class Model:
             while chars and chars[-1][0] == " ":
                 chars.pop()
             chars = [x for i, x in enumerate(chars) if x[0] != " " or chars[i - 1][0] != " "]
-        if chars and self.dummy_prefix:
+        if chars and start and self.dummy_prefix:
             chars.insert(0, (" ", chars[0][1], chars[0][1]))
         mark = SPACE if self.escape else " "
         return "".join(mark if c == " " else c for c, _, _ in chars), [(a, b) for _, a, b in chars]
@@ -227,30 +235,30 @@ class Model:
             return [found]
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unk]
 
-    def encoded(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of every piece; begin and end are byte offsets in the source text."""
-        normal, align = self.normalized(text)
+    def pieced(self, normal: str, align: list[tuple[int, int]], stretches: list[str]) -> list[tuple[int, int, int]]:
         out, at = [], 0
-        for stretch in self.stretch.findall(normal) if self.stretch else [normal] * bool(normal):
+        for stretch in stretches:
             for piece in self.merged(stretch):
                 span = (align[at][0], align[at + len(piece) - 1][1])
                 out += [(i, *span) for i in self.piece_ids(piece)]
                 at += len(piece)
         return out
 
+    def encoded(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of every piece; begin and end are byte offsets in the source text."""
+        normal, align = self.normalized(text)
+        return self.pieced(normal, align, self.stretch.findall(normal) if self.stretch else [normal] * bool(normal))
+
     # -- whole texts with the memo -------------------------------------------------------------------------------
 
     def remembered(self, stretch: str) -> tuple[bytes, int, str, int]:
-        """(decimal ids, their number, decoded text, bytes spanned) of a stretch."""
-        pieces = self.merged(stretch)
-        # With identity normalisation a mark made from a space spans one byte, any other character its own bytes.
-        size = len(stretch) if stretch.isascii() else len(stretch.encode())
-        try:
-            out = (b",".join([self.plain[p] for p in pieces]), len(pieces), stretch.replace(SPACE, " "), size)
-        except KeyError:  # byte pieces or an unknown one
-            ids = [i for piece in pieces for i in self.piece_ids(piece)]
-            out = (",".join(map(str, ids)).encode(), len(ids), self.surface(ids), size)
-        return out
+        """(decimal ids, their number, text decoded from the ids, bytes spanned by the pieces) of a stretch whose marks are all spaces of the source."""
+        normal, align = self.normalized(stretch.replace(SPACE, " "), False)
+        return self.reduced(self.pieced(normal, align, [normal]))
+
+    def reduced(self, pieces: list[tuple[int, int, int]]) -> tuple[bytes, int, str, int]:
+        ids = [i for i, _, _ in pieces]
+        return ",".join(map(str, ids)).encode(), len(ids), self.surface(ids), covered(pieces)
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids in the middle of a text: byte pieces are joined, invalid ones become U+FFFD each."""
@@ -292,19 +300,19 @@ class Model:
 
     def digests(self, text: str) -> tuple[int, str, str, int]:
         """(number of ids, sha256 of the ids, sha256 of the decoded text, bytes spanned)."""
-        if not (self.identity and self.stretch and self.dummy_prefix):
-            pieces = self.encoded(text)
-            ids = [i for i, _, _ in pieces]
-            spanned = len(text.encode()) if not pieces else pieces[-1][2] - pieces[0][1]
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decoded(ids).encode()).hexdigest(), spanned
         if not text:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest(), 0
-        # Identity normalisation: every character stands for itself, so spans follow from lengths.
-        normal = SPACE + text.replace(" ", SPACE)
-        ids, counts, back, sizes = zip(*map(self.memo.__getitem__, self.stretch.findall(normal)))
-        spanned = sum(sizes) - 2 * normal.count(SPACE) - 1 + 2 * text.count(SPACE)
+        # A mark of the source itself looks like a space's once normalised, so such texts are not taken from the memo.
+        if not (self.identity and self.stretch and self.dummy_prefix) or SPACE in text:
+            pieces = self.encoded(text)
+            ids = [i for i, _, _ in pieces]
+            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decoded(ids).encode()).hexdigest(), covered(pieces)
+        # Normalisation is the same in every place and no piece crosses stretches: ids, spans and decoded texts of stretches add up.
+        first, *stretches = self.stretch.findall(SPACE + text.replace(" ", SPACE))
+        head = self.encoded(first[1:].replace(SPACE, " ")) if len(first) > 1 else [(i, 0, 0) for i in self.piece_ids(SPACE)]
+        ids, counts, back, sizes = zip(self.reduced(head), *map(self.memo.__getitem__, stretches))
         digest = hashlib.sha256(b",".join(ids)).hexdigest()
-        return sum(counts), digest, hashlib.sha256("".join(back)[1:].encode()).hexdigest(), spanned
+        return sum(counts), digest, hashlib.sha256("".join(back)[1:].encode()).hexdigest(), sum(sizes)
 
 
 @lru_cache(maxsize=2)

@@ -103,3 +103,13 @@ def test_frames(spark):
     back = own.decode(own.encode(df, PIECE_MODEL), PIECE_MODEL)
     assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {1: "the in", 2: "", 3: ""}
     assert own.encode_digests(df.limit(0), PIECE_MODEL).count() == 0
+
+
+def test_digests_show_a_piece_lost_in_encoding():
+    faulty, text = own.Model(PIECE_MODEL), "some words of a text"
+    whole = faulty.merged
+    faulty.merged = lambda stretch: whole(stretch)[:-1] if stretch == "▁words" else whole(stretch)
+    n, _, back_sha, spanned = faulty.digests(text)
+    assert back_sha == hashlib.sha256(LIBRARY.decode([i for i, _, _ in faulty.encoded(text)]).encode()).hexdigest()
+    assert back_sha != hashlib.sha256(text.encode()).hexdigest()
+    assert spanned < len(text)
