@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 CALLS, EXTERNAL, ENDPOINTS = 10, 5, 15
 
 
-def listed(label: str, values: Column, limit: int) -> Column:
-    """`label: a, b` of the first sorted values; null without any, so that concat_ws leaves the line out."""
-    return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(F.array_sort(values), 1, limit), ", ")))
+def listed(label: str, values: Column, limit: int | None = None) -> Column:
+    """`label: a, b` of the first sorted values, of all without a limit; null without any, so that concat_ws leaves the line out."""
+    ordered = F.array_sort(values)
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(ordered if limit is None else F.slice(ordered, 1, limit), ", ")))
 
 
 def service_text(services: DataFrame, members: DataFrame) -> DataFrame:
@@ -21,14 +22,14 @@ def service_text(services: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def method_text(methods: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, text): a method with its calls, topics, tables and external calls. links: (src, label, type); one aggregation for all."""
+    """(id, text): a method with its first calls and external calls, and all its topics and tables. links: (src, label, type); one aggregation for all."""
     of = lambda kind: F.collect_set(F.when(F.col("type") == kind, F.col("label")))
     gathered = links.groupBy(F.col("src").alias("id")).agg(of("CALLS").alias("calls"), of("PRODUCES_TO").alias("topics"), of("ACCESSES").alias("tables"), of("MAKES_EXTERNAL_CALL").alias("external"))
     none = F.array().cast("array<string>")
     at = lambda c: F.coalesce(c, none)
     lines = F.concat_ws(
         "\n", F.concat(F.lit("Method: "), F.concat_ws(".", F.col("owner"), F.col("label"))), F.concat(F.lit("Type: "), F.col("kind")),
-        listed("Calls", at("calls"), CALLS), listed("Kafka Topics", at("topics"), CALLS), listed("Database Tables", at("tables"), CALLS), listed("External Calls", at("external"), EXTERNAL),
+        listed("Calls", at("calls"), CALLS), listed("Kafka Topics", at("topics")), listed("Database Tables", at("tables")), listed("External Calls", at("external"), EXTERNAL),
     )
     return methods.select("id", "owner", "label", "kind").join(gathered, "id", "left").select("id", lines.alias("text"))
 

@@ -633,8 +633,8 @@ def chunk_text(spark, d):
 
 @query("SELECT m.id, concat_ws(chr(10), 'Method: ' || m.owner || '.' || m.label, 'Type: ' || m.kind, CASE WHEN count(e.dst) > 0 THEN 'Calls: ' || array_to_string(list_sort(list(DISTINCT e.dst) FILTER (e.dst IS NOT NULL))[1:10], ', ') END) AS text FROM nodes m LEFT JOIN edges e ON e.src = m.id AND e.type = 'CALLS' WHERE m.type = 'Method' GROUP BY m.id, m.owner, m.label, m.kind", graph=True)
 def method_chunks(spark, d):
-    calls = views.edges(spark, d, ("CALLS",)).filter("src LIKE 'o:%'").select("src", F.col("dst").alias("label"), "type")
-    return chunks.method_text(views.nodes(spark, d, ("Method",)), calls)
+    links_ = views.edges(spark, d, ("CALLS", "ACCESSES", "PRODUCES_TO")).filter("src LIKE 'o:%'").select("src", F.col("dst").alias("label"), "type")
+    return chunks.method_text(views.nodes(spark, d, ("Method",)), links_)
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:

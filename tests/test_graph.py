@@ -205,3 +205,11 @@ def test_urls_are_assembled_from_literals_constants_and_variables():
 }"""
     got = [(r[9], r[10]) for r in extract.java_rows("C.java", java) if r[2] == "call" and r[5] == "rest"]
     assert got == [("getForObject", "http://h/api/users/<dynamic>"), ("delete", "/o/<dynamic>/i/<dynamic>"), ("put", "/a,b(c)<dynamic>"), ("get", None)]
+
+
+def test_method_text_lists_all_topics_and_tables(spark):
+    methods = spark.createDataFrame([("m", "Svc", "run", "public")], "id string, owner string, label string, kind string")
+    names = [f"x{i:02}" for i in range(12)]
+    links = spark.createDataFrame([("m", n, t) for n in names for t in ("CALLS", "PRODUCES_TO", "ACCESSES", "MAKES_EXTERNAL_CALL")], "src string, label string, type string")
+    lines = dict(x.split(": ") for x in chunks.method_text(methods, links).first()["text"].split("\n"))
+    assert {k: len(v.split(", ")) for k, v in lines.items() if ", " in v} == {"Calls": 10, "Kafka Topics": 12, "Database Tables": 12, "External Calls": 5}
