@@ -118,10 +118,10 @@ def paired(rows: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, l
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(docs: DataFrame, text: str, late: np.ndarray, neighbours: bool, words: int = WORDS, least: tuple[int, int] = LEAST, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of rows, a < b, that share a first shingle. docs: (row, part, text)."""
+def candidates(docs: DataFrame, text: str, late: np.ndarray, neighbours: bool, words: int = WORDS, least: tuple[int, int] = LEAST, tile: int = TILE, every: int = 64) -> DataFrame:
+    """(a, b): pairs of rows, a < b, that share a first shingle. docs: (row, part, text); one in `every` tells which shingles are frequent."""
     made = lambda df: entries(df, text, late, words, least, NEAREST if neighbours else None)
-    about = made(docs.filter(F.pmod(F.xxhash64("row"), F.lit(64)) == 0)).groupBy("shingle").agg((F.count("*") * 64).alias("about"))
+    about = made(docs.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)).groupBy("shingle").agg((F.count("*") * every).alias("about"))
     many = about.filter(F.col("about") > tile).withColumn("blocks", F.ceil(F.col("about") * 2 / tile).cast("int")).select("shingle", "blocks")
     dealt = made(docs).join(F.broadcast(many), "shingle", "left").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     # A tile is two blocks of a frequent shingle; the others are one tile each.

@@ -46,7 +46,15 @@ def test_groups_equal_all_pairs(spark):
     assert partition((r["row"], r["component"]) for r in got) == partition(enumerate(brute(texts)))
 
 
-def test_order_and_tiles_change_no_pair(spark, monkeypatch):
+def test_tiles_change_no_pair(spark, monkeypatch):
+    texts = [f"{t} tail of all these texts" for t in corpus(5)]
+    docs = spark.createDataFrame([(64 * i, None, t) for i, t in enumerate(texts)], "row bigint, part bigint, text string")
+    late = jaccard.frequent(docs, 0, 5)[:0]
+    pairs = lambda tile, every: {tuple(r) for r in jaccard.candidates(docs, "text", late, False, tile=tile, every=every).collect()}
+    assert pairs(2, 1) == pairs(10**6, 1)
+
+
+def test_order_changes_no_pair(spark, monkeypatch):
     texts = corpus(3)
     monkeypatch.setattr(jaccard, "SAMPLE", 10)
     rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
@@ -59,3 +67,11 @@ def test_stage_drops_near_copies_of_scattered_edits(spark, small):
     near = [f"x{i}" if i % 60 == 30 else w for i, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "something else")], SCHEMA)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()) == [1, 3]
+
+
+def test_stage_keeps_one_row_of_each_group_whatever_its_ids(spark, small):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcd"]
+    rows = [(None, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (2, texts[3]), (None, texts[3]), (3, texts[2])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3])], key=str)
