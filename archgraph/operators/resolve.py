@@ -1,9 +1,9 @@
 """Matching outgoing calls to endpoints of other applications, and topics to their two sides.
 
-Scored matching never compares all calls with all endpoints. A score of 3 or more needs the endpoint's last literal
-segment at its place from the end, unless two or more trailing variables match anything; so candidates come from equality joins:
-on (distance from the end, segment), on the longest literal segment of endpoints with wildcards inside segments, and on the number
-of trailing variables, of which only the least endpoint of each number can win.
+Scored matching never compares all calls with all endpoints. Candidates come from equality joins: on (distance from the end,
+last literal segment), on the longest literal segment of endpoints with wildcards inside segments, on the number of segments of
+endpoints that are variables only, and on ends of paths that a URL may be. Endpoints that match by trailing variables or
+wildcards alone are reduced to the least of each kind and verb, so those that meet every URL are few.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from archgraph.functions import scalars
 
 ACCEPT = 3
-#: Segments from the end that are looked at.
-MAX_SEGMENTS = 12
 
 
 def segments(path: Column) -> Column:
@@ -63,17 +61,34 @@ def scored(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     ends = ends.withColumn("d", trailing).withColumn("wild", wild)
     literal = F.array_max(F.transform(F.filter("parts", lambda s: ~s.rlike("[{*]")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
 
-    from_end = F.slice(F.reverse(segments(F.col("candidate"))), 1, MAX_SEGMENTS)
+    from_end = F.reverse(segments(F.col("candidate")))
     placed = urls.select("call_id", "candidate", F.posexplode(from_end).alias("d", "segment"))
-    anchored = ends.filter("NOT wild").withColumn("segment", F.try_element_at(F.reverse("parts"), F.col("d") + 1)).select("endpoint_id", "path", "d", "segment")
+    anchored = ends.withColumn("segment", F.try_element_at(F.reverse("parts"), F.col("d") + 1)).select("endpoint_id", "path", "d", "segment")
     pairs = placed.join(anchored, ["d", "segment"]).select("call_id", "candidate", "endpoint_id", "path")
     inner = urls.select("call_id", "candidate", F.explode(F.array_distinct(segments(F.col("candidate")))).alias("segment"))
     pairs = pairs.unionByName(inner.join(ends.filter("wild").withColumn("segment", literal), "segment").select("call_id", "candidate", "endpoint_id", "path"))
-    # Only the least endpoint for each number of trailing variables can win by them alone.
-    open_ended = ends.filter("d >= 2").groupBy("d").agg(F.min(F.struct("endpoint_id", "path")).alias("e")).select("d", "e.endpoint_id", "e.path")
-    n_parts = F.least(F.size(segments(F.col("candidate"))), F.lit(MAX_SEGMENTS))
-    numbered = urls.filter(n_parts >= 2).select("call_id", "candidate", F.explode(F.sequence(F.lit(2), F.lit(MAX_SEGMENTS))).alias("d"))
-    pairs = pairs.unionByName(numbered.join(open_ended, "d").select("call_id", "candidate", "endpoint_id", "path"))
+
+    # Of endpoints that match a URL in the same way, only the least of each verb can win.
+    verb = F.upper("verb") if "verb" in endpoints.columns else F.lit(None).cast("string")
+    ends = ends.join(endpoints.select("endpoint_id", verb.alias("v")), "endpoint_id")
+    least = lambda df, *keys: df.groupBy(*keys, "v").agg(F.min(F.struct("endpoint_id", "path")).alias("e")).select(*keys, "e.endpoint_id", "e.path")
+    shape = F.regexp_replace("path", r"\{[^}]+\}", "{}")
+    numbered = urls.withColumn("size", F.size(segments(F.col("candidate"))))
+    matched = lambda df: df.select("call_id", "candidate", "endpoint_id", "path")
+    # By trailing variables alone, whatever the URL's segments are, if it has two or more.
+    trailed = least(ends.filter("d >= 2"), "d").drop("d")
+    pairs = pairs.unionByName(matched(numbered.filter("size >= 2").crossJoin(F.broadcast(trailed))))
+    # Variables only, as many as the URL has segments.
+    variable = least(ends.filter("d > 0 AND d = size(parts)").withColumn("size", F.col("d")).withColumn("shape", shape), "size", "shape")
+    pairs = pairs.unionByName(matched(numbered.join(variable, "size")))
+    # Wildcards and no literal segment.
+    bare = least(ends.filter("wild").filter(literal.isNull()).withColumn("shape", shape), "shape")
+    pairs = pairs.unionByName(matched(urls.crossJoin(F.broadcast(bare))))
+    # Paths whose end the URL is: trailing variables that the URL names, and the root.
+    variables = F.transform(F.when(F.col("d") > 0, F.sequence(F.lit(1), F.col("d"))).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.size("parts") - j + 1, j), "/")))
+    slash = F.when(F.col("path").endswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
+    ended = ends.withColumn("candidate", F.explode(F.concat(variables, slash))).withColumn("equal", F.col("path") == F.col("candidate"))
+    pairs = pairs.unionByName(matched(urls.join(least(ended, "candidate", "equal"), "candidate")))
     return pairs.distinct().withColumn("score", match_score(F.col("candidate"), F.col("path"))).groupBy("call_id", "endpoint_id").agg(F.max("score").alias("score"))
 
 
