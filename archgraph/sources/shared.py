@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str = "step") -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below one of our own."""
+    """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process (tests), below one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="archgraph-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/archgraph-{label}-{uuid.uuid4().hex}"
@@ -23,16 +25,21 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     """The frame as a written table: its lineage ends there, and no executor holds it."""
     folder = shared_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._archgraph_folder = folder
+    return table
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that `shared_folder` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the folders of a frame made by `written` that nothing will read any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/archgraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Deletes the folder of a frame made by `written` that nothing will read any more."""
+    if folder := getattr(df, "_archgraph_folder", None):
+        removed(df.sparkSession, folder)
 
 
 def ship(spark: SparkSession) -> None:
