@@ -9,21 +9,24 @@ bytes as Content-Length says. Continuations are grouped by origin, ordered by se
 length that the last one states is verified; the HTTP framing is decoded.
 
 Cases: a null payload is empty; payloads may hold any line ends and text that looks like a record; ties of equal payloads
-go to the largest id; rows repeated in id and payload are one page, rows of one id and different payloads a record
-each; a page without an id is a response; a missing segment or a wrong total length marks the page `complete` = false; empty tables give no rows.
+go to the largest id; every row is a record of its own, rows repeated in id and payload included (all of them responses if
+their id is the largest); a page without an id is a response; a missing segment or a wrong total length marks the page
+`complete` = false; empty tables give no rows; only the columns named in the arguments are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import shared_folder, written
+from archgraph.llm.common import removed, shared_folder, written
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, LEAST_REVISIT_BYTES = 16_384, 4_096, 5_000, 0
 CRLF = b"\r\n"
@@ -34,8 +37,9 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record_id(page: int | None, digest: str, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page/{page}/{digest}/{segment}')}>"
+def record_id(page: int | None, digest: str, row: int | None = None, segment: int = 1) -> str:
+    """The identifier of a record; `row` tells apart the records of rows that agree in id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE_ID, f'page/{page}/{digest}/{row}/{segment}')}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -70,20 +74,24 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + CRLF + block
 
 
-def records(page: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> list[bytes]:
-    common = [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-ID", page)]
+def records(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, row: int | None, chosen_alone: bool, segment_bytes: int) -> list[bytes]:
+    """The records of one row. A revisit names the response's record unless several rows are that response; then it names the page alone."""
+    named = [("X-Page-ID", page)] if page is not None else []
+    common = [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Date", "2024-01-01T00:00:00Z"), *named]
     content = ("Content-Type", "application/http;msgtype=response")
+    own = record_id(page, digest, row)
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page, digest)), *common, content, profile, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", refers_to)], head)]
+        origin = [("WARC-Refers-To", record_id(refers_to, digest))] if chosen_alone else []
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, content, profile, ("WARC-Payload-Digest", f"sha1:{digest}"), *origin, ("X-Refers-To-Page", refers_to)], head)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
-    first = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(page, digest)), *common, content, ("WARC-Payload-Digest", f"sha1:{digest}")]
+    first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, content, ("WARC-Payload-Digest", f"sha1:{digest}")]
     out = [record(first + ([("WARC-Segment-Number", 1)] if len(parts) > 1 else []), parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, digest, k)), *common, ("WARC-Segment-Origin-ID", record_id(page, digest)), ("WARC-Segment-Number", k), *total], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, digest, row, k)), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *total], part))
     return out
 
 
@@ -101,18 +109,23 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Archives of all pages in `folder`."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     hashed = rows.withColumn("digest", F.sha1("payload"))
-    distinct = hashed.dropDuplicates(["page_id", "digest"])
-    # Only payloads that occur more than once move on; a group is one row whatever its size.
-    copies = hashed.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).filter("n > 1").select("digest", "chosen")
-    revisits = hashed.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes).join(copies, "digest").filter("page_id < chosen").groupBy("page_id", "digest").agg(F.max("chosen").alias("chosen"))
-    planned = distinct.join(revisits, ["page_id", "digest"], "left").withColumn("digest", base32(F.col("digest")))
+    # Only pages that share their payload, and rows that repeat another, move on; a group is one row whatever its size.
+    pages_of = hashed.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
+    latest = F.max_by(F.struct("page_id", (F.col("n") == 1).alias("alone")), "page_id")
+    shared = pages_of.filter(F.col("size") >= least_bytes).groupBy("digest").agg(latest.alias("chosen"), F.count("*").alias("pages")).filter("pages > 1").select("digest", "chosen")
+    facts = pages_of.join(shared, "digest", "left").filter("n > 1 OR page_id < chosen.page_id").select("digest", "page_id", F.col("n") > 1, F.when(F.col("page_id") < F.col("chosen.page_id"), F.col("chosen")))
+    facts = facts.toDF("digest", "page_id", "repeated", "chosen")
+    planned = hashed.join(facts, ["digest", "page_id"], "left").select(
+        "page_id", "url", "payload", base32(F.col("digest")).alias("digest"), F.col("chosen.page_id").alias("refers_to"),
+        F.when(F.coalesce("repeated", F.col("page_id").isNull()), F.monotonically_increasing_id()).alias("row"), F.coalesce("chosen.alone", F.lit(True)).alias("alone"),
+    )
 
     def run(batches):
         for batch in batches:
-            out = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in records(row[0], row[1], row[2], row[4], row[3], segment_bytes)]
+            out = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in records(*row, segment_bytes)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = planned.select("page_id", "url", "payload", "chosen", "digest").mapInArrow(run, "value binary")
+    lines = planned.mapInArrow(run, "value binary")
     lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
@@ -153,20 +166,24 @@ RECORD = "type string, record_id string, page_id bigint, origin string, segment
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the archives in a folder."""
-    pieces = spark.read.option("lineSep", "\r\n").text(folder).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
+    pieces = spark.read.option("lineSep", "\r\n").text(folder).select(F.xxhash64(F.input_file_name()).alias("file"), F.col("value").cast("binary").alias("value"))
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def run(batches):
         file, parser = None, Parser()
+        number = lambda h, k: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None
         for batch in batches:
             out = []
-            for at, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if at != file:
-                    file, parser = at, Parser()
-                if got := parser.take(piece or b""):
-                    h, block = got
-                    number = lambda k: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None
-                    out.append((h.get("warc-type"), h.get("warc-record-id"), number("x-page-id"), h.get("warc-segment-origin-id") or h.get("warc-record-id"), number("warc-segment-number") or 0, number("warc-segment-total-length"), number("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block))
+            files = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+            for lo, hi in itertools.pairwise(cuts):
+                if hi > lo and files[lo] != file:
+                    file, parser = files[lo], Parser()
+                for piece in batch.column(1).slice(lo, hi - lo).to_pylist():
+                    if got := parser.take(piece or b""):
+                        h, block = got
+                        own = h.get("warc-record-id")
+                        out.append((h.get("warc-type"), own, number(h, "x-page-id"), h.get("warc-segment-origin-id") or own, number(h, "warc-segment-number") or 0, number(h, "warc-segment-total-length"), number(h, "x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
@@ -202,16 +219,21 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     """Writes archives of the pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, complete.
 
     Size and digest of a response are those of the payload that was put together; a revisit's size is that of the response it names.
+    Archives in a given `folder` stay there; without one they are deleted once they have been read.
     """
     spark = pages.sparkSession
-    folder = folder or shared_folder(spark)
+    own = folder is None
+    folder = shared_folder(spark, "warc") if own else folder
     write(pages, folder, **options)
     back = reassembled(read_records(spark, folder)).select(
         "page_id", F.col("type").alias("record_type"), "refers_to", F.when(F.col("type") == "response", base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), "complete"
     )
     back = written(back)  # ids, sizes and digests only; each use below would read the archives again
+    if own:
+        removed(spark, folder)
     responses = back.filter("record_type = 'response'")
-    sizes = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("bytes"))
-    revisits = back.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, "refers_to", "left").withColumnRenamed("bytes", "payload_bytes")
+    # An id may have several payloads: a revisit's size is that of the response with its id and its digest.
+    sizes = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("bytes"))
+    revisits = back.filter("record_type = 'revisit'").drop("payload_bytes").join(sizes, ["refers_to", "payload_digest"], "left").withColumnRenamed("bytes", "payload_bytes")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
     return responses.select(columns).unionByName(revisits.select(columns))

@@ -317,13 +317,22 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_of_repeated_ids_and_none(spark, tmp_path):
-    rows = [(1, "u", "a" * 3000), (1, "u", "a" * 3000), (1, "u", "b"), (2, "u", "a" * 3000), (None, None, "a" * 3000)]
+    rows = [(1, "u", "a" * 3000), (1, "u", "a" * 3000), (1, "u", "b"), (2, "u", "a" * 3000), (None, None, "a" * 3000), (None, None, "a" * 3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["complete"]) for r in warc.round_trip(df, str(tmp_path / "w"), segment_bytes=1000).collect()), key=str)
-    assert got == [(1, 1, "response", None, True), (1, 3000, "revisit", 2, True), (2, 3000, "response", None, True), (None, 3000, "response", None, True)]
+    assert got == [(1, 1, "response", None, True), *[(1, 3000, "revisit", 2, True)] * 2, (2, 3000, "response", None, True), *[(None, 3000, "response", None, True)] * 2]
     assert warc.round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_keeps_a_record_of_each_row(spark, tmp_path):
+    twice = spark.createDataFrame([(1, "u", "x" * 2500), (1, "u", "x" * 2500)], "page_id long, url string, html string")
+    got = warc.round_trip(twice, str(tmp_path / "w"), segment_bytes=1000).collect()
+    assert [(r["page_id"], r["payload_bytes"], r["record_type"], r["complete"]) for r in got] == [(1, 2500, "response", True)] * 2
+    sizes = spark.createDataFrame([(1, "u", "a" * 30), (2, "u", "a" * 30), (2, "u", "b" * 500)], "page_id long, url string, html string")
+    got = {(r["page_id"], r["payload_digest"]): r for r in warc.round_trip(sizes, str(tmp_path / "s")).collect()}
+    assert {(i, r["payload_bytes"], r["record_type"]) for (i, _), r in got.items()} == {(1, 30, "revisit"), (2, 30, "response"), (2, 500, "response")}
+
+
 def test_chunked_framing():
     for payload in (b"", b"abc", b"\r\n" * 3000):
         assert warc.dechunked(warc.chunked(payload, 7)) == payload
