@@ -4,13 +4,15 @@
 the replacement strings). Normalisation replaces, at each place, the longest prefix that the map holds, and notes for
 every normalised character which source bytes it stands for, so that each piece can be projected back to a byte span of
 the source text. Merges are then made best score first, leftmost on ties, within stretches that no piece of the
-vocabulary can cross; unknown characters fall back to bytes.
+vocabulary can cross; unknown characters fall back to bytes. The pairs of a stretch wait in a heap and its symbols are a
+linked list, so a stretch of n characters takes n log n steps, however long it is.
 
 Spans: pieces tile the source. A piece whose characters all came from the dummy prefix has an empty span; each byte piece
 of one character spans that whole character.
 
-Cases: null and empty texts give no pieces and decode to the empty text. Equal texts give equal results. Extra input
-columns are not touched; a clash with an output name is avoided by `column_prefix`.
+Cases: null and empty texts give no pieces and decode to the empty text. Equal texts, and repeated rows, give equal results; an
+empty table gives no rows. Only the columns named are read; a kept column that has an output's name is an error, which
+`column_prefix` (or `output`) avoids.
 """
 
 from __future__ import annotations
@@ -20,15 +22,20 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
+POSITION_BITS = 32
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches kept with their encoding by one Python worker; at the bound the memo starts anew.
-MEMO_ENTRIES = 600_000
+#: Bytes of stretches with their encodings that one Python worker keeps, about; at the bound the memo starts anew.
+#: A longer stretch than MEMO_LONGEST characters is not kept. MEMO_ENTRY is what an entry takes besides its contents.
+MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 192 << 20, 256, 420
 
 
 def fields(buffer: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -90,26 +97,39 @@ class CharMap:
         return found
 
 
-def covered(pieces: list[tuple[int, int, int]]) -> int:
-    """Source bytes in the spans of pieces (id, begin, end), each counted once."""
-    total = last = 0
-    for _, begin, end in pieces:
-        total += max(0, end - max(begin, last))
-        last = max(last, end)
-    return total
+def covered(spans: np.ndarray) -> int:
+    """Source bytes in spans (begin, end), each counted once. Spans are in order of both."""
+    if not len(spans):
+        return 0
+    begin, end = spans[:, 0], spans[:, 1]
+    return int((end - np.maximum(begin, np.concatenate([[0], end[:-1]]))).clip(0).sum())
+
+
+class Stretch(NamedTuple):
+    """An encoded stretch: decimal ids, their number, the text decoded from them, spans (begin, end) as 32-bit numbers, source bytes."""
+
+    ids: bytes
+    count: int
+    text: str
+    spans: bytes
+    size: int
 
 
 class Memo(dict):
-    """Results by stretch; a missing one is made, and past MEMO_ENTRIES all go and are made again as they occur."""
+    """Results by stretch; a missing one is made, and past MEMO_BYTES all go and are made again as they occur."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, stretch: str):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        out = self[stretch] = self.make(stretch)
+        self.make, self.held = make, 0
+
+    def __missing__(self, stretch: str) -> Stretch:
+        out = self.make(stretch)
+        if len(stretch) <= MEMO_LONGEST:
+            self.held += MEMO_ENTRY + 8 * len(stretch) + len(out.ids) + len(out.spans)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self[stretch] = out
         return out
 
 
@@ -147,6 +167,9 @@ class Model:
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.rank = {p: -self.scores[i] for p, i in self.ids.items() if self.kinds[i] in (NORMAL, USER_DEFINED, UNUSED)}
+        # Places of the scores in order, best first: with a position they make one whole number that a heap can order.
+        places = {x: k for k, x in enumerate(sorted(set(self.rank.values())))}
+        self.place = {p: places[x] << POSITION_BITS for p, x in self.rank.items()}
         own = sorted((p for i, p in enumerate(self.pieces) if self.kinds[i] == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile("|".join(map(re.escape, own))) if own else None
         # A stretch is a run of marks and what follows up to the next mark or line end, if no piece crosses those.
@@ -163,9 +186,9 @@ class Model:
         """The normalised text (with the dummy prefix, if it is a text's start), and for each of its characters the source bytes (begin, end) that it stands for."""
         source = text.encode("utf-8", "surrogatepass")
         parts: list[tuple[str, int, int]] = []
-        at = 0
+        at = place = 0
         while at < len(source):
-            if self.own and (m := self.own.match(text, len(source[:at].decode()))):
+            if self.own and (m := self.own.match(text, place)):
                 taken, out = len(m[0].encode()), m[0].encode()
             elif hit := self.charmap.longest(source, at):
                 taken, out = hit
@@ -174,11 +197,12 @@ class Model:
                 taken = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
                 out = source[at : at + taken]
             parts.append((out.decode(), at, at + taken))
+            if self.own:
+                place += len(source[at : at + taken].decode())
             at += taken
         chars = [(c, a, b) for s, a, b in parts for c in s]
         if self.trim:
-            while chars and chars[0][0] == " ":
-                chars.pop(0)
+            chars = chars[next((i for i, x in enumerate(chars) if x[0] != " "), len(chars)) :]
             while chars and chars[-1][0] == " ":
                 chars.pop()
             chars = [x for i, x in enumerate(chars) if x[0] != " " or chars[i - 1][0] != " "]
@@ -191,6 +215,7 @@ class Model:
 
     def merged(self, stretch: str) -> list[str]:
         """The pieces of a stretch: the best-scored neighbouring pair, leftmost on ties, becomes one until none is left."""
+        symbols: list[str | None]
         if self.own:
             symbols, at = [], 0
             while at < len(stretch):
@@ -200,25 +225,38 @@ class Model:
             frozen = {s for s in symbols if len(s) > 1}
         else:
             symbols, frozen = list(stretch), ()
-        rank, none = self.rank, float("inf")
+        get = self.place.get
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         made: dict[str, tuple[str, str]] = {}
-        get = rank.get
-        if frozen:
-            costs = [none if a in frozen or b in frozen else get(a + b, none) for a, b in pairwise(symbols)]
-        else:
-            costs = [get(a + b, none) for a, b in pairwise(symbols)]
-        while costs and (best := min(costs)) != none:
-            i = costs.index(best)
-            left = symbols[i]
-            right = symbols.pop(i + 1)
+        low = (1 << POSITION_BITS) - 1
+
+        def cost(i: int) -> int | None:
+            a, b = symbols[i], symbols[after[i]]
+            return None if a in frozen or b in frozen else get(a + b)
+
+        heap = [p + i for i in range(n - 1) if (p := cost(i)) is not None]
+        heapify(heap)
+        while heap:
+            best = heappop(heap)
+            i = best & low
+            # An entry is out of date if its symbol is gone or now makes another pair.
+            if symbols[i] is None or after[i] >= n or cost(i) != best - i:
+                continue
+            j = after[i]
+            left, right = symbols[i], symbols[j]
             both = symbols[i] = left + right
+            symbols[j] = None
             if self.has_unused:
                 made[both] = (left, right)
-            del costs[i]
-            if i:
-                costs[i - 1] = none if symbols[i - 1] in frozen else get(symbols[i - 1] + both, none)
-            if i < len(costs):
-                costs[i] = none if symbols[i + 1] in frozen else get(both + symbols[i + 1], none)
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (p := cost(i)) is not None:
+                    heappush(heap, p + i)
+            if before[i] >= 0 and (p := cost(before[i])) is not None:
+                heappush(heap, p + before[i])
+        symbols = [x for x in symbols if x is not None]
         if not self.has_unused:
             return symbols
 
@@ -251,14 +289,15 @@ class Model:
 
     # -- whole texts with the memo -------------------------------------------------------------------------------
 
-    def remembered(self, stretch: str) -> tuple[bytes, int, str, int]:
-        """(decimal ids, their number, text decoded from the ids, bytes spanned by the pieces) of a stretch whose marks are all spaces of the source."""
-        normal, align = self.normalized(stretch.replace(SPACE, " "), False)
-        return self.reduced(self.pieced(normal, align, [normal]))
+    def remembered(self, stretch: str) -> Stretch:
+        """The encoding of a stretch whose marks are all spaces of the source."""
+        source = stretch.replace(SPACE, " ")
+        normal, align = self.normalized(source, False)
+        return self.reduced(self.pieced(normal, align, [normal]), len(source.encode()))
 
-    def reduced(self, pieces: list[tuple[int, int, int]]) -> tuple[bytes, int, str, int]:
+    def reduced(self, pieces: list[tuple[int, int, int]], size: int) -> Stretch:
         ids = [i for i, _, _ in pieces]
-        return ",".join(map(str, ids)).encode(), len(ids), self.surface(ids), covered(pieces)
+        return Stretch(",".join(map(str, ids)).encode(), len(ids), self.surface(ids), np.array([p[1:] for p in pieces], np.int32).tobytes(), size)
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids in the middle of a text: byte pieces are joined, invalid ones become U+FFFD each."""
@@ -298,21 +337,23 @@ class Model:
             text = text.lstrip(" ") if self.trim else text[1:]
         return text
 
-    def digests(self, text: str) -> tuple[int, str, str, int]:
-        """(number of ids, sha256 of the ids, sha256 of the decoded text, bytes spanned)."""
-        if not text:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest(), 0
+    def digests(self, text: str) -> tuple[int, str, str, str, int]:
+        """(number of ids, sha256 of the ids, of the decoded text, of the spans as pairs of 64-bit numbers, bytes spanned)."""
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         # A mark of the source itself looks like a space's once normalised, so such texts are not taken from the memo.
-        if not (self.identity and self.stretch and self.dummy_prefix) or SPACE in text:
+        if not (text and self.identity and self.stretch and self.dummy_prefix) or SPACE in text:
             pieces = self.encoded(text)
             ids = [i for i, _, _ in pieces]
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decoded(ids).encode()).hexdigest(), covered(pieces)
-        # Normalisation is the same in every place and no piece crosses stretches: ids, spans and decoded texts of stretches add up.
+            spans = np.array([p[1:] for p in pieces], "<i8")
+            return len(ids), sha(",".join(map(str, ids)).encode()), sha(self.decoded(ids).encode()), sha(spans.tobytes()), covered(spans.reshape(-1, 2))
+        # Normalisation is the same in every place and no piece crosses stretches: ids, decoded texts and, from where a stretch begins, spans add up.
         first, *stretches = self.stretch.findall(SPACE + text.replace(" ", SPACE))
-        head = self.encoded(first[1:].replace(SPACE, " ")) if len(first) > 1 else [(i, 0, 0) for i in self.piece_ids(SPACE)]
-        ids, counts, back, sizes = zip(self.reduced(head), *map(self.memo.__getitem__, stretches))
-        digest = hashlib.sha256(b",".join(ids)).hexdigest()
-        return sum(counts), digest, hashlib.sha256("".join(back)[1:].encode()).hexdigest(), sum(sizes)
+        lead = first[1:].replace(SPACE, " ")
+        head = self.encoded(lead) if lead else [(i, 0, 0) for i in self.piece_ids(SPACE)]
+        ids, counts, back, spans, sizes = zip(self.reduced(head, len(lead.encode())), *map(self.memo.__getitem__, stretches))
+        begins = np.cumsum((0, *sizes[:-1]))
+        whole = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2) + np.repeat(begins, counts)[:, None]
+        return len(whole), sha(b",".join(ids)), sha("".join(back)[1:].encode()), sha(whole.astype("<i8").tobytes()), covered(whole)
 
 
 @lru_cache(maxsize=2)
@@ -321,41 +362,52 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def kept_schema(df: DataFrame, keep: tuple[str, ...], made: dict[str, str]) -> str:
+    """The schema of kept and made columns, whose names must differ."""
+    if clash := set(keep) & set(made):
+        raise ValueError(f"output names that the input has: {sorted(clash)}")
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in keep]).schema] + [f"`{n}` {t}" for n, t in made.items()])
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), column_prefix: str = "") -> DataFrame:
     """`keep`, and arrays `ids`, `begins`, `ends`: every piece's id and byte span in the source text."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"{column_prefix}{n} array<int>" for n in ("ids", "begins", "ends")])
+    names = [f"{column_prefix}{n}" for n in ("ids", "begins", "ends")]
+    schema = kept_schema(df, keep, dict.fromkeys(names, "array<int>"))
 
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            pieces = [m.encoded(t or "") for t in batch.column(len(keep)).to_pylist()]
+            pieces = [m.encoded(t.as_py() or "") for t in batch.column(len(keep))]
             arrays = [pa.array([[p[k] for p in doc] for doc in pieces], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, *(f"{column_prefix}{n}" for n in ("ids", "begins", "ends"))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, *names])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in (*keep, text)]).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), output: str = "decoded") -> DataFrame:
     """`keep` and the text of each row's ids."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"{output} string"])
+    schema = kept_schema(df, keep, {output: "string"})
 
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            texts = [m.decoded(x or []) for x in batch.column(len(keep)).to_pylist()]
+            texts = [m.decoded(x.as_py() or []) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, output])
 
-    return df.select(*keep, ids).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in (*keep, ids)]).mapInArrow(run, schema)
+
+
+DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "spans_sha256": pa.string(), "span_bytes": pa.int64()}
 
 
 def encode_digests(df: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The same encoding and decoding, reduced in place to digests: n_tokens, ids_sha256, decoded_sha256, span_bytes."""
+    """The same encoding and decoding, reduced in place to digests: n_tokens, ids_sha256, decoded_sha256, spans_sha256, span_bytes."""
 
     def run(batches):
         m = model(model_path)
         for batch in batches:
             rows = [m.digests(t.as_py() or "") for t in batch.column(1)]
-            n, ids, back, spanned = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(spanned, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(DIGESTS.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *DIGESTS])
 
-    return df.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}`").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, span_bytes bigint")
+    return df.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}`").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string, span_bytes bigint")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -33,12 +34,34 @@ def test_ids_text_and_spans_equal_the_library(model):
             assert a in (at, pieces[0][1]) or (a, b) == last, "spans tile the text; byte pieces of one character share its span"
             at, last = b, (a, b)
         assert at == len(raw)
-        n, ids_sha, back_sha, spanned = model.digests(t)
+        n, ids_sha, back_sha, spans_sha, spanned = model.digests(t)
+        assert spans_sha == hashlib.sha256(b"".join(struct.pack("<qq", a, b) for _, a, b in pieces)).hexdigest()
         assert (n, spanned) == (len(ids), len(raw))
         assert ids_sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert back_sha == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
 
 
+def test_a_long_unbroken_text(model):
+    rnd = random.Random(17)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    n, ids_sha, back_sha, _, spanned = model.digests(text)
+    assert time.process_time() - began < 60
+    ids = LIBRARY.encode(text)
+    assert (n, spanned) == (len(ids), len(text))
+    assert ids_sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert back_sha == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_the_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(own, "MEMO_BYTES", 20_000)
+    small, rnd = own.Model(PIECE_MODEL), random.Random(4)
+    for t in texts(40) + [" ".join(str(rnd.random()) for _ in range(300)), "y" * 4000]:
+        assert small.digests(t)[1] == hashlib.sha256(",".join(map(str, LIBRARY.encode(t))).encode()).hexdigest()
+        assert small.memo.held <= 20_000
+        assert all(len(k) <= own.MEMO_LONGEST for k in small.memo)
+
+
 def test_decoding_of_any_ids(model):
     rnd = random.Random(3)
     for _ in range(300):
@@ -103,13 +126,15 @@ def test_frames(spark):
     back = own.decode(own.encode(df, PIECE_MODEL), PIECE_MODEL)
     assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {1: "the in", 2: "", 3: ""}
     assert own.encode_digests(df.limit(0), PIECE_MODEL).count() == 0
+    with pytest.raises(ValueError, match="ids"):
+        own.encode(df.withColumnRenamed("doc_id", "ids"), PIECE_MODEL, keep=("ids",))
 
 
 def test_digests_show_a_piece_lost_in_encoding():
     faulty, text = own.Model(PIECE_MODEL), "some words of a text"
     whole = faulty.merged
     faulty.merged = lambda stretch: whole(stretch)[:-1] if stretch == "▁words" else whole(stretch)
-    n, _, back_sha, spanned = faulty.digests(text)
+    n, _, back_sha, _, spanned = faulty.digests(text)
     assert back_sha == hashlib.sha256(LIBRARY.decode([i for i, _, _ in faulty.encoded(text)]).encode()).hexdigest()
     assert back_sha != hashlib.sha256(text.encode()).hexdigest()
     assert spanned < len(text)
