@@ -86,7 +86,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lempelziv.deduplicate(table(spark, sf_dir, "documents"), digest=True).drop("spans")
+    return lempelziv.deduplicate(table(spark, sf_dir, "documents"), digest=True).drop("spans", "factors")
 
 
 OP8_SQL = r"""

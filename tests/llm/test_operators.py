@@ -107,6 +107,29 @@ def test_substrings_equal_brute_force(docs):
         assert sum(s["end"] - s["begin"] for s in got[i]["spans"]) == len(gone)
 
 
+def test_factors_are_copies_of_their_sources(spark, docs):
+    shared, other = prose(120, 41), prose(130, 42)
+    rows = [(1, shared), (2, other), (3, prose(9, 43) + " " + " ".join(shared.split()[:80]) + " " + other), (4, " ".join(shared.split()[:50] + other.split()[60:110])), (5, " ".join(shared.split()[20:100]) + " " + prose(60, 44))]
+    df = docs.select("doc_id", "text").filter("doc_id <> 10").withColumn("doc_id", F.col("doc_id") + 100).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = {i: t.split() for i, t in collected(df).items()}
+    got = {r["doc_id"]: r["factors"] for r in lempelziv.deduplicate(df).collect()}
+    for i, factors in got.items():
+        for f in factors:
+            assert f["source"] < i
+            assert f["length"] >= 50
+            assert words[i][f["begin"] : f["begin"] + f["length"]] == words[f["source"]][f["source_begin"] : f["source_begin"] + f["length"]]
+    # Two factors that touch stay two: the windows across them are in no document.
+    assert [(f["begin"], f["length"], f["source"], f["source_begin"]) for f in got[4]] == [(0, 50, 1, 0), (50, 50, 2, 60)]
+    assert (9, 80) in {(f["begin"], f["length"]) for f in got[3]}
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    s = prose(80, 51)
+    rows = [(1, s), (2, prose(30, 52) + " " + s), (2, prose(200, 53)), (2, "one"), (2, prose(30, 52) + " " + s), (3, prose(40, 54) + " " + prose(200, 53))]
+    got = lempelziv.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 80, 0), (2, 1, 0), (2, 110, 80), (2, 110, 80), (2, 200, 0), (3, 240, 200)]
+
+
 def test_substrings_with_repeated_ids_and_no_rows(spark):
     same = spark.createDataFrame([(1, prose(80, 9)), (1, prose(80, 9)), (None, prose(80, 9))], "doc_id long, text string")
     assert [r["n_removed"] for r in lempelziv.deduplicate(same).collect()] == [0, 0, 0]
