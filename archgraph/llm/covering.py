@@ -10,7 +10,9 @@ fingerprints, dealt to different tasks, and a tile gives the edges of a spanning
 stay whole, rows stay linear in the bucket. Components come from rounds of star contraction over a written table.
 
 Cases: null, empty and blank texts have the fingerprint zero and are linked like others; fewer words than a shingle make
-one shingle of all; repeated rows and ids share a component; an empty table gives no rows.
+one shingle of all; repeated rows and ids share a component; a row without an id is linked like others and can give no
+component its id (a component of such rows alone has none); an empty table gives no rows. Only the id and the text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,23 +29,32 @@ WORDS, RADIUS, SEED = 3, 3, 42
 TILE = 32768
 
 
-def simhash(raw: bytes, words: int = WORDS) -> int:
-    """The fingerprint of a text in UTF-8; A-Z count as lower case."""
+def shingle_hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of every shingle of a text in UTF-8, repeats included; A-Z count as lower case."""
     tokens = raw.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     k = min(words, len(tokens))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(tokens) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], dtype=">u8")
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: a bit is one if more than half the hashes set it."""
     ones = np.zeros(64, np.int64)
+    h = hashes.astype(">u8")
     for lo in range(0, len(h), 4096):
         ones += np.unpackbits(h[lo : lo + 4096].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def simhash(raw: bytes, words: int = WORDS) -> int:
+    return majority(shingle_hashes(raw, words))
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id and the fingerprint as a signed long."""
 
@@ -157,7 +168,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach."""
     prints = written(fingerprints(df, doc_id, text, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fp"), radius))
+    found = components(links(distinct.select("fp"), radius))  # tables of ids and fingerprints; the result reads them
     of = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Few components have many fingerprints: the smallest id of each is aggregated before it is joined back.
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))

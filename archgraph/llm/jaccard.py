@@ -1,56 +1,58 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles, with no pair lost.
+"""Groups of near copies for the pipeline: SimHash links first, then every other pair of similarity LEAST or more.
 
-A document is the set of XXH64 hashes of its shingles of five words. Two sets of similarity t or more share one of the first
-n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and one of the first n - ceil(t n) + 1 of the larger, in any order of
-shingles that both follow (prefix filter). So candidates come from an equality join on those, and each candidate pair is
-then held against its two whole sets. The order puts shingles that a sample of documents holds often last; it decides how
-many candidates there are, not which pairs are found.
+A document is the set of XXH64 hashes of its five-word shingles. Fingerprints of those are linked by covering LSH as in `covering`;
+that finds texts a few bits apart, which is not yet a similarity of 0.8. So the links are completed, with no pair lost:
 
-Equal sets become one first. A first join only pairs neighbours within a shingle, which already links large clusters; the
-second one pairs all that those links leave apart. Shingles of many documents are compared in tiles, dealt to different tasks.
+1. Near: besides SimHash links, documents that share the least value of one of BANDS hash functions are paired with one of
+   them, the one that holds most shingles known from elsewhere. This takes as many pairs as documents. Pairs whose whole sets are similar
+   enough make parts; a large group of copies becomes one part.
+2. Far: two sets of similarity t or more share one of the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and one of
+   the first n - ceil(t n) + 1 of the larger, in any order that both follow (prefix filter). An equality join on those
+   gives the candidates of different parts. Sets that differ by d hashes have bitmaps of parities that differ in at most d bits, so
+   under shingles that many documents hold most pairs are ruled out by their bitmaps. The others are held against their
+   whole sets.
+
+The order puts shingles that a sample of documents holds often last; it decides how many candidates there are, not which pairs
+are found. A frequent shingle is compared in tiles dealt to different tasks; documents of its largest part are not compared with each other.
 
 Cases: texts without a word (null, empty, blank) are equal to each other; fewer words than a shingle make one shingle of all;
-rows are told apart by a row number, so ids may repeat or be null.
+rows are told apart by a row number, so ids may repeat or be null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import text_chunks, written
-from archgraph.llm.covering import components
+from archgraph.llm.common import dropped, mixed, text_chunks, written
+from archgraph.llm.covering import RADIUS, components, links, majority, shingle_hashes
 
-WORDS, SEED = 5, 42
+WORDS = 5
 #: The least similarity as a fraction of whole numbers.
 LEAST = (4, 5)
-#: Documents that the order of shingles is taken from, shingles that it puts last, and entries of one shingle that are compared at once.
-SAMPLE, LATE, TILE = 20_000, 200_000, 2048
-#: First shingles of a document that the join of neighbours uses, and documents whose entries are made at once.
-NEAREST, SLICE = 3, 256
+#: Documents that the order of shingles is taken from, and shingles that it puts last.
+SAMPLE, LATE = 20_000, 200_000
+BANDS, BITS = 4, 1024
+#: A shingle of more than FREQUENT documents goes with bitmaps; one in EVERY documents tells which those are. Documents of a tile.
+FREQUENT, EVERY, TILE = 100, 64, 2048
+#: Documents whose sets are made at once.
+SLICE = 256
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
-    """Distinct shingle hashes of a text in UTF-8 in ascending order; A-Z count as lower case."""
-    tokens = raw.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    k = min(words, len(tokens))
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(tokens) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts)))
-
-
-def each_set(column, words: int):
+    """Distinct shingle hashes of a text in ascending order."""
+    return np.unique(shingle_hashes(raw, words))
+
+
+def each_text(column):
     for _, _, data, offs in text_chunks(column):
         raw = data.tobytes()
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            yield shingles(raw[a:b], words)
+            yield raw[a:b]
 
 
 def frequent(docs: DataFrame, n: int, words: int) -> np.ndarray:
@@ -58,137 +60,182 @@ def frequent(docs: DataFrame, n: int, words: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for s in each_set(batch.column(0), words):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["shingle"])
+            for raw in each_text(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(raw, words).view(np.int64))], names=["shingle"])
 
     sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // SAMPLE)))) == 0).select("text").mapInArrow(run, "shingle bigint")
     often = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(LATE)
     return np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64)
 
 
-def entries(df: DataFrame, text: str, late: np.ndarray, words: int = WORDS, least: tuple[int, int] = LEAST, most: int | None = None) -> DataFrame:
-    """(shingle, row, n, pos, part): the first shingles, `most` at most, of each row's set of n; those of `late` (most frequent first) come last.
+def parities(s: np.ndarray) -> bytes:
+    """A bitmap: each hash turns one bit over."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
-    df: (row, part, text); a null part means the row itself.
-    """
-    t, u = least
+
+SKETCH = "row bigint, n int, fp bigint, heard int, least array<bigint>, first array<bigint>, bits binary"
+
+
+def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
+    """For each document (row, text): the size of its set, its fingerprint, its shingles among `late` by the thousand, least values, first shingles in order, bitmap."""
+    t, u = share
     order = np.argsort(late)
     known = late[order]
+    seeds = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
-    def first(s: np.ndarray) -> np.ndarray:
+    def of(raw: bytes) -> tuple:
+        h = shingle_hashes(raw, words)
+        s = np.unique(h)
+        fp = int(np.uint64(majority(h)).view(np.int64)) if len(h) else 0
         if not len(s):
-            return s
+            return 0, fp, 0, [], [], b""
+        last = np.zeros(len(s), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            s = s[np.argsort(np.where(known[at] == s, len(known) - order[at], 0), kind="stable")]
-        return s[: len(s) + (-t * len(s)) // u + 1][:most]
+            last = np.where(known[at] == s, len(known) - order[at], 0)
+        first = s[np.argsort(last, kind="stable")][: len(s) + (-t * len(s)) // u + 1]
+        least = [int(mixed(s ^ x).min().view(np.int64)) for x in seeds]
+        return len(s), fp, int(1000 * (last > 0).sum() // len(s)), least, first.view(np.int64), parities(s)
+
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
-                found = [(first(s), len(s)) for s in each_set(batch.column(2), words)]
-                sizes = np.array([len(s) for s, _ in found], np.int64)
-                at = pa.array(np.repeat(np.arange(len(found)), sizes))
-                n = np.repeat(np.array([n for _, n in found], np.int32), sizes)
-                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-                flat = np.concatenate([s for s, _ in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(at), pa.array(n), pa.array(pos), batch.column(1).take(at)], names=["shingle", "row", "n", "pos", "part"])
+                made = list(zip(*map(of, each_text(batch.column(1))))) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(made, kinds))], names=[c.split()[0] for c in SKETCH.split(", ")])
 
-    return df.select("row", "part", F.col(text).alias("text")).mapInArrow(run, "shingle bigint, row bigint, n int, pos int, part bigint")
+    return docs.select("row", "text").mapInArrow(run, SKETCH)
 
 
-def paired(rows: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, least: tuple[int, int], neighbours: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within one shingle that may be similar enough and whose parts differ; or of these only those next to each other in size."""
-    t, u = least
+def stars(sketched: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): SimHash links, and each document with one of those that share a least value with it."""
+    prints = sketched.filter("n > 0").groupBy("fp").agg(F.min("row").alias("one"))
+    equal = sketched.filter("n > 0").join(prints, "fp").select(F.col("row").alias("x"), F.col("one").alias("y"))
+    ends = prints.select(F.col("fp").alias("a"), F.col("one").alias("x")), prints.select(F.col("fp").alias("b"), F.col("one").alias("y"))
+    linked = links(prints.select("fp"), radius).join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    keyed = sketched.select("row", "heard", F.posexplode("least").alias("band", "key"))
+    hubs = keyed.groupBy("band", "key").agg(F.max(F.struct("heard", F.xxhash64("row").alias("h"), "row")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(hubs, ["band", "key"]).select(F.col("row").alias("x"), F.col("hub.row").alias("y"))
+    return equal.union(linked).union(shared).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def paired(rows: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, bits: np.ndarray | None, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within one shingle that may be similar enough and whose parts differ."""
+    t, u = share
     order = np.lexsort((rows, n))
-    rows, n, pos, part = rows[order], n[order].astype(np.int64), pos[order], part[order]
+    rows, n, pos, part = rows[order], n[order], pos[order], part[order]
+    bits = None if bits is None else bits[order]
     found = []
     for i in range(len(rows) - 1):
-        end = i + 2 if neighbours else int(np.searchsorted(n, n[i] * u // t, "right"))
+        end = int(np.searchsorted(n, n[i] * u // t, "right"))
         if end <= i + 1 or pos[i] > n[i] - (2 * t * n[i] + t + u - 1) // (t + u):
             continue
         m, p = n[i + 1 : end], pos[i + 1 : end]
-        fits = (t * m <= u * n[i]) & (part[i + 1 : end] != part[i]) & (np.minimum(n[i] - pos[i], m - p) * (t + u) >= t * (n[i] + m))
-        if fits.any():
-            found.append((np.full(int(fits.sum()), rows[i]), rows[i + 1 : end][fits]))
+        fits = np.flatnonzero((t * m <= u * n[i]) & (part[i + 1 : end] != part[i]) & (np.minimum(n[i] - pos[i], m - p) * (t + u) >= t * (n[i] + m)))
+        if bits is not None and len(fits):
+            both = n[i] + m[fits]
+            fits = fits[np.bitwise_count(bits[i + 1 + fits] ^ bits[i]).sum(axis=1) <= both + 2 * (-t * both // (t + u))]
+        if len(fits):
+            found.append((np.full(len(fits), rows[i]), rows[i + 1 + fits]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found))
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(docs: DataFrame, text: str, late: np.ndarray, neighbours: bool, words: int = WORDS, least: tuple[int, int] = LEAST, tile: int = TILE, every: int = 64) -> DataFrame:
-    """(a, b): pairs of rows, a < b, that share a first shingle. docs: (row, part, text); one in `every` tells which shingles are frequent."""
-    made = lambda df: entries(df, text, late, words, least, NEAREST if neighbours else None)
-    about = made(docs.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)).groupBy("shingle").agg((F.count("*") * every).alias("about"))
-    many = about.filter(F.col("about") > tile).withColumn("blocks", F.ceil(F.col("about") * 2 / tile).cast("int")).select("shingle", "blocks")
-    dealt = made(docs).join(F.broadcast(many), "shingle", "left").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    # A tile is two blocks of a frequent shingle; the others are one tile each.
-    others = F.array(F.col("block")) if neighbours else F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0))))).withColumn("tile", F.coalesce(F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"), F.lit(0)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.select("shingle", "tile", "row", "n", "pos", "part").repartition(parts, "shingle", "tile").sortWithinPartitions("shingle", "tile").withColumn("part", F.coalesce("part", "row"))
+def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = LEAST, tile: int = TILE, every: int = EVERY, frequent: int = FREQUENT) -> DataFrame:
+    """(a, b): pairs of rows, a < b, of different parts that share a first shingle. parts: (row, part); a row without one is its own."""
+    held = sketched.join(parts, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    entries = held.select("row", "part", "n", F.posexplode("first").alias("pos", "shingle"))
+    # Of a frequent shingle: about how many documents hold it, and how many of them are of its largest part.
+    sampled = entries.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).groupBy("shingle", "part").agg((F.count("*") * every).alias("k"))
+    many = sampled.groupBy("shingle").agg(F.sum("k").alias("about"), F.max_by("part", "k").alias("main"), F.max("k").alias("of_main")).filter(F.col("about") > frequent)
+    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k * 2 / tile)).cast("int")
+    many = written(many.select("shingle", "main", blocks(F.col("of_main")).alias("mains"), blocks(F.col("about") - F.col("of_main")).alias("rests")))
+    few = entries.join(many.select("shingle"), "shingle", "left_anti").select(F.col("shingle").alias("tile"), "row", "part", "n", "pos", F.lit(None).cast("binary").alias("bits"))
+    # A tile is two blocks of the documents outside the largest part, or one of those and one of its documents.
+    own = (F.col("part") == F.col("main")).alias("own")
+    hot = entries.join(many, "shingle").join(sketched.select("row", "bits"), "row").select("*", own, F.pmod(F.xxhash64("row"), F.when(own, F.col("mains")).otherwise(F.col("rests"))).cast("int").alias("block"))
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: cell(0, F.col("block"), r))
+    among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: cell(1, F.least(F.col("block"), r), F.greatest(F.col("block"), r)))
+    with_mains = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: cell(0, m, F.col("block")))
+    hot = hot.withColumn("cell", F.explode(F.when(F.col("own"), with_rests).otherwise(F.concat(among, with_mains))))
+    hot = hot.select(F.xxhash64("shingle", "cell").alias("tile"), "row", "part", "n", "pos", "bits")
+    ordered = few.unionByName(hot).repartition(int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
 
     def run(batches):
         left = None
         for batch in batches:
-            now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            if left is not None:
-                now = np.concatenate([left, now], axis=1)
-            cuts = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0)) + 1
-            bounds = np.concatenate([[0], cuts])
+            now = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            tiles = now.column("tile").to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(tiles[1:] != tiles[:-1]) + 1])
             # The last tile may go on in the next batch.
-            left = now[:, bounds[-1] :]
+            left = now.slice(int(bounds[-1]))
             yield pairs(now, bounds)
         if left is not None:
-            yield pairs(left, np.array([0, left.shape[1]]))
-
-    def pairs(now: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        some = np.flatnonzero(np.diff(bounds) > 1)
-        found = [paired(*now[2:, bounds[k] : bounds[k + 1]], least, neighbours) for k in some.tolist()]
+            yield pairs(left, np.array([0, left.num_rows]))
+
+    def pairs(now: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        columns = [now.column(c).to_numpy().astype(np.int64) for c in ("row", "n", "pos", "part")]
+        bits = now.column("bits").combine_chunks()
+        found = []
+        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            lo, hi = bounds[k], bounds[k + 1]
+            some = bits.slice(lo, hi - lo)
+            words = None if some.null_count else np.frombuffer(b"".join(some.to_pylist()), np.uint64).reshape(len(some), -1)
+            found.append(paired(*(c[lo:hi] for c in columns), words, share))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similar(df: DataFrame, pairs: DataFrame, text: str, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (a, b) of rows whose whole sets are similar enough."""
-    t, u = least
-    side = lambda k: df.select(F.col("row").alias(k), F.col(text).alias(f"{k}_text"))
+def similar(docs: DataFrame, pairs: DataFrame, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs (a, b) of rows whose whole sets are similar enough. docs: (row, text)."""
+    t, u = share
+    side = lambda k: docs.select(F.col("row").alias(k), F.col("text").alias(f"{k}_text"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
+        of = lru_cache(maxsize=64)(lambda raw: shingles(raw, words))
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
                 fits = []
-                for x, y in zip(each_set(batch.column(2), words), each_set(batch.column(3), words)):
+                for a, b in zip(each_text(batch.column(2)), each_text(batch.column(3))):
+                    x, y = of(a), of(b)
                     fits.append(len(np.intersect1d(x, y, assume_unique=True)) * (t + u) >= t * (len(x) + len(y)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
     """(row, component): rows that chains of similar pairs connect have one component. `row` numbers the rows of a written table."""
-
-    def run(batches):
-        for batch in batches:
-            found = [xxhash.xxh3_128_digest(s.tobytes()) for s in each_set(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["row", "digest"])
-
-    docs = df.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    digests = written(docs.mapInArrow(run, "row bigint, digest binary"))
+    some = F.when(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.col(f"`{text}`")).otherwise("")
+    docs = df.select(F.col(f"`{row}`").alias("row"), some.alias("text"))
+    # Equal texts become one first; only digests move.
+    digests = docs.select("row", F.unhex(F.md5("text")).alias("digest"))
+    # Written, so that a large group of copies is a plain shuffle that can be split.
     firsts = written(digests.groupBy("digest").agg(F.min("row").alias("first")))
-    once = docs.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    late = frequent(docs, firsts.count(), words)
-
-    alone = once.withColumn("part", F.lit(None).cast("bigint"))
-    near = written(similar(once, written(candidates(alone, "text", late, True, words, least)), "text", words, least))
-    linked = written(components(near)).select(F.col("node").alias("row"), F.col("root").alias("part"))
-    far = similar(once, written(candidates(once.join(linked, "row", "left"), "text", late, False, words, least)), "text", words, least)
-    found = written(components(near.unionByName(far)))
-    roots = firsts.join(found, firsts["first"] == found.node, "left").select("digest", F.coalesce("root", "first").alias("component"))
-    return digests.join(roots, "digest").select("row", "component")
+    owners = written(digests.join(firsts, "digest").select("row", "first"))
+    late = frequent(docs, owners.count(), words)
+    whole = written(sketches(docs, late, words, share))
+    sketched = written(whole.join(owners.filter("row = first").select("row"), "row", "left_semi"))
+    dropped(whole)
+    starred = written(stars(sketched))
+    near = written(similar(docs, starred, words, share))
+    dropped(starred)
+    linked = components(near)
+    parts = linked.select(F.col("node").alias("row"), F.col("root").alias("part"))
+    crossing = written(candidates(sketched, parts, share))
+    far = written(similar(docs, crossing, words, share))
+    for table in (crossing, sketched):
+        dropped(table)
+    found = components(near.unionByName(far))
+    for table in (near, far):
+        dropped(table)
+    return owners.join(found, owners["first"] == found.node, "left").select("row", F.coalesce("root", "first").alias("component"))

@@ -30,7 +30,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that share 0.8 or more of their five-word shingles: that of the smallest id, a null id last.
 
-    Rows are numbered, so repeated and null ids are rows like others.
+    SimHash fingerprints of those shingles are linked by covering LSH, and an exact join completes the links. Rows are numbered, so
+    repeated and null ids are rows like others.
     """
     row = f"{OWN}row"
     held = written(docs.withColumn(row, F.monotonically_increasing_id()))

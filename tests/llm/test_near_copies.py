@@ -1,14 +1,21 @@
-import corpus_pipeline
+import itertools
 import random
 
+import corpus_pipeline
+import numpy as np
+
 from archgraph.llm import jaccard
 
 SCHEMA = "doc_id bigint, text string"
 
 
+def shingle_set(t):
+    return {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+
+
 def brute(texts):
     """Component of each text by all pairs."""
-    held = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set() for t in texts]
+    held = list(map(shingle_set, texts))
     root = list(range(len(texts)))
     for i, a in enumerate(held):
         for j, b in enumerate(held[:i]):
@@ -46,12 +53,18 @@ def test_groups_equal_all_pairs(spark):
     assert partition((r["row"], r["component"]) for r in got) == partition(enumerate(brute(texts)))
 
 
-def test_tiles_change_no_pair(spark, monkeypatch):
+def test_tiles_and_bitmaps_lose_no_pair(spark):
     texts = [f"{t} tail of all these texts" for t in corpus(5)]
-    docs = spark.createDataFrame([(64 * i, None, t) for i, t in enumerate(texts)], "row bigint, part bigint, text string")
-    late = jaccard.frequent(docs, 0, 5)[:0]
-    pairs = lambda tile, every: {tuple(r) for r in jaccard.candidates(docs, "text", late, False, tile=tile, every=every).collect()}
-    assert pairs(2, 1) == pairs(10**6, 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row bigint, text string")
+    sketched = jaccard.sketches(docs, np.zeros(0, np.uint64))
+    parts = spark.createDataFrame([(i, i % 7) for i in range(0, len(texts), 2)], "row bigint, part bigint")
+    pairs = lambda tile, frequent: {tuple(r) for r in jaccard.candidates(sketched, parts, tile=tile, every=1, frequent=frequent).collect()}
+    plain, bitmaps = pairs(10**6, 10**6), pairs(10**6, 1)
+    assert pairs(2, 1) == bitmaps <= plain
+    held = [shingle_set(t) for t in texts]
+    part = lambda i: i % 7 if i % 2 == 0 else i
+    like = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if part(i) != part(j) and held[i] and 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])}
+    assert like <= bitmaps
 
 
 def test_order_changes_no_pair(spark, monkeypatch):
