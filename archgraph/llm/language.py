@@ -2,12 +2,15 @@
 
 Each language has a raw-content zstandard dictionary: its most frequent words, the commonest last, where matches are
 cheapest. A text, folded to lower-case words, is compressed whole, in pieces, with every dictionary; the language
-of the smallest total wins. Where the best and the next differ by less than MARGIN of the text's bytes it is rejected.
+of the smallest total wins. The text counts as a ring, so every piece has PIECE_BYTES: the last one, which may be the only one, goes
+on with the beginning. Where the best and the next differ by less than MARGIN of the text's bytes it is rejected.
 
-Training: at most SAMPLE_DOCUMENTS different texts for each language, those of least hash among rows that are not held out.
+Training: at most SAMPLE_DOCUMENTS different texts for each language, those of least hash among rows that are not held out. All
+dictionaries together take at most MODEL_BYTES: beyond MODEL_BYTES / DICTIONARY_BYTES languages each gets an equal share.
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; ties go to the first language by
-name; with no training rows everything is `und`; more than MAX_LANGUAGES languages are an error, which bounds the broadcast.
+name; with no training rows everything is `und`; rows without an id are not trained on; repeated rows count once in training and
+get equal results; an empty table gives no rows; a column that has a result's name is an error, which `prefix` avoids.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import appended, held_out
+from archgraph.llm.common import appended, dropped, held_out, written
 
-DICTIONARY_BYTES, PIECE_BYTES, SHORT_BYTES, LEVEL = 1 << 16, 512, 128, 6
-SAMPLE_DOCUMENTS, SAMPLE_WORDS, MAX_LANGUAGES = 400, 16_384, 256
+DICTIONARY_BYTES, MODEL_BYTES, PIECE_BYTES, LEVEL = 1 << 16, 1 << 25, 512, 6
+SAMPLE_DOCUMENTS, SAMPLE_WORDS = 400, 16_384
 MARGIN, SHARPNESS = 0.003, 50.0
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -31,31 +34,27 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def dictionaries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """One dictionary for each language of the training rows."""
-    train = df.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    different = train.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    train = df.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    train = train.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    different = train.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
     # Hashes are even: below a share of their range that follows from the count lie about twice the rows wanted, however large the table.
-    sizes = different.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE_DOCUMENTS / r["n"]))) for r in sizes], F.lit(0.0)) if sizes else F.lit(0.0)
-    near = different.filter(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)
+    # Tables are written, so that the size is known by which Spark chooses to broadcast them or not.
+    shares = written(different.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCUMENTS) / F.count("*")).alias("share")))
+    near = different.join(shares, "lang").filter(F.col("h").cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = [(r[0], r[1]) for r in near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "doc_id").collect()]
-    if len({x for x, _ in chosen}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    words = train.filter(F.col("doc_id").isin(sorted({i for _, i in chosen}))).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word <> ''")
+    chosen = written(near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "h", "doc_id"))
+    words = train.join(chosen, ["lang", "h", "doc_id"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word <> ''")
     ranked = words.groupBy("lang", "word").count().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("n") <= SAMPLE_WORDS)
+    # The words of a dictionary: those whose running size fits, still in Spark, so that no more than the model reaches the driver.
+    languages = max(1, shares.count())
+    upto = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    sized = ranked.withColumn("size", F.sum(F.octet_length("word") + 1).over(upto)).filter(F.col("size") <= min(DICTIONARY_BYTES, MODEL_BYTES // languages))
     out: dict[str, list[bytes]] = {}
-    for name, word, _ in sorted(ranked.select("lang", "word", "n").collect(), key=lambda r: (r[0], r[2])):
+    for name, word, _ in sorted(sized.select("lang", "word", "n").collect(), key=lambda r: (r[0], r[2])):
         out.setdefault(name, []).append(word.encode() + b" ")
-    made = {}
-    for name, parts in out.items():
-        size, keep = 0, []
-        for p in parts:
-            size += len(p)
-            if size > DICTIONARY_BYTES:
-                break
-            keep.append(p)
-        made[name] = b" " + b"".join(reversed(keep))
-    return made
+    for table in (shares, chosen):
+        dropped(table)
+    return {name: b" " + b"".join(reversed(parts)) for name, parts in out.items()}
 
 
 class Compressors:
@@ -75,8 +74,8 @@ class Compressors:
             return UNKNOWN, 0.0, 0.0, True
         raw = f" {folded.strip()} ".encode("utf-8", "surrogatepass")
         size = len(raw)
-        if size < SHORT_BYTES:  # a block of so few bytes is stored as it is; its repetitions cost every language alike
-            raw *= 2 * SHORT_BYTES // size
+        rest = -size % PIECE_BYTES
+        raw += (raw * (rest // size + 1))[:rest]
         pieces = [raw[k : k + PIECE_BYTES] for k in range(0, len(raw), PIECE_BYTES)]
         rates = [sum(map(len, map(compress, pieces))) / size for compress in self.all]
         best = min(rates)

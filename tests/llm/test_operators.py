@@ -1,13 +1,16 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns; and brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, packing, piecewise, warc
 from archgraph.llm.common import Words, phrase, text_chunks
 from pyspark.sql import functions as F
@@ -214,6 +217,44 @@ def test_language(spark):
         language.identify(odd.withColumn("score", F.lit(1)), contents)
 
 
+def test_language_equals_brute_force(spark):
+    """Dictionaries from all rows with a plain count, and every piece compressed with every one of them."""
+    rnd = random.Random(8)
+    tongues = {k: [prose(1, 100 * n + j) for j in range(40)] for n, k in enumerate(("aa", "bb", "cc"))}
+    rows = [(i, " ".join(rnd.choice(tongues[k]) for _ in range(rnd.randint(1, 300))), k) for i, k in enumerate(list(tongues) * 30)]
+    rows += [(500, "HELD out", "dd"), (None, "no id", "dd"), (501, None, "aa"), (502, rows[1][1], "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = {(k, t) for i, t, k in rows if i is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    want = {}
+    for name in {k for k, _ in train}:
+        counts = collections.Counter(w for k, t in train if k == name for w in re.findall(r"[^\W\d_]+", t.lower()))
+        want[name] = b" " + b"".join(w.encode() + b" " for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[::-1])
+    contents = language.dictionaries(df)
+    assert contents == want
+    got = language.identify(df, contents).collect()
+    for r in got:
+        text = " " + " ".join(re.findall(r"[^\W\d_]+", (r["text"] or "").lower())) + " "
+        if not text.strip():
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        ring = (text * (512 // len(text) + 2))[: -(-len(text) // 512) * 512] if len(text) < 512 else text + text[: -len(text) % 512]
+        rates = {}
+        for name, words in contents.items():
+            params = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            rates[name] = sum(len(one.compress(ring.encode()[k : k + 512])) for k in range(0, len(ring), 512)) / len(text)
+        assert r["lang_pred"] == min(sorted(rates), key=rates.get)
+        least, other = sorted(rates.values())[:2]
+        assert r["margin"] == pytest.approx(other - least)
+
+
+def test_any_number_of_languages(spark):
+    df = spark.createDataFrame([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of tongue", f"l{i}") for i in range(400)], "doc_id long, text string, lang string")
+    contents = language.dictionaries(df)
+    assert len(contents) > 256
+    assert language.identify(df.limit(3), contents).count() == 3
+
+
 def quality_data(spark):
     rows, labels = [], []
     for i in range(240):
