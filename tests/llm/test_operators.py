@@ -329,6 +329,38 @@ def test_line_labels(spark, docs):
     assert all(r["content_share"] == 1 for r in linechain.judge(train, linechain.fit([], [])).collect())
 
 
+def test_line_labels_vary_inside_documents(spark):
+    """Bad documents of the sample hold some good lines and good ones some bad lines; only documents are labelled."""
+    rnd = random.Random(6)
+    good = lambda k: prose(rnd.randint(8, 16), k).capitalize() + "."
+    bad = lambda k: re.sub(r"(\w+)", r"\1***", prose(rnd.randint(8, 16), k).upper())
+    rows, labels, kinds = [], [], {}
+    for i in range(240):
+        quality = int(i % 3 > 0)
+        marks = [quality] * 7
+        if i % 2:
+            marks[:2] = [1 - quality] * 2
+        kinds[i] = marks
+        rows.append((i, "\n".join((good if k else bad)(100 * i + j) for j, k in enumerate(marks))))
+        labels.append((i, quality, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights, moves = linechain.fitted(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in linechain.judge(docs, (weights, moves)).collect()}
+    right = [got[i]["n_content_lines"] == sum(kinds[i]) for i in kinds]
+    assert sum(right) >= 0.97 * len(right)
+    assert all(got[i]["kept"] == bool(labels[i][1]) for i in kinds)
+    assert sum(0 < r["content_share"] < 1 for r in got.values()) >= 110
+
+
+def test_constrained_labels_agree_with_the_document():
+    rnd = np.random.default_rng(4)
+    for _ in range(100):
+        n = int(rnd.integers(1, 9))
+        score, words, moves, good = rnd.normal(size=n), rnd.integers(1, 20, n).astype(float), rnd.normal(size=(2, 2)), int(rnd.integers(2))
+        label = linechain.constrained(score, words, moves, good)
+        assert (words[label].sum() >= linechain.LEAST_SHARE * words.sum()) == bool(good)
+
+
 def test_optimal_buckets_equal_brute_force():
     rnd = random.Random(5)
     for _ in range(200):
