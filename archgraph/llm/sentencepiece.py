@@ -4,8 +4,8 @@
 the replacement strings). Normalisation replaces, at each place, the longest prefix that the map holds, and notes for
 every normalised character which source bytes it stands for, so that each piece can be projected back to a byte span of
 the source text. Merges are then made best score first, leftmost on ties, within stretches that no piece of the
-vocabulary can cross; unknown characters fall back to bytes. The pairs of a stretch wait in a heap and its symbols are a
-linked list, so a stretch of n characters takes n log n steps, however long it is.
+vocabulary can cross; unknown characters fall back to bytes. In a long stretch the pairs wait in a heap and its symbols are a
+linked list, so n characters take n log n steps.
 
 Spans: pieces tile the source. A piece whose characters all came from the dummy prefix has an empty span; each byte piece
 of one character spans that whole character.
@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
-from typing import NamedTuple
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,14 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 POSITION_BITS = 32
+#: Stands before a symbol that is not to be merged; no text in UTF-8 holds it.
+FROZEN = "\ud800"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of stretches with their encodings that one Python worker keeps, about; at the bound the memo starts anew.
 #: A longer stretch than MEMO_LONGEST characters is not kept. MEMO_ENTRY is what an entry takes besides its contents.
-MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 192 << 20, 256, 420
+MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 320 << 20, 256, 360
+#: Up to so many symbols the best pair is found by looking at all; beyond, by the heap. Both make the same pieces.
+SCANNED = 48
 
 
 def fields(buffer: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,14 +110,8 @@ def covered(spans: np.ndarray) -> int:
     return int((end - np.maximum(begin, np.concatenate([[0], end[:-1]]))).clip(0).sum())
 
 
-class Stretch(NamedTuple):
-    """An encoded stretch: decimal ids, their number, the text decoded from them, spans (begin, end) as 32-bit numbers, source bytes."""
-
-    ids: bytes
-    count: int
-    text: str
-    spans: bytes
-    size: int
+#: An encoded stretch: decimal ids, their number, the text decoded from them, spans (begin, end) as 32-bit numbers, source bytes.
+Stretch = tuple[bytes, int, str, bytes, int]
 
 
 class Memo(dict):
@@ -125,7 +124,7 @@ class Memo(dict):
     def __missing__(self, stretch: str) -> Stretch:
         out = self.make(stretch)
         if len(stretch) <= MEMO_LONGEST:
-            self.held += MEMO_ENTRY + 8 * len(stretch) + len(out.ids) + len(out.spans)
+            self.held += MEMO_ENTRY + 8 * len(stretch) + len(out[0]) + len(out[3])
             if self.held > MEMO_BYTES:
                 self.clear()
                 self.held = 0
@@ -164,6 +163,7 @@ class Model:
         self.identity = not charmap and not self.trim and self.escape
         self.ids = {p: i for i, p in enumerate(self.pieces)}
         self.unk = self.kinds.index(UNKNOWN)
+        self.whole = {p: i for p, i in self.ids.items() if self.kinds[i] != UNKNOWN}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.rank = {p: -self.scores[i] for p, i in self.ids.items() if self.kinds[i] in (NORMAL, USER_DEFINED, UNUSED)}
@@ -172,19 +172,33 @@ class Model:
         self.place = {p: places[x] << POSITION_BITS for p, x in self.rank.items()}
         own = sorted((p for i, p in enumerate(self.pieces) if self.kinds[i] == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile("|".join(map(re.escape, own))) if own else None
-        # A stretch is a run of marks and what follows up to the next mark or line end, if no piece crosses those.
+        # A stretch is a run of marks and what follows up to the next mark, line end or sign, if no piece crosses those.
         long = [p for p in self.rank if len(p) > 1]
         crosses = any(a != SPACE and b == SPACE for p in long for a, b in pairwise(p))
         lines = any("\n" in p for p in long)
-        self.stretch = None if crosses or own else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        # Nor does one go from a letter or digit on to these signs.
+        joined = {b for p in long for a, b in pairwise(p) if a.isalnum()}
+        signs = "".join(re.escape(c) for c in string.punctuation if c not in joined)
+        stop = SPACE if lines else f"{SPACE}\n"
+        word = f"{SPACE}*[^\\W_]++(?=[{stop}{signs}]|\\Z)"
+        other = f"{SPACE}*[^{stop}](?:(?!(?<=[^\\W_])[{signs}])[^{stop}])*" if signs else f"{SPACE}*[^{stop}]+"
+        self.stretch = None if crosses or own else re.compile("|".join([word, other, f"{SPACE}+", *([] if lines else ["\n"])]))
         self.has_unused = UNUSED in self.kinds
+        #: What each id shows as; None for bytes, which are joined first.
+        self.shown = [None if k == BYTE else self.unk_surface if k == UNKNOWN else "" if k == CONTROL else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
         self.memo = Memo(self.remembered)
 
     # -- normalisation -------------------------------------------------------------------------------------------
 
-    def normalized(self, text: str, start: bool = True) -> tuple[str, list[tuple[int, int]]]:
-        """The normalised text (with the dummy prefix, if it is a text's start), and for each of its characters the source bytes (begin, end) that it stands for."""
+    def normalized(self, text: str, start: bool = True) -> tuple[str, Sequence[int], Sequence[int]]:
+        """The normalised text (with the dummy prefix, if it is a text's start), and where the source bytes begin and end that each of its characters stands for."""
         source = text.encode("utf-8", "surrogatepass")
+        if not self.charmap.units and not self.own and not self.trim:  # every character stands for itself
+            places = range(len(text) + 1) if len(source) == len(text) else list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in text), initial=0))
+            begins, ends = places[:-1], places[1:]
+            if text and start and self.dummy_prefix:
+                text, begins, ends = " " + text, [0, *begins], [0, *ends]
+            return text.replace(" ", SPACE) if self.escape else text, begins, ends
         parts: list[tuple[str, int, int]] = []
         at = place = 0
         while at < len(source):
@@ -209,31 +223,57 @@ class Model:
         if chars and start and self.dummy_prefix:
             chars.insert(0, (" ", chars[0][1], chars[0][1]))
         mark = SPACE if self.escape else " "
-        return "".join(mark if c == " " else c for c, _, _ in chars), [(a, b) for _, a, b in chars]
+        return "".join(mark if c == " " else c for c, _, _ in chars), [a for _, a, _ in chars], [b for _, _, b in chars]
 
     # -- merging -------------------------------------------------------------------------------------------------
 
     def merged(self, stretch: str) -> list[str]:
         """The pieces of a stretch: the best-scored neighbouring pair, leftmost on ties, becomes one until none is left."""
-        symbols: list[str | None]
+        symbols = list(stretch)
         if self.own:
             symbols, at = [], 0
             while at < len(stretch):
                 m = self.own.match(stretch, at)
-                symbols.append(m[0] if m else stretch[at])
-                at += len(symbols[-1])
-            frozen = {s for s in symbols if len(s) > 1}
-        else:
-            symbols, frozen = list(stretch), ()
+                symbols.append(FROZEN + m[0] if m else stretch[at])
+                at = m.end() if m else at + 1
+        made: dict[str, tuple[str, str]] = {}
+        symbols = self.scanned(symbols, made) if len(symbols) <= SCANNED else self.heaped(symbols, made)
+        if self.own:
+            symbols = [x.removeprefix(FROZEN) for x in symbols]
+        if not self.has_unused:
+            return symbols
+
+        def used(symbol: str) -> list[str]:
+            if symbol in made and symbol in self.ids and self.kinds[self.ids[symbol]] == UNUSED:
+                return [x for part in made[symbol] for x in used(part)]
+            return [symbol]
+
+        return [x for s in symbols for x in used(s)]
+
+    def scanned(self, symbols: list[str], made: dict[str, tuple[str, str]]) -> list[str]:
+        none, get = 1 << 62, self.place.get
+        costs = [get(a + b, none) for a, b in pairwise(symbols)]
+        while costs and (best := min(costs)) != none:
+            i = costs.index(best)
+            left, right = symbols[i], symbols.pop(i + 1)
+            both = symbols[i] = left + right
+            if self.has_unused:
+                made[both] = (left, right)
+            del costs[i]
+            if i:
+                costs[i - 1] = get(symbols[i - 1] + both, none)
+            if i < len(costs):
+                costs[i] = get(both + symbols[i + 1], none)
+        return symbols
+
+    def heaped(self, symbols: list[str | None], made: dict[str, tuple[str, str]]) -> list[str]:
         get = self.place.get
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        made: dict[str, tuple[str, str]] = {}
         low = (1 << POSITION_BITS) - 1
 
         def cost(i: int) -> int | None:
-            a, b = symbols[i], symbols[after[i]]
-            return None if a in frozen or b in frozen else get(a + b)
+            return get(symbols[i] + symbols[after[i]])
 
         heap = [p + i for i in range(n - 1) if (p := cost(i)) is not None]
         heapify(heap)
@@ -256,51 +296,49 @@ class Model:
                     heappush(heap, p + i)
             if before[i] >= 0 and (p := cost(before[i])) is not None:
                 heappush(heap, p + before[i])
-        symbols = [x for x in symbols if x is not None]
-        if not self.has_unused:
-            return symbols
-
-        def used(symbol: str) -> list[str]:
-            if symbol in made and symbol in self.ids and self.kinds[self.ids[symbol]] == UNUSED:
-                return [x for part in made[symbol] for x in used(part)]
-            return [symbol]
-
-        return [x for s in symbols for x in used(s)]
+        return [x for x in symbols if x is not None]
 
     def piece_ids(self, piece: str) -> list[int]:
-        found = self.ids.get(piece)
-        if found is not None and self.kinds[found] != UNKNOWN:
-            return [found]
+        if piece in self.whole:
+            return [self.whole[piece]]
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unk]
 
-    def pieced(self, normal: str, align: list[tuple[int, int]], stretches: list[str]) -> list[tuple[int, int, int]]:
+    def pieced(self, begins: Sequence[int], ends: Sequence[int], stretches: list[str]) -> list[tuple[int, int, int]]:
         out, at = [], 0
         for stretch in stretches:
             for piece in self.merged(stretch):
-                span = (align[at][0], align[at + len(piece) - 1][1])
-                out += [(i, *span) for i in self.piece_ids(piece)]
-                at += len(piece)
+                end = at + len(piece)
+                begin, last = begins[at], ends[end - 1]
+                found = self.whole.get(piece)
+                if found is not None:
+                    out.append((found, begin, last))
+                else:
+                    out += [(i, begin, last) for i in self.piece_ids(piece)]
+                at = end
         return out
 
     def encoded(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of every piece; begin and end are byte offsets in the source text."""
-        normal, align = self.normalized(text)
-        return self.pieced(normal, align, self.stretch.findall(normal) if self.stretch else [normal] * bool(normal))
+        normal, begins, ends = self.normalized(text)
+        return self.pieced(begins, ends, self.stretch.findall(normal) if self.stretch else [normal] * bool(normal))
 
     # -- whole texts with the memo -------------------------------------------------------------------------------
 
     def remembered(self, stretch: str) -> Stretch:
         """The encoding of a stretch whose marks are all spaces of the source."""
         source = stretch.replace(SPACE, " ")
-        normal, align = self.normalized(source, False)
-        return self.reduced(self.pieced(normal, align, [normal]), len(source.encode()))
+        normal, begins, ends = self.normalized(source, False)
+        return self.reduced(self.pieced(begins, ends, [normal]), len(source.encode()))
 
     def reduced(self, pieces: list[tuple[int, int, int]], size: int) -> Stretch:
         ids = [i for i, _, _ in pieces]
-        return Stretch(",".join(map(str, ids)).encode(), len(ids), self.surface(ids), np.array([p[1:] for p in pieces], np.int32).tobytes(), size)
+        return ",".join(map(str, ids)).encode(), len(ids), self.surface(ids), array("i", chain.from_iterable([p[1:] for p in pieces])).tobytes(), size
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids in the middle of a text: byte pieces are joined, invalid ones become U+FFFD each."""
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         parts: list[str] = []
         pending = bytearray()
 
@@ -319,13 +357,12 @@ class Model:
                 at += size if parts[-1] != "�" else 1
             pending.clear()
 
-        for i in ids:
-            if i in self.byte_of:
+        for i, text in zip(ids, shown):
+            if text is None:
                 pending.append(self.byte_of[i])
                 continue
             flush()
-            kind = self.kinds[i]
-            parts.append(self.unk_surface if kind == UNKNOWN else "" if kind == CONTROL else self.pieces[i].replace(SPACE, " "))
+            parts.append(text)
         flush()
         return "".join(parts)
 

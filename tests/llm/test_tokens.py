@@ -10,7 +10,7 @@ from archgraph.llm import sentencepiece as own
 from archgraph.llm.queries import PIECE_MODEL
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-ALPHABET = ["a", "t", "the", "in", " ", "  ", "\n", "▁", "é", "日本", "😀", "\t", ".", "1", "<s>", "</s>", "<unk>", "<0x41>", "\0", "​", "\r"]
+ALPHABET = [",", "_", "'", "²", "*", "a", "t", "the", "in", " ", "  ", "\n", "▁", "é", "日本", "😀", "\t", ".", "1", "<s>", "</s>", "<unk>", "<0x41>", "\0", "​", "\r"]
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +53,15 @@ def test_a_long_unbroken_text(model):
     assert back_sha == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_scan_and_heap_make_the_same_pieces(model):
+    rnd = random.Random(9)
+    for _ in range(300):
+        symbols = [rnd.choice(["▁", "t", "h", "e", "i", "n", "a", "é", "0", "日"]) for _ in range(rnd.randint(0, 80))]
+        assert model.scanned(list(symbols), {}) == model.heaped(list(symbols), {})
+        frozen = [own.FROZEN + x if x in "t日" else x for x in symbols]
+        assert model.scanned(list(frozen), {}) == model.heaped(list(frozen), {})
+
+
 def test_the_memo_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(own, "MEMO_BYTES", 20_000)
     small, rnd = own.Model(PIECE_MODEL), random.Random(4)
@@ -112,9 +121,9 @@ def test_longest_prefix_of_a_compiled_map():
 def test_normalisation_keeps_alignment(model):
     other = own.Model(PIECE_MODEL)
     other.charmap, other.trim, other.identity = own.CharMap(double_array({"ﬁ".encode(): b"fi", b"x": b""})), True, False
-    text, align = other.normalized("  aﬁ x b ")
+    text, begins, ends = other.normalized("  aﬁ x b ")
     assert text == "▁afi▁b"
-    assert align == [(2, 2), (2, 3), (3, 6), (3, 6), (6, 7), (9, 10)]
+    assert list(zip(begins, ends)) == [(2, 2), (2, 3), (3, 6), (3, 6), (6, 7), (9, 10)]
 
 
 def test_frames(spark):
