@@ -9,8 +9,8 @@ that finds texts a few bits apart, which is not yet a similarity of 0.8. So the
 2. Far: two sets of similarity t or more share one of the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and one of
    the first n - ceil(t n) + 1 of the larger, in any order that both follow (prefix filter). An equality join on those
    gives the candidates of different parts. Sets that differ by d hashes have bitmaps of parities that differ in at most d bits, so
-   under shingles that many documents hold most pairs are ruled out by their bitmaps. The others are held against their
-   whole sets.
+   most pairs are ruled out by their bitmaps, under shingles that many documents hold before they are made. The others are held
+   against their whole sets.
 
 The order puts shingles that a sample of documents holds often last; it decides how many candidates there are, not which pairs
 are found. A frequent shingle is compared in tiles dealt to different tasks; documents of its largest part are not compared with each other.
@@ -68,12 +68,12 @@ def frequent(docs: DataFrame, n: int, words: int) -> np.ndarray:
     return np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64)
 
 
-def parities(s: np.ndarray) -> bytes:
-    """A bitmap: each hash turns one bit over."""
-    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def parities(s: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS bits: each hash turns one over."""
+    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "row bigint, n int, fp bigint, heard int, least array<bigint>, first array<bigint>, bits binary"
+SKETCH = "row bigint, n int, fp bigint, heard int, least array<bigint>, first array<bigint>, bits array<bigint>"
 
 
 def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple
         s = np.unique(h)
         fp = int(np.uint64(majority(h)).view(np.int64)) if len(h) else 0
         if not len(s):
-            return 0, fp, 0, [], [], b""
+            return 0, fp, 0, [], [], []
         last = np.zeros(len(s), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple
         least = [int(mixed(s ^ x).min().view(np.int64)) for x in seeds]
         return len(s), fp, int(1000 * (last > 0).sum() // len(s)), least, first.view(np.int64), parities(s)
 
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
 
     def run(batches):
         for whole in batches:
@@ -154,7 +154,7 @@ def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = L
     many = sampled.groupBy("shingle").agg(F.sum("k").alias("about"), F.max_by("part", "k").alias("main"), F.max("k").alias("of_main")).filter(F.col("about") > frequent)
     blocks = lambda k: F.greatest(F.lit(1), F.ceil(k * 2 / tile)).cast("int")
     many = written(many.select("shingle", "main", blocks(F.col("of_main")).alias("mains"), blocks(F.col("about") - F.col("of_main")).alias("rests")))
-    few = entries.join(many.select("shingle"), "shingle", "left_anti").select(F.col("shingle").alias("tile"), "row", "part", "n", "pos", F.lit(None).cast("binary").alias("bits"))
+    few = entries.join(many.select("shingle"), "shingle", "left_anti").select(F.col("shingle").alias("tile"), "row", "part", "n", "pos", F.lit(None).cast("array<bigint>").alias("bits"))
     # A tile is two blocks of the documents outside the largest part, or one of those and one of its documents.
     own = (F.col("part") == F.col("main")).alias("own")
     hot = entries.join(many, "shingle").join(sketched.select("row", "bits"), "row").select("*", own, F.pmod(F.xxhash64("row"), F.when(own, F.col("mains")).otherwise(F.col("rests"))).cast("int").alias("block"))
@@ -185,7 +185,7 @@ def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = L
         for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
             lo, hi = bounds[k], bounds[k + 1]
             some = bits.slice(lo, hi - lo)
-            words = None if some.null_count else np.frombuffer(b"".join(some.to_pylist()), np.uint64).reshape(len(some), -1)
+            words = None if some.null_count else some.flatten().to_numpy().view(np.uint64).reshape(len(some), -1)
             found.append(paired(*(c[lo:hi] for c in columns), words, share))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -193,6 +193,15 @@ def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = L
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def plausible(pairs: DataFrame, sketched: DataFrame, share: tuple[int, int] = LEAST) -> DataFrame:
+    """The pairs that their bitmaps do not rule out. Texts of the others need not move."""
+    t, u = share
+    side = lambda k: sketched.select(F.col("row").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("a_n") + F.col("b_n")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ <= both - 2 * F.ceil(t * both / (t + u))).select("a", "b")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
     """The pairs (a, b) of rows whose whole sets are similar enough. docs: (row, text)."""
     t, u = share
@@ -226,12 +235,12 @@ def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, shar
     whole = written(sketches(docs, late, words, share))
     sketched = written(whole.join(owners.filter("row = first").select("row"), "row", "left_semi"))
     dropped(whole)
-    starred = written(stars(sketched))
+    starred = written(plausible(stars(sketched), sketched, share))
     near = written(similar(docs, starred, words, share))
     dropped(starred)
     linked = components(near)
     parts = linked.select(F.col("node").alias("row"), F.col("root").alias("part"))
-    crossing = written(candidates(sketched, parts, share))
+    crossing = written(plausible(candidates(sketched, parts, share), sketched, share))
     far = written(similar(docs, crossing, words, share))
     for table in (crossing, sketched):
         dropped(table)

@@ -38,7 +38,7 @@ FROZEN = "\ud800"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of stretches with their encodings that one Python worker keeps, about; at the bound the memo starts anew.
 #: A longer stretch than MEMO_LONGEST characters is not kept. MEMO_ENTRY is what an entry takes besides its contents.
-MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 320 << 20, 256, 360
+MEMO_BYTES, MEMO_LONGEST, MEMO_ENTRY = 448 << 20, 256, 360
 #: Up to so many symbols the best pair is found by looking at all; beyond, by the heap. Both make the same pieces.
 SCANNED = 48
 
@@ -328,7 +328,7 @@ class Model:
         """The encoding of a stretch whose marks are all spaces of the source."""
         source = stretch.replace(SPACE, " ")
         normal, begins, ends = self.normalized(source, False)
-        return self.reduced(self.pieced(begins, ends, [normal]), len(source.encode()))
+        return self.reduced(self.pieced(begins, ends, [normal]), ends[-1])
 
     def reduced(self, pieces: list[tuple[int, int, int]], size: int) -> Stretch:
         ids = [i for i, _, _ in pieces]
