@@ -128,5 +128,138 @@ def nodes_of(components: DataFrame, methods: DataFrame) -> DataFrame:
     return a.unionByName(b).dropDuplicates(["id"])
 
 
+# The type of the edge from an application to a component of each kind.
+CONTAINS = {"Controller": "CONTAINS_CONTROLLER", "Service": "CONTAINS_SERVICE", "Repository": "CONTAINS_REPOSITORY", "KafkaListener": "CONTAINS_KAFKA_LISTENER", "Configuration": "CONTAINS_CONFIGURATION"}
+
+
+def edges_of(components: DataFrame, methods: DataFrame, calls: DataFrame, external: DataFrame, produced: DataFrame, consumed: DataFrame, tables: DataFrame) -> DataFrame:
+    """edges(src, dst, type) of a parsed application, each once, between canonical ids.
+
+    components (qualified_name, class_name, package_name, kind, app_key); methods (method_id, component_id, method_name, signature, http_method, full_path; verb and path
+    are null for what is no endpoint); calls (caller, callee) and external (method_id, http_method, url), produced and consumed (method_id, topic) name methods by method_id;
+    tables (component_id, table_name).
+    """
+    ident = F.when(F.col("kind") == "Controller", scalars.controller_id("package_name", "class_name")).when(F.col("kind") == "Repository", scalars.repository_id("package_name", "class_name")).otherwise(scalars.service_id("package_name", "class_name"))
+    named = components.select(F.col("qualified_name").alias("component_id"), "package_name", "class_name", "kind", "app_key", ident.alias("component"))
+    own = F.when(F.col("http_method").isNotNull(), scalars.endpoint_id("http_method", "full_path")).otherwise(scalars.method_id("package_name", "class_name", "method_name", "signature"))
+    # A method that no endpoint, service, repository or listener has is no node.
+    node = methods.join(named, "component_id").filter("http_method IS NOT NULL OR kind <> 'Controller'").select("method_id", own.alias("node"), "component", "kind", F.col("http_method").isNotNull().alias("is_endpoint"))
+    edge = lambda rows, src, dst, kind: rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"))
+    contains = F.element_at(F.create_map(*[F.lit(x) for kv in CONTAINS.items() for x in kv]), F.col("kind"))
+    member = F.when(F.col("is_endpoint"), "HAS_ENDPOINT").when(F.col("kind") == "KafkaListener", "HAS_LISTENER_METHOD").otherwise("HAS_METHOD")
+    by = lambda rows, column: rows.join(node.select(F.col("method_id").alias(column), F.col("node").alias(f"{column}_node")), column)
+    called = by(by(calls.select("caller", "callee").distinct(), "caller"), "callee")
+    topic = lambda rows: by(rows.select("method_id", scalars.topic_id(F.coalesce(F.nullif(F.trim("topic"), F.lit("")), F.lit(UNKNOWN_TOPIC))).alias("topic")), "method_id")
+    outside = by(external.select("method_id", scalars.external_id("http_method", "url", F.lit(False)).alias("call")), "method_id")
+    parts = [
+        edge(named.filter(contains.isNotNull() & F.col("app_key").isNotNull()), "app_key", "component", contains),
+        edge(node, "component", "node", member),
+        edge(called, "caller_node", "callee_node", "CALLS"),
+        edge(outside, "method_id_node", "call", "MAKES_EXTERNAL_CALL"),
+        edge(topic(produced), "method_id_node", "topic", "PRODUCES_TO"),
+        edge(topic(consumed), "method_id_node", "topic", "CONSUMES_FROM"),
+        edge(tables.join(named, "component_id").select("component", scalars.table_id("table_name").alias("table")), "component", "table", "ACCESSES"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def beans(methods: DataFrame) -> DataFrame:
+    """(component_id, bean_name, method_name, return_type): methods of configurations that define a bean, by its given name or the method's. methods also has annotations."""
+    given = F.try_element_at(F.filter("annotations", lambda a: a["annotation"] == "Bean"), F.lit(1))
+    return methods.withColumn("bean", given).filter("bean IS NOT NULL").select("component_id", F.coalesce(F.nullif("bean.argument", F.lit("")), F.col("method_name")).alias("bean_name"), "method_name", "return_type")
+
+
+def bean_edges(configurations: DataFrame, found: DataFrame) -> DataFrame:
+    """DEFINES_BEAN edges of configurations. configurations (qualified_name)."""
+    known = configurations.select(F.col("qualified_name").alias("component_id"))
+    return found.join(known, "component_id", "left_semi").select(F.col("component_id").alias("src"), F.concat(F.lit("bean:"), F.col("component_id"), F.lit("."), F.col("bean_name")).alias("dst"), F.lit("DEFINES_BEAN").alias("type")).distinct()
+
+
+def body_types(methods: DataFrame) -> DataFrame:
+    """methods with request_type, the type of the parameter marked RequestBody, and response_type, what is returned unless it is void. methods: (parameters text, return_type)."""
+    request = F.nullif(F.regexp_extract("parameters", r"@RequestBody(?:\([^)]*\))?\s+(?:final\s+|@\w+(?:\([^)]*\))?\s+)*([\w.]+(?:<[^>]*>+)?(?:\[\])?)\s+\w+", 1), F.lit(""))
+    return methods.withColumn("request_type", request).withColumn("response_type", F.nullif("return_type", F.lit("void")))
+
+
+def with_members(owners: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """(owner_id, member_id): members of each owner by its links; of an owner without any, those that name its class in the same application.
+
+    owners (id, class_name, app_key); links (src, dst); members (id, class_name, app_key).
+    """
+    linked = links.join(owners.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("owner_id"), F.col("dst").alias("member_id")).distinct()
+    bare = owners.join(linked.select(F.col("owner_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("owner_id"), "class_name", "app_key")
+    by_name = bare.join(members.select(F.col("id").alias("member_id"), "class_name", "app_key"), ["class_name", "app_key"]).select("owner_id", "member_id")
+    return linked.unionByName(by_name.distinct())
+
+
+def registry(details: DataFrame) -> DataFrame:
+    """(topic, class_name, method_name, line): the entries of each topic's details `Class.method (line n)`, each once; one without a dot names a class only. details: (topic, detail array<string>)."""
+    rows = details.select("topic", F.explode(F.array_distinct("detail")).alias("d")).withColumn("name", F.regexp_replace("d", r"\s*\(line \d+\)$", ""))
+    split = F.col("name").contains(".")
+    line = F.nullif(F.regexp_extract("d", r"\(line (\d+)\)$", 1), F.lit("")).cast("int")
+    return rows.select("topic", F.when(split, F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)).otherwise(F.col("name")).alias("class_name"), F.when(split, F.substring_index("name", ".", -1)).alias("method_name"), line.alias("line")).distinct()
+
+
+MAPPING_ANNOTATIONS = rules.RULES["MAPPING_ANNOTATIONS"]
+
+
+def tables_of(rows: DataFrame, app_key: Column) -> dict[str, DataFrame]:
+    """Staging rows of a source reader as the tables that the other functions take: components, methods, injections, invocations, entities, feign.
+
+    `app_key` is the application's key by the package_name of a type. Places in files stand for the order in which things were found.
+    """
+    place = F.concat(F.col("path"), F.lit("#"), F.lpad(F.col("ord").cast("string"), 9, "0"))
+    qualified = lambda name: scalars.qualified("package_name", name)
+    names = F.transform("annotations", lambda a: a["annotation"])
+    argument = lambda *which: F.try_element_at(F.transform(F.filter("annotations", lambda a: a["annotation"].isin(*which)), lambda a: a["argument"]), F.lit(1))
+    method_rows = rows.filter("kind = 'method'")
+    listening = method_rows.filter(F.array_contains(names, "KafkaListener")).select(qualified("owner").alias("qualified_name"), F.lit(True).alias("has_listener")).distinct()
+    types = rows.filter("kind = 'type'").select(
+        qualified("name").alias("qualified_name"), F.col("name").alias("class_name"), "package_name", names.alias("annotations"), "interfaces", "extends_class", place.alias("ord"), F.col("declared").alias("form"),
+        argument("RequestMapping").alias("base_path"), argument("Table").alias("table_name"), app_key.alias("app_key"),
+    )
+    types = types.join(listening, "qualified_name", "left").na.fill(False, ["has_listener"])
+    components = classified(types)
+    base = types.groupBy(F.col("qualified_name").alias("component_id")).agg(F.min_by("base_path", "ord").alias("base_path"))
+    method = method_rows.select(
+        F.concat("path", F.lit("#"), F.col("ord").cast("string")).alias("method_id"), qualified("owner").alias("component_id"), F.col("name").alias("method_name"), F.col("argument").alias("signature"),
+        F.col("declared").alias("return_type"), F.regexp_extract("argument", r"(?s)\((.*)\)$", 1).alias("parameters"), "annotations", argument("KafkaListener").alias("topic"), place.alias("ord"),
+    )
+    of_controller = components.filter("kind = 'Controller'").select(F.col("qualified_name").alias("component_id"), F.lit(True).alias("routed"))
+    mapped = F.filter("annotations", lambda a: a["annotation"].isin(*MAPPING_ANNOTATIONS))
+    routed = method.join(base, "component_id", "left").join(of_controller, "component_id", "left").withColumn("m", F.explode_outer(F.when(F.col("routed"), mapped)))
+    strip = lambda x: F.regexp_extract(F.coalesce(x, F.lit("")), r'"?([^"=]*)"?\s*$', 1)
+    methods = routed.select(*method.columns, F.when(F.col("m").isNotNull(), rules.http_method(F.col("m.annotation"))).alias("http_method"), F.when(F.col("m").isNotNull(), scalars.join_paths(strip(F.col("base_path")), strip(F.col("m.argument")))).alias("full_path"))
+    injections = rows.filter("kind = 'field'").select(qualified("owner").alias("component_id"), F.col("name").alias("field_name"), "declared", place.alias("ord"))
+    fields = injections.groupBy("component_id", F.col("field_name").alias("target_field")).agg(F.max_by("declared", "ord").alias("declared"))
+    invocations = rows.filter("kind = 'call'").select(
+        place.alias("invocation_id"), F.concat("path", F.lit("#"), F.floor(F.col("ord") / 1000).cast("string")).alias("method_id"), qualified("owner").alias("component_id"),
+        F.col("declared").alias("target_field"), F.col("member").alias("method_name"), F.col("declared").isNull().alias("self_call"), "argument", F.when(F.col("argument").contains("/"), F.col("argument")).alias("url"),
+    ).join(fields, ["component_id", "target_field"], "left")
+    entities = types.filter(F.array_contains("annotations", "Entity")).select("qualified_name", F.nullif(strip(F.col("table_name")), F.lit("")).alias("table_name"))
+    feign = types.filter(F.array_contains("annotations", "FeignClient")).select("class_name")
+    return {"types": types, "components": components, "methods": methods, "injections": injections, "invocations": invocations, "entities": entities, "feign": feign}
+
+
+def graph_of(rows: DataFrame, app_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from a source reader's staging rows: everything from classification to the edge table."""
+    t = tables_of(rows, app_key)
+    components, methods, invocations = t["components"], t["methods"], t["invocations"]
+    calls = resolved_calls(invocations, methods, t["injections"], components)
+    kafka = rules.client_kind(F.col("declared"), F.col("method_name"), F.lit(False)) == "Kafka"
+    produced = invocations.filter(kafka).select("method_id", F.col("argument").alias("topic"))
+    consumed = methods.filter("topic IS NOT NULL").select("method_id", F.regexp_extract("topic", r'(?:topics\s*=\s*)?\{?\s*"?([^",}]*)', 1).alias("topic"))
+    external = external_calls(invocations, t["feign"])
+    repositories = components.filter("kind = 'Repository'").select(F.col("qualified_name").alias("component_id"), F.nullif(F.regexp_extract("extends_class", r"<\s*([\w.]+)", 1), F.lit("")).alias("entity"), "extends_class")
+    named = methods.groupBy("component_id").agg(F.collect_set("method_name").alias("method_names"))
+    tables = repository_tables(repositories.join(named, "component_id", "left").withColumn("method_names", F.coalesce("method_names", F.array().cast("array<string>"))), t["entities"])
+    edges = edges_of(components, methods, calls, external, produced, consumed, tables)
+    configured = components.filter("kind = 'Configuration'")
+    return nodes_of(components, methods), edges.unionByName(bean_edges(configured, beans(methods)))
+
+
 def status_code(return_type: Column, verb: Column) -> Column:
     return F.when(F.coalesce(return_type, F.lit("void")) == "void", 204).when(verb == "POST", 201).otherwise(200)

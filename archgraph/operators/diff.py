@@ -65,3 +65,15 @@ def summary(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     a = nodes.groupBy("type", "change").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "type", "change", "n")
     b = relations.groupBy("change").agg(F.count("*").alias("n")).select(F.lit("relation").alias("part"), F.lit(None).cast("string").alias("type"), "change", "n")
     return a.unionByName(b)
+
+
+def shown(snapshots: DataFrame, summaries: DataFrame, with_diff: bool = False) -> DataFrame:
+    """Snapshots as they are answered: their own columns and the five counts of the diff's summary; `diff_json` only if asked for.
+
+    snapshots (snapshot_id, status, ..., diff_json); summaries (snapshot_id, part, change, n). A snapshot without a summary has zeros.
+    """
+    count = lambda part, change: F.coalesce(F.sum(F.when((F.col("part") == part) & (F.col("change") == change), F.col("n"))), F.lit(0)).cast("bigint")
+    cells = [("node", "ADDED", "nodes_added"), ("node", "MODIFIED", "nodes_modified"), ("node", "REMOVED", "nodes_removed"), ("relation", "ADDED", "relations_added"), ("relation", "REMOVED", "relations_removed")]
+    counts = summaries.groupBy("snapshot_id").agg(*[count(part, change).alias(name) for part, change, name in cells])
+    out = snapshots if with_diff else snapshots.drop("diff_json")
+    return out.join(counts, "snapshot_id", "left").na.fill(0, [name for _, _, name in cells])

@@ -51,10 +51,10 @@ def candidates(calls: DataFrame) -> DataFrame:
 def scored(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(call_id, endpoint_id, score): every pair that may win, with its best score over the URL's candidates.
 
-    calls (call_id, url); endpoints (endpoint_id, path); empty endpoint paths match nothing.
+    calls (call_id, url); endpoints (endpoint_id, path), whose paths are brought into the form of URLs; empty ones match nothing.
     """
     urls = candidates(calls)
-    ends = endpoints.filter(F.coalesce(F.col("path"), F.lit("")) != "").select("endpoint_id", "path").withColumn("parts", segments(F.col("path")))
+    ends = endpoints.filter(F.coalesce(F.col("path"), F.lit("")) != "").select("endpoint_id", scalars.resolver_url("path").alias("path")).withColumn("parts", segments(F.col("path")))
     back = F.reverse("parts")
     trailing = F.aggregate(back, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & is_variable(x)).cast("int")).alias("n"), (s["on"] & is_variable(x)).alias("on")))["n"]
     wild = F.exists("parts", lambda s: (s.contains("{") & ~is_variable(s)) | s.contains("*"))
@@ -75,9 +75,9 @@ def scored(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     shape = F.regexp_replace("path", r"\{[^}]+\}", "{}")
     numbered = urls.withColumn("size", F.size(segments(F.col("candidate"))))
     matched = lambda df: df.select("call_id", "candidate", "endpoint_id", "path")
-    # By trailing variables alone, whatever the URL's segments are, if it has two or more.
+    # By trailing variables alone, whatever the URL's segments are: as many as the segments agree, the place before the first slash counts as one.
     trailed = least(ends.filter("d >= 2"), "d").drop("d")
-    pairs = pairs.unionByName(matched(numbered.filter("size >= 2").crossJoin(F.broadcast(trailed))))
+    pairs = pairs.unionByName(matched(numbered.crossJoin(F.broadcast(trailed))))
     # Variables only, as many as the URL has segments.
     variable = least(ends.filter("d > 0 AND d = size(parts)").withColumn("size", F.col("d")).withColumn("shape", shape), "size", "shape")
     pairs = pairs.unionByName(matched(numbered.join(variable, "size")))

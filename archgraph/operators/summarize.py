@@ -25,10 +25,20 @@ def per_application(applications: DataFrame, nodes: DataFrame, types: tuple[str,
     return applications.select("app_key").join(counted, "app_key", "left").na.fill(0, [t.lower() for t in types])
 
 
+def first_values(rows: DataFrame, by: str | list[str], value: str, k: int, name: str = "values") -> DataFrame:
+    """(by, name): the first k distinct values of each group in order. Only k rows of a group meet, however many it has."""
+    by = [by] if isinstance(by, str) else by
+    ranked = top_per(rows.select(*by, value).filter(F.col(value).isNotNull()).distinct(), by, [F.col(value)], k)
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def lists_by(nodes: DataFrame, by: str, value: str, null_label: str = "Unknown", limit: int | None = None) -> DataFrame:
     """(by, n, values): sorted values of each group, the first `limit` of them."""
-    found = F.array_sort(F.collect_set(value))
-    return nodes.groupBy(F.coalesce(F.col(by), F.lit(null_label)).alias(by)).agg(F.count("*").alias("n"), (F.slice(found, 1, limit) if limit else found).alias("values"))
+    rows = nodes.select(F.coalesce(F.col(by), F.lit(null_label)).alias(by), value)
+    if limit is None:
+        return rows.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(value)).alias("values"))
+    listed = rows.groupBy(by).agg(F.count("*").alias("n")).join(first_values(rows, by, value, limit), by, "left")
+    return listed.withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
 
 def metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -59,6 +59,24 @@ def walks(edges: DataFrame, starts: DataFrame, max_depth: int, trail: bool = Fal
     return out
 
 
+def reach_of(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, id, depth): what each start reaches from its nodes, those included, with the least distance. starts: (start, id).
+
+    Each hop takes only pairs that are new, so the work follows the answer and not the number of paths.
+    """
+    links = written(edges.select("src", "dst").distinct(), "edges")
+    step = written(starts.select("start", "id").distinct().withColumn("depth", F.lit(0)))
+    out, depth = step, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        new = step.join(links, step.id == links.src).select("start", F.col("dst").alias("id")).distinct()
+        step = written(new.join(out, ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if step.isEmpty():
+            break
+        out = written(out.unionByName(step)) if depth % 8 == 0 else out.unionByName(step)
+    return out
+
+
 def closure_collect(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, reached): for each start the sorted distinct nodes within max_depth hops; starts without any are left out.
 
@@ -88,8 +106,37 @@ def accesses_reached(calls: DataFrame, accesses: DataFrame, starts: DataFrame) -
     return accesses.join(found, "src", "left_semi").select(F.col("src").alias("repository"), F.col("dst").alias("table")).distinct()
 
 
+# Edges of the full graph from an application to its components, from those to their members, and between members.
+COMPONENT_EDGES = {"CONTAINS_CONTROLLER": "Controller", "CONTAINS_SERVICE": "Service", "CONTAINS_REPOSITORY": "Repository", "CONTAINS_KAFKA_LISTENER": "KafkaListener"}
+MEMBER_EDGES = {"HAS_ENDPOINT": "Endpoint", "HAS_METHOD": "Method", "ACCESSES": "DatabaseTable"}
+
+
+def full_graph(edges: DataFrame, nodes: DataFrame, depth: int, types: tuple[str, ...] | None = None) -> DataFrame:
+    """edges(src, dst, type) of the graph that is drawn from applications down to a depth.
+
+    Components, the endpoints of controllers and the first table of each repository are there at any depth; the methods of services and the calls of endpoints,
+    each hop one more, from depth 2 on. Only what leads to a node of the types asked for (all without) is followed.
+    """
+    kind = nodes.select(F.col("id").alias("dst"), F.col("type").alias("of"))
+    wanted = lambda t: types is None or not types or t in types
+    own = {k: v for k, v in COMPONENT_EDGES.items() if wanted(v)}
+    members = {k: v for k, v in MEMBER_EDGES.items() if wanted(v) and (k != "HAS_METHOD" or depth > 1)}
+    contained = edges.filter(F.col("type").isin(*own)) if own else edges.limit(0)
+    parents = contained.select(F.col("dst").alias("src"), F.element_at(F.create_map(*[F.lit(x) for kv in COMPONENT_EDGES.items() for x in kv]), F.col("type")).alias("parent"))
+    inner = edges.filter(F.col("type").isin(*members)).join(parents, "src") if members else edges.withColumn("parent", F.lit("")).limit(0)
+    inner = inner.filter(F.coalesce(~((F.col("type") == "HAS_METHOD") & (F.col("parent") != "Service")), F.lit(True))).select("src", "dst", "type")
+    first_table = inner.filter("type = 'ACCESSES'").groupBy("src", "type").agg(F.min("dst").alias("dst")).select("src", "dst", "type")
+    out = contained.select("src", "dst", "type").unionByName(inner.filter("type <> 'ACCESSES'")).unionByName(first_table)
+    if depth > 1 and wanted("Method"):
+        calls = edges.filter("type = 'CALLS'").join(kind.filter("of = 'Method'").select("dst"), "dst", "left_semi")
+        starts = inner.filter("type = 'HAS_ENDPOINT'").select(F.col("dst").alias("id"))
+        at = reach(calls, starts, max_depth=depth - 2, include_starts=True) if depth > 2 else starts.distinct()
+        out = out.unionByName(calls.join(at.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "type"))
+    return out.distinct()
+
+
 def levels(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Edges of the full graph down to a depth: 1 applications and services, 2 endpoints and repositories, 3 calls, 4 tables."""
+    """Edges of the full graph whose type belongs to a level at most as deep: 1 applications and services, 2 endpoints and repositories, 3 calls, 4 tables."""
     by_level = {"CONTAINS_SERVICE": 1, "HAS_ENDPOINT": 2, "HAS_REPOSITORY": 2, "CALLS": 3, "ACCESSES": 4}
     kept = [k for k, v in by_level.items() if v <= depth]
     return edges.filter(F.col("type").isin(*kept)).distinct()

@@ -77,10 +77,17 @@ def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None
     return out
 
 
-def service_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): how many lines of a service's orders another service's repositories fill. Pre-aggregated before each join."""
+def callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from each repository back to the endpoint of its number, which close cycles of calls."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey").join(known, "s_suppkey").select(key("s", "s_suppkey").alias("src"), key("c", "s_suppkey").alias("dst"), F.lit("CALLS_ENDPOINT").alias("type"))
+
+
+def service_calls(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    """(src, dst, weight): how many lines (of one snapshot, with `status`) of a service's orders another service's repositories fill. Pre-aggregated before each join."""
     t = lambda name: table(spark, sf_dir, name)
-    per = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    lines = t("lineitem") if status is None else t("lineitem").filter(F.col("l_linestatus") == status)
+    per = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
     by_customer = per.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("n").alias("n"))
     joined = by_customer.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "l_suppkey").agg(F.sum("n").alias("n"))
     joined = joined.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -103,6 +110,10 @@ nodes AS (
   UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey, 'CALLS' FROM orders
   UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 's:' || l_suppkey, 'CALLS' FROM lineitem
   UNION ALL SELECT DISTINCT 's:' || l_suppkey, 'p:' || l_partkey, 'ACCESSES' FROM lineitem
+), callbacks AS (
+  SELECT 's:' || s_suppkey AS src, 'c:' || c_custkey AS dst, 'CALLS_ENDPOINT' AS type FROM supplier JOIN customer ON c_custkey = s_suppkey
+), rings AS (
+  SELECT src, dst FROM edges WHERE type = 'CALLS' UNION ALL SELECT src, dst FROM callbacks
 ), service_calls AS (
   SELECT 'n:' || c_nationkey AS src, 'n:' || s_nationkey AS dst, count(*) AS weight
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,42 @@ def text_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def split_flow(body: str) -> list[str]:
+    """The entries of a flow collection's inside, at its commas outside quotes and brackets."""
+    out, at = [], 0
+    while at < len(body):
+        end = cut_outside(body, at, ",")
+        out.append(body[at:end].strip())
+        at = end + 1
+    return [x for x in out if x]
+
+
+def flow_values(key: str, value: str) -> Iterator[tuple[str, str]]:
+    """(key, value) of a scalar, or of what a flow mapping or list on one line holds."""
+    value = value.strip()
+    if value[:1] == "{" and value[-1:] == "}":
+        for entry in split_flow(value[1:-1]):
+            name, _, rest = entry.partition(":")
+            yield from flow_values(f"{key}.{name.strip().strip(QUOTES)}".lstrip("."), rest)
+    elif value[:1] == "[" and value[-1:] == "]":
+        for k, entry in enumerate(split_flow(value[1:-1])):
+            yield from flow_values(f"{key}[{k}]", entry)
+    else:
+        yield key, value.strip(QUOTES)
+
+
+QUOTES = "\"'"
+
+
 def flatten_yaml(text: str) -> Iterator[tuple[str, str]]:
-    """(dotted key, value) of mappings, lists and plain scalars; list items are `key[i]`."""
+    """(dotted key, value) of mappings, lists, block and flow styles and plain scalars; list items are `key[i]`."""
     stack: list[tuple[int, str]] = []
     counts: dict[str, int] = {}
-    for raw in text.splitlines():
-        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+    lines = text.splitlines()
+    at = 0
+    while at < len(lines):
+        line = re.sub(r"(^|\s)#.*$", "", lines[at]).rstrip()
+        at += 1
         if not line.strip() or line.strip() in ("---", "..."):
             continue
         indent, body = len(line) - len(line.lstrip()), line.strip()
@@ -41,15 +72,22 @@ def flatten_yaml(text: str) -> Iterator[tuple[str, str]]:
             body = body[1:].strip()
             stack.append((indent + 1, parent))
             indent += 2
-        m = re.match(r"""("[^"]*"|'[^']*'|[^:\s][^:]*):(?:\s+(.*))?$""", body)
-        if m:
-            key = f"{parent}.{m[1].strip(chr(34) + chr(39))}".lstrip(".")
-            if m[2]:
-                yield key, m[2].strip().strip("\"'")
-            else:
-                stack.append((indent, key))
-        elif body:
-            yield parent, body.strip("\"'")
+        m = re.match(r"""("[^"]*"|'[^']*'|[^:\s{\[][^:]*):(?:\s+(.*))?$""", body)
+        key = f"{parent}.{m[1].strip(QUOTES)}".lstrip(".") if m else parent
+        value = (m[2] or "").strip() if m else body
+        if block := re.match(r"([|>])([+-]?)\d?$", value):
+            # The lines that are deeper than the key, without their common indent; folded ones are joined by spaces.
+            held = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > (stack[-1][0] if stack and not m else indent if not stack or stack[-1][0] != indent - 1 else indent - 2)):
+                held.append(lines[at])
+                at += 1
+            depth = min((len(x) - len(x.lstrip()) for x in held if x.strip()), default=0)
+            joined = ("\n" if block[1] == "|" else " ").join(x[depth:] for x in held).rstrip()
+            yield key, joined if block[2] == "-" or block[1] == ">" else joined + "\n"
+        elif m and not value:
+            stack.append((indent, key))
+        elif value:
+            yield from flow_values(key, value)
 
 
 def flatten_properties(text: str) -> Iterator[tuple[str, str]]:
@@ -70,15 +108,18 @@ def properties(files: DataFrame) -> DataFrame:
     return read.groupBy("key").agg(F.max_by("value", F.struct("path", "ord")).alias("value"))
 
 
-TYPE = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:public\s+|final\s+|abstract\s+)*(class|interface|enum|record)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.<>, ]+?))?(?:\s+implements\s+([\w.<>, ]+?))?\s*\{")
-FIELD = re.compile(r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:private|protected|public)\s+(?:static\s+)?(final\s+)?([\w.<>]+)\s+(\w+)\s*(?:=[^;]*)?;")
-METHOD = re.compile(r"((?:@\w+(?:\((?:[^()]|\([^()]*\))*\))?\s*)*)(?:public|protected|private)\s+(?:static\s+)?([\w.<>\[\], ?]+?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws [\w., ]+)?\{")
+NOTE = r"@\w+(?:\.\w+)*(?:\((?:[^()]|\([^()]*\))*\))?\s*"
+MODIFIER = r"(?:public|protected|private|static|final|abstract|default|synchronized|native|transient|volatile|sealed|strictfp)\s+"
+NAMED = r"[\w.]+(?:<[^;{}()=]*>)?(?:\[\])*"
+TYPE = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*\b(class|interface|enum|record)\s+(\w+)\s*(?:<[^{{]*?>)?\s*(?:\([^)]*\)\s*)?(?:extends\s+([\w.<>, ]+?)\s*)?(?:implements\s+([\w.<>, ]+?)\s*)?\{{")
+FIELD = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*({NAMED})\s+(\w+)\s*(?:=[^;]*)?;")
+METHOD = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*(?:<[^<>;{{}}()]*>\s*)?({NAMED})\s+(\w+)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?:throws [\w., ]+)?([{{;])")
 CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(")
 ASSIGNED = re.compile(r"(?:String|var)\s+(\w+)\s*=\s*([^;]+);")
 ANNOTATION = re.compile(r"@(\w+)(?:\(([^)]*)\))?")
 STRUCT = pa.struct([("annotation", pa.string()), ("argument", pa.string())])
 JAVA = "path string, package_name string, kind string, owner string, name string, declared string, annotations array<struct<annotation: string, argument: string>>, extends_class string, interfaces array<string>, member string, argument string, ord int"
-KEYWORDS = {"if", "for", "while", "switch", "return", "new", "catch", "super", "this", "synchronized", "try"}
+KEYWORDS = {"if", "for", "while", "switch", "return", "new", "catch", "super", "this", "synchronized", "try", "throw", "else", "case", "assert", "package", "import"}
 
 
 DYNAMIC = "<dynamic>"
@@ -116,33 +157,68 @@ def assembled(expression: str, known: dict[str, str]) -> str:
     return "".join(out)
 
 
+class Source:
+    """A Java file without comments: its text, the text with strings blanked out, how deep in braces each place is, and its types."""
+
+    def __init__(self, text: str):
+        self.text = re.sub(r'("(?:\\.|[^"\\\n])*")|/\*.*?\*/|//[^\n]*', lambda m: m[1] or " ", text, flags=re.S)  # comments, but not in strings
+        self.plain = re.sub(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'', lambda m: m[0][0] + "_" * (len(m[0]) - 2) + m[0][0], self.text)
+        self.depth = list(accumulate((1 if c == "{" else -1 if c == "}" else 0 for c in self.plain), initial=0))
+        #: (match, begin of the body, its end): a type's members are those one brace deeper than it.
+        self.types = [(m, m.end(), self.closed(m.end())) for m in TYPE.finditer(self.plain)]
+
+    def closed(self, at: int) -> int:
+        """Where the brace that was opened just before a place is closed."""
+        deep = self.depth[at]
+        return next((k for k in range(at, len(self.plain)) if self.depth[k + 1] < deep), len(self.plain))
+
+    def owner(self, at: int) -> str | None:
+        """The name of the type of which a declaration at a place is a member; None in the middle of code."""
+        inside = [(begin, m[3]) for m, begin, end in self.types if begin <= at < end]
+        if not inside:
+            return None
+        begin, name = max(inside)
+        return name if self.depth[at] == self.depth[begin] else None
+
+    def members(self, pattern: re.Pattern) -> Iterator[tuple[str, re.Match]]:
+        """(type, match) of the declarations in type bodies; what they name stands at the match's third group."""
+        at = 0
+        while m := pattern.search(self.plain, at):
+            words = m[0].split()
+            owner = self.owner(m.start(3))
+            if owner and not KEYWORDS & {words[0], m[2], m[3]}:
+                yield owner, m
+                at = m.end()
+            else:
+                at = m.start() + 1 if not owner else m.end()
+
+    def of(self, m: re.Match, group: int = 0) -> str:
+        return self.text[m.start(group) : m.end(group)] if m[group] is not None else ""
+
+
 def java_rows(path: str, text: str) -> Iterator[tuple]:
-    """Types, fields, methods and invocations of a file, in order: rows of JAVA."""
-    text = re.sub(r'("(?:\\.|[^"\\\n])*")|/\*.*?\*/|//[^\n]*', lambda m: m[1] or " ", text, flags=re.S)  # comments, but not in strings
-    package = (re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M) or [None, ""])[1]
+    """Types, fields, methods and invocations of a file, in order: rows of JAVA. Interfaces' methods and members without a modifier count like others."""
+    source = Source(text)
+    package = (re.search(r"^\s*package\s+([\w.]+)\s*;", source.plain, re.M) or [None, ""])[1]
     notes = lambda s: [{"annotation": a, "argument": b.strip().strip('"') if b else None} for a, b in ANNOTATION.findall(s or "")]
     names = lambda s: [re.sub(r"<.*", "", x).strip() for x in re.sub(r"<[^<>]*>", "", s or "").split(",") if x.strip()]
-    owner = ""
-    constants = {m[4]: assembled(m[0].partition("=")[2].rstrip(";"), {}) for m in FIELD.finditer(text) if "=" in m[0]}
-    for n, m in enumerate(TYPE.finditer(text)):
-        owner = owner or m[3]
-        yield path, package, "type", None, m[3], m[2], notes(m[1]), (m[4] or "").strip() or None, names(m[5]) + (names(m[4]) if m[2] == "interface" else []), None, None, n
-    for n, m in enumerate(FIELD.finditer(text)):
-        yield path, package, "field", owner, m[4], m[3], notes(m[1]), "final" if m[2] else None, [], None, None, n
-    for n, m in enumerate(METHOD.finditer(text)):
-        if m[3] in KEYWORDS:
+    for n, (m, _, _) in enumerate(source.types):
+        yield path, package, "type", None, m[3], m[2], notes(source.of(m, 1)), (m[4] or "").strip() or None, names(m[5]) + (names(m[4]) if m[2] == "interface" else []), None, None, n
+    fields = [(owner, m) for owner, m in source.members(FIELD)]
+    constants = {m[3]: assembled(source.of(m).partition("=")[2].rstrip().rstrip(";"), {}) for _, m in fields if "=" in m[0]}
+    for n, (owner, m) in enumerate(fields):
+        yield path, package, "field", owner, m[3], m[2], notes(source.of(m, 1)), "final" if re.search(r"\bfinal\s", m[0][len(m[1]) : m.start(2) - m.start()]) else None, [], None, None, n
+    for n, (owner, m) in enumerate(source.members(METHOD)):
+        yield path, package, "method", owner, m[3], m[2].strip(), notes(source.of(m, 1)), None, [], None, f"{m[2].strip()} {m[3]}({source.of(m, 4).strip()})", n
+        if m[5] == ";":
             continue
-        yield path, package, "method", owner, m[3], m[2].strip(), notes(m[1]), None, [], None, f"{m[2].strip()} {m[3]}({m[4].strip()})", n
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[end], 0)
-            end += 1
+        end = source.closed(m.end())
         known = dict(constants)
-        for a in ASSIGNED.finditer(text, m.end(), end):
+        for a in ASSIGNED.finditer(source.text, m.end(), end):
             known[a[1]] = assembled(a[2], known)
-        for k, c in enumerate(CALL.finditer(text, m.end(), end)):
+        for k, c in enumerate(CALL.finditer(source.plain, m.end(), end)):
             if c[2] not in KEYWORDS:
-                argument = text[c.end() : cut_outside(text, c.end(), ",)")].strip()
+                argument = source.text[c.end() : cut_outside(source.text, c.end(), ",)")].strip()
                 yield path, package, "call", owner, m[3], c[1], [], None, [], c[2], assembled(argument, known) if argument else None, 1000 * n + k
 
 

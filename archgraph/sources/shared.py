@@ -42,9 +42,14 @@ def dropped(df: DataFrame) -> None:
         removed(df.sparkSession, folder)
 
 
+#: Bytes of a batch that a Python worker takes at once, so that its memory does not follow the length of texts.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that functions in it can be imported there."""
+    """Sends this package to the executors, once for each application, so that functions in it can be imported there; bounds their batches."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(context, "_archgraph_shipped", False):
         return
     package = pathlib.Path(__file__).resolve().parent.parent

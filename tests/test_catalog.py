@@ -3,7 +3,7 @@ from archgraph.plans import catalog
 from tests.compare import same
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, small, name):
     same(catalog.QUERIES[name](spark, small), small, catalog.ORACLE_SQL[name])
 

