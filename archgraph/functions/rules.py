@@ -17,6 +17,7 @@ RULES: dict[str, tuple[str, ...]] = {
     "REPOSITORY_READ_METHODS": ("findById", "findAll", "findAllById", "existsById", "count", "getById", "getReferenceById", "getOne"),
     "ALLOWED_ANALYSIS_PACKAGES": ("org.springframework.web.client",),
 }
+# Verbs, colours, name prefixes and operations by name.
 HTTP_METHODS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH", "RequestMapping": "REQUEST"}
 NODE_COLOURS = {
     "Application": "#2196F3", "Controller": "#4CAF50", "Endpoint": "#8BC34A", "Service": "#FF9800", "Method": "#FFC107",

@@ -104,6 +104,7 @@ def strip_dynamic(url: Text) -> Column:
 
 # -- canonical ids -----------------------------------------------------------------------------------------------------
 
+# The prefixes of ids here and below are fixed values.
 
 def qualified(package: Text, name: Text) -> Column:
     return F.concat_ws(".", _c(package), _c(name))

@@ -105,17 +105,35 @@ def resolve(calls: DataFrame, endpoints: DataFrame, match_verb: bool = False, ac
     return best.select("call_id", "b.endpoint_id", (-F.col("b.s")).alias("score"))
 
 
+#: Templates of literal and whole variable segments, which equality joins can find.
+REGULAR = r"^(/([^/{}<>*?]+|\{[^/{}]+\}))+$"
+
+
 def first_match(calls: DataFrame, registry: DataFrame) -> DataFrame:
     """(call_id, endpoint_id): the first endpoint by `ord` of equal verb whose path is the URL's or a prefix pattern of it.
 
-    calls (call_id, verb, path); registry (endpoint_id, verb, path, ord). Candidates share the verb and the first segment, or the endpoint's first segment varies.
+    calls (call_id, verb, path); registry (endpoint_id, verb, path, ord). The templates of a verb have few shapes (which segments vary); a URL's beginning in each
+    shape, with its variable segments blanked out, is a key that the first endpoint of that key is joined by. Only templates with wildcards or
+    variables inside a segment are tried by their pattern, within the same verb and first segment.
     """
-    first = lambda c: F.coalesce(F.try_element_at(segments(F.col(c)), F.lit(1)), F.lit(""))
-    left = calls.select("call_id", scalars.verb("verb").alias("verb"), F.col("path").alias("url"), F.explode(F.array(first("path"), F.lit("{}"))).alias("key"))
-    right = registry.select("endpoint_id", scalars.verb("verb").alias("verb"), "path", "ord", F.when(first("path").contains("{") | first("path").contains("<"), "{}").otherwise(first("path")).alias("key"))
-    pattern = F.concat(F.lit("^"), scalars.path_pattern("path"), F.lit("(/.*)?$"))
-    hit = left.join(right, ["verb", "key"]).filter((F.col("url") == F.col("path")) | F.rlike("url", pattern))
-    return hit.groupBy("call_id").agg(F.min_by("endpoint_id", F.struct("ord", "endpoint_id")).alias("endpoint_id"))
+    left = calls.select("call_id", scalars.verb("verb").alias("verb"), F.col("path").alias("url"))
+    right = registry.select("endpoint_id", scalars.verb("verb").alias("verb"), "path", "ord").withColumn("regular", F.coalesce(F.rlike("path", F.lit(REGULAR)), F.lit(False)))
+    blank = lambda parts, varies: F.array_join(F.zip_with(parts, varies, lambda s, v: F.when(v, "{}").otherwise(s)), "/")
+    parts = F.slice(F.split("path", "/"), 2, 1 << 20)
+    shaped = right.filter("regular").withColumn("parts", parts).withColumn("varies", F.transform("parts", is_variable))
+    first = shaped.groupBy("verb", blank(F.col("parts"), F.col("varies")).alias("key")).agg(F.min(F.struct("ord", "endpoint_id")).alias("e"))
+    shapes = shaped.groupBy("verb").agg(F.collect_set("varies").alias("shapes"))
+    begun = left.filter("url LIKE '/%'").withColumn("parts", F.slice(F.split("url", "/"), 2, 1 << 20)).join(shapes, "verb")
+    begun = begun.select("call_id", "verb", "parts", F.explode("shapes").alias("varies")).filter(F.size("varies") <= F.size("parts"))
+    begun = begun.withColumn("parts", F.slice("parts", F.lit(1), F.size("varies"))).filter(~F.exists(F.zip_with("parts", "varies", lambda s, v: v & (s == "")), lambda x: x))
+    found = begun.select("call_id", "verb", blank(F.col("parts"), F.col("varies")).alias("key")).join(first, ["verb", "key"]).select("call_id", "e.ord", "e.endpoint_id")
+    equal = left.join(right.groupBy("verb", F.col("path").alias("url")).agg(F.min(F.struct("ord", "endpoint_id")).alias("e")), ["verb", "url"]).select("call_id", "e.ord", "e.endpoint_id")
+
+    head = lambda c: F.coalesce(F.try_element_at(segments(F.col(c)), F.lit(1)), F.lit(""))
+    rest = right.filter("NOT regular").withColumn("key", F.when(head("path").rlike("[{<*?]"), "{}").otherwise(head("path")))
+    tried = left.withColumn("key", F.explode(F.array(head("url"), F.lit("{}")))).join(rest, ["verb", "key"])
+    tried = tried.filter(F.rlike("url", F.concat(F.lit("^"), scalars.path_pattern("path"), F.lit("(/.*)?$")))).select("call_id", "ord", "endpoint_id")
+    return found.unionByName(equal).unionByName(tried).groupBy("call_id").agg(F.min_by("endpoint_id", F.struct("ord", "endpoint_id")).alias("endpoint_id"))
 
 
 def merged_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

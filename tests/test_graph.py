@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from archgraph.operators import build, chunks, cycles, diff, impact, pattern, resolve, summarize, traverse
@@ -145,6 +146,23 @@ def test_first_match_takes_prefixes(spark):
     assert {r["call_id"]: r["endpoint_id"] for r in resolve.first_match(rows, registry).collect()} == {"p": 1, "q": 3}
 
 
+def test_first_match_equals_all_patterns(spark):
+    """Every call against every template by its pattern."""
+    rnd = random.Random(12)
+    segment = lambda: rnd.choice(["a", "b", "{x}", "{y}", "c-{z}", "<dynamic>", "v1"])
+    paths = ["/" + "/".join(segment() for _ in range(rnd.randint(1, 3))) + rnd.choice(["", "", "/"]) for _ in range(40)]
+    urls = [rnd.choice(["/", "/", ""]) + "/".join(rnd.choice(["a", "b", "c-1", "v1", "q", ""]) for _ in range(rnd.randint(1, 4))) for _ in range(80)]
+    order = rnd.sample(range(40), 40)
+    registry = spark.createDataFrame([(k, "GET", p, order[k]) for k, p in enumerate(paths)], "endpoint_id int, verb string, path string, ord int")
+    calls = spark.createDataFrame([(k, "get", u) for k, u in enumerate(urls)], "call_id int, verb string, path string")
+    want = {}
+    for k, u in enumerate(urls):
+        hits = [e for e, p in enumerate(paths) if u == p or re.fullmatch(re.sub(r"\\\{[^}]+\}", "[^/]+", re.escape(p).replace("<dynamic>", "[^/]*")) + "(/.*)?", u)]
+        if hits:
+            want[k] = min(hits, key=lambda e: order[e])
+    assert {r["call_id"]: r["endpoint_id"] for r in resolve.first_match(calls, registry).collect()} == want
+
+
 def test_risk_of_the_fixture_change(spark):
     zero = dict.fromkeys(impact.COUNTERS, 0)
     row = zero | {"controllers_changed": 1, "controllers_modified": 1, "controllers": 1, "services": 1, "lines": 260, "components": 2, "endpoints": 3, "flows": 2, "error_cycles": 1, "high_fan_in": 1}
