@@ -6,7 +6,8 @@ descends all trees at once with array look-ups. Fitted on at most SAMPLE_ROWS la
 least hash; every document is scored.
 
 Cases: null and empty texts have the statistics of no words and get a score like any other; NaN cannot occur; with no
-labels, or one class alone, the score is the prior for all.
+labels, or one class alone, the score is the prior for all; repeated rows get equal scores; an empty table gives no rows; a kept
+column that has the result's name is an error.
 """
 
 from __future__ import annotations

@@ -7,10 +7,11 @@ least one) are filled in order of slice, length and id.
 
 Ranks without one large task: a bucket is dealt by hash into slices of about SLICE_ROWS rows, slices are counted, and a row's rank is its slice's
 offset plus its place in the slice. Only ids and lengths move, never texts. The histogram that reaches the driver has one
-row for each different length.
+row for each different length: of W words in all at most sqrt(2 W), since that many different lengths add up to W.
 
 Cases: a null or empty text has length 0 and goes to the lowest bucket; a document longer than the budget is a batch of its
-own; equal ids and lengths are told apart by the row's hash order; an empty table gives no rows.
+own; equal ids and lengths are told apart by the row's hash order; an empty table gives no rows; only the id and the text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations

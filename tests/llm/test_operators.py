@@ -1,6 +1,7 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns; and brute force."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -162,6 +163,65 @@ def test_fingerprints_of_neighbours(spark, docs):
     assert twice.count() == 3 * len(texts)
 
 
+@functools.cache
+def slow_fingerprint(text):
+    """The same hash byte by byte: a cut where the rolling value is divisible by 3 * 2^k."""
+    raw, cuts = text.encode(), []
+    for i in range(len(raw)):
+        h = 0
+        for j in range(i - 6, i + 1):
+            h = (h * 0x01000193 + (raw[j] + 1 if j >= 0 else 0)) % 2**32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % 2**32
+        h ^= h >> 12
+        if h % 3 == 0:
+            cuts.append((i, next((k for k in range(32) if h >> k & 1), 32)))
+
+    def signature(least):
+        ends = [i + 1 for i, k in cuts if k >= least][:63] + [len(raw)]
+        chunks = [raw[a:b] for a, b in zip([0, *ends], ends) if b > a]
+        return "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[zlib.crc32(c) % 64] for c in chunks)
+
+    if not raw:
+        return "3::"
+    k = next(k for k in range(64) if 3 * 2**k * 64 >= len(raw))
+    while k and sum(x >= k for _, x in cuts) < 32:
+        k -= 1
+    return f"{3 * 2**k}:{signature(k)}:{signature(k + 1)}"
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    (m, a1, a2), (n, b1, b2) = a.split(":"), b.split(":")
+    alike = lambda x, y: 1 - slow_distance(x, y) / max(len(x), len(y)) if x or y else 1.0
+    if int(m) == int(n):
+        return max(alike(a1, b1), alike(a2, b2) if min(len(a2), len(b2)) >= 16 else 0)
+    return alike(a1, b2) if int(m) == 2 * int(n) else alike(a2, b1) if int(n) == 2 * int(m) else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark, docs):
+    texts = collected(docs.filter("doc_id <> 10"))
+    got = {r["doc_id"]: r for r in piecewise.neighbour_fingerprints(docs.filter("doc_id <> 10")).collect()}
+    order = sorted(texts)
+    for i, j in zip(order, order[1:] + order[:1]):
+        half = len(texts[i]) // 2
+        own, changed, other = (slow_fingerprint(t) for t in (texts[i], texts[i][: len(texts[i]) - half] + texts[j][:half], texts[j]))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own, changed)
+        assert got[i]["near_edited"] == pytest.approx(slow_likeness(own, changed))
+        assert got[i]["near_next"] == pytest.approx(slow_likeness(own, other))
+
+
 def test_a_small_edit_moves_few_characters(spark):
     text = prose(2000, 21)
     pairs = spark.createDataFrame([(piecewise.fingerprint(text), piecewise.fingerprint(text[:4000] + "x" + text[4000:]), piecewise.fingerprint(prose(2000, 22)))], "a string, b string, c string")
@@ -306,7 +366,8 @@ def base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     n = len(words)
     grams = [tuple(words[k : k + 5]) for k in range(n - 4)]
-    marked = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+    often = collections.Counter(grams)
+    marked = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(5)}
     lines, dup = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
