@@ -73,11 +73,11 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "row bigint, n int, fp bigint, heard int, least array<bigint>, first array<bigint>, bits array<bigint>"
+SKETCH = "row bigint, n int, fp bigint, heard int, least array<bigint>, first array<bigint>, bits array<bigint>, packed binary"
 
 
 def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
-    """For each document (row, text): the size of its set, its fingerprint, its shingles among `late` by the thousand, least values, first shingles in order, bitmap."""
+    """For each document (row, text): the size of its set, its fingerprint, its shingles among `late` by the thousand, least values, first shingles in order, bitmap (as numbers and as bytes)."""
     t, u = share
     order = np.argsort(late)
     known = late[order]
@@ -88,16 +88,17 @@ def sketches(docs: DataFrame, late: np.ndarray, words: int = WORDS, share: tuple
         s = np.unique(h)
         fp = int(np.uint64(majority(h)).view(np.int64)) if len(h) else 0
         if not len(s):
-            return 0, fp, 0, [], [], []
+            return 0, fp, 0, [], [], [], b""
         last = np.zeros(len(s), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
             last = np.where(known[at] == s, len(known) - order[at], 0)
         first = s[np.argsort(last, kind="stable")][: len(s) + (-t * len(s)) // u + 1]
         least = [int(mixed(s ^ x).min().view(np.int64)) for x in seeds]
-        return len(s), fp, int(1000 * (last > 0).sum() // len(s)), least, first.view(np.int64), parities(s)
+        bits = parities(s)
+        return len(s), fp, int(1000 * (last > 0).sum() // len(s)), least, first.view(np.int64), bits, bits.tobytes()
 
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
     def run(batches):
         for whole in batches:
@@ -154,10 +155,10 @@ def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = L
     many = sampled.groupBy("shingle").agg(F.sum("k").alias("about"), F.max_by("part", "k").alias("main"), F.max("k").alias("of_main")).filter(F.col("about") > frequent)
     blocks = lambda k: F.greatest(F.lit(1), F.ceil(k * 2 / tile)).cast("int")
     many = written(many.select("shingle", "main", blocks(F.col("of_main")).alias("mains"), blocks(F.col("about") - F.col("of_main")).alias("rests")))
-    few = entries.join(many.select("shingle"), "shingle", "left_anti").select(F.col("shingle").alias("tile"), "row", "part", "n", "pos", F.lit(None).cast("array<bigint>").alias("bits"))
+    few = entries.join(many.select("shingle"), "shingle", "left_anti").select(F.col("shingle").alias("tile"), "row", "part", "n", "pos", F.lit(None).cast("binary").alias("bits"))
     # A tile is two blocks of the documents outside the largest part, or one of those and one of its documents.
     own = (F.col("part") == F.col("main")).alias("own")
-    hot = entries.join(many, "shingle").join(sketched.select("row", "bits"), "row").select("*", own, F.pmod(F.xxhash64("row"), F.when(own, F.col("mains")).otherwise(F.col("rests"))).cast("int").alias("block"))
+    hot = entries.join(many, "shingle").join(sketched.select("row", F.col("packed").alias("bits")), "row").select("*", own, F.pmod(F.xxhash64("row"), F.when(own, F.col("mains")).otherwise(F.col("rests"))).cast("int").alias("block"))
     cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
     with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: cell(0, F.col("block"), r))
     among = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: cell(1, F.least(F.col("block"), r), F.greatest(F.col("block"), r)))
@@ -185,7 +186,7 @@ def candidates(sketched: DataFrame, parts: DataFrame, share: tuple[int, int] = L
         for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
             lo, hi = bounds[k], bounds[k + 1]
             some = bits.slice(lo, hi - lo)
-            words = None if some.null_count else some.flatten().to_numpy().view(np.uint64).reshape(len(some), -1)
+            words = None if some.null_count else np.frombuffer(b"".join(some.to_pylist()), np.uint64).reshape(len(some), -1)
             found.append(paired(*(c[lo:hi] for c in columns), words, share))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -203,9 +204,11 @@ def plausible(pairs: DataFrame, sketched: DataFrame, share: tuple[int, int] = LE
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
-    """The pairs (a, b) of rows whose whole sets are similar enough. docs: (row, text)."""
+    """The pairs (a, b) of rows whose whole sets are similar enough, as a written table. docs: (row, text). Only texts of such rows move."""
     t, u = share
-    side = lambda k: docs.select(F.col("row").alias(k), F.col("text").alias(f"{k}_text"))
+    rows = written(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
+    needed = written(docs.join(rows, "row", "left_semi"))
+    side = lambda k: needed.select(F.col("row").alias(k), F.col("text").alias(f"{k}_text"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
@@ -219,7 +222,10 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int = WORDS, share: tuple[
                     fits.append(len(np.intersect1d(x, y, assume_unique=True)) * (t + u) >= t * (len(x) + len(y)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
+    found = written(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"))
+    for table in (rows, needed):
+        dropped(table)
+    return found
 
 
 def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, share: tuple[int, int] = LEAST) -> DataFrame:
@@ -236,12 +242,12 @@ def groups(df: DataFrame, row: str, text: str = "text", words: int = WORDS, shar
     sketched = written(whole.join(owners.filter("row = first").select("row"), "row", "left_semi"))
     dropped(whole)
     starred = written(plausible(stars(sketched), sketched, share))
-    near = written(similar(docs, starred, words, share))
+    near = similar(docs, starred, words, share)
     dropped(starred)
     linked = components(near)
     parts = linked.select(F.col("node").alias("row"), F.col("root").alias("part"))
     crossing = written(plausible(candidates(sketched, parts, share), sketched, share))
-    far = written(similar(docs, crossing, words, share))
+    far = similar(docs, crossing, words, share)
     for table in (crossing, sketched):
         dropped(table)
     found = components(near.unionByName(far))
