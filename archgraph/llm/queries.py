@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, packing, piecewise, sentencepiece, warc
+from archgraph.llm import boosting, chat, covering, interactions, language, lempelziv, linechain, packing, piecewise, sentencepiece, warc
 from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -111,6 +111,37 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechain.judge(docs.select("doc_id", "text"), field, keep=("doc_id",))
 
 
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT doc_id, part, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(first < doc_id, false)] AS fails FROM w),
+m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT f.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN m USING (doc_id)),
+x AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: substring('ABCDE', i::INT, 1)), '') AS filter_order, p, k AS step, p[k] AS i FROM o, x),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM g GROUP BY part, fails),
+r AS (SELECT part, filter_order, step, i,
+    coalesce(sum(n) FILTER (NOT list_bool_or(list_transform(p[:step], lambda j: fails[j]))), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails[i] AND (step = 1 OR NOT list_bool_or(list_transform(p[:step - 1], lambda j: fails[j])))), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails[i] AND step > 1 AND list_bool_or(list_transform(p[:step - 1], lambda j: fails[j]))), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails[i] AND len(list_filter(fails, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails[i] AND (step = 1 OR NOT list_bool_or(list_transform(p[:step - 1], lambda j: fails[j])))), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails[i] AND (step = 1 OR NOT list_bool_or(list_transform(p[:step - 1], lambda j: fails[j])))), 0)::BIGINT AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, i)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
@@ -122,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
+    "op12_interactions": op12_interactions,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op12_interactions": OP12_SQL}

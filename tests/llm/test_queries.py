@@ -9,7 +9,7 @@ def test_query_equals_sql(spark, small, name):
     same(queries.QUERIES[name](spark, small), small, queries.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op13_phrases"}))
 def test_one_row_for_each_document(spark, small, name):
     got = sorted(r["doc_id"] for r in queries.QUERIES[name](spark, small).collect())
     assert got == sorted(r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect())
