@@ -104,9 +104,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
 class Words:
     """All words of a chunk: byte spans `starts`, `ends`; `doc`, the row of each; `first`, where each row's words begin."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, spaces: np.ndarray = SPACES):
         self.data = data
-        word = ~SPACES[data]
+        word = ~spaces[data]
         before = np.empty(len(data) + 1, bool)
         before[0], before[1:] = False, word
         cut = offs[offs < len(data)]

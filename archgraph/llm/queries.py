@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import boosting, chat, covering, interactions, language, lempelziv, linechain, packing, piecewise, sentencepiece, warc
+from archgraph.llm import boosting, chat, covering, interactions, language, lempelziv, linechain, packing, phrases, piecewise, sentencepiece, warc
 from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -142,6 +142,27 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS size, count(*) AS f
+  FROM w, range(1, 5) AS s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, size, k, string_split(phrase, ' ') AS x FROM g, range(1, 4) AS s(k) WHERE size >= 2 AND k < size),
+cut AS (SELECT c.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score
+  FROM c JOIN g AS l ON l.lang = c.lang AND l.phrase = array_to_string(x[:k], ' ') JOIN g AS r ON r.lang = c.lang AND r.phrase = array_to_string(x[k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+free AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = best.lang AND g.size > best.size AND 100::HUGEINT * g.f >= 80::HUGEINT * a AND contains(' ' || g.phrase || ' ', ' ' || best.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
@@ -154,5 +175,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
     "op12_interactions": op12_interactions,
+    "op13_phrases": op13_phrases,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op12_interactions": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_warc": OP6_SQL, "op8_substrings": OP8_SQL, "op12_interactions": OP12_SQL, "op13_phrases": OP13_SQL}
