@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from archgraph.llm import boosting, chat, covering, interactions, language, lempelziv, linechain, packing, phrases, piecewise, sentencepiece, warc
+from archgraph.llm import boosting, chat, covering, interactions, language, lempelziv, linechain, packing, phrases, piecewise, secretscan, sentencepiece, warc
 from archgraph.llm.common import held_out, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -111,6 +111,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechain.judge(docs.select("doc_id", "text"), field, keep=("doc_id",))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -174,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
+    "op11_secrets": op11_secrets,
     "op12_interactions": op12_interactions,
     "op13_phrases": op13_phrases,
 }
