@@ -6,10 +6,11 @@ its link the phrase without the first word, its endpos the places where it ends.
 the endpos set of a node by the word further left; a set's size is the phrase's count in the shard. Nodes of equal endpos sets (a
 chain of only children) are one state of the automaton.
 
-Counts are summed over shards by phrase; no key gets more than one row from a shard. Rare phrases are not shuffled where that is certain:
-a phrase that is found LEAST times has parts that are, so depth 2 asks for both words, depth 3 and 4 for all pairs inside, in a
-bitmap of 2^FILTER_BITS bits of all frequent ones. The bitmap has that size whatever the corpus (8 MB); what it lets through by
-chance is counted like the rest and falls at the end, so results do not depend on it.
+Counts are summed over shards by phrase; no key gets more than one row from a shard. Rare phrases are not shuffled as strings where that is
+certain: a phrase that is found LEAST times has parts that are. So two rounds sum 64-bit keys of words, then of pairs of frequent words,
+and leave a bitmap of 2^FILTER_BITS bits each of the frequent ones; the third sums the phrases whose words and pairs are in them. A
+bitmap has that size whatever the corpus (8 MB); what it lets through by chance is counted like the rest and falls at the end, so results
+do not depend on it, nor on keys that collide.
 
 Subsumption follows the links: a phrase inside any longer candidate of at least SUBSUMED_PERCENT percent of its count is also inside one that is
 one word longer and at least as frequent, since phrases between the two are candidates too. So each candidate reports its count to
@@ -43,13 +44,14 @@ BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
 
-COUNTS = "lang string, phrase string, size int, f bigint, key bigint"
+KEYS, COUNTS = "key bigint, f bigint", "lang string, phrase string, size int, f bigint"
 
 
 class Shard:
     """Words of some documents in order: number of the distinct word, how many words of its piece stand before it; and the distinct words."""
 
-    def __init__(self) -> None:
+    def __init__(self, named: np.ndarray | None = None) -> None:
+        self.named = named
         self.clear()
 
     def clear(self) -> None:
@@ -65,8 +67,9 @@ class Shard:
             found = Words(data, offs, SPACES | BREAKS)
             lang = np.array([self.number(k if k is not None else "und") for k in langs[lo:hi]], np.int64)[found.doc]
             keys, at, number = np.unique(mixed(found.hashes(0) ^ np.array(self.salts, np.uint64)[lang]), return_index=True, return_inverse=True)
+            told = present(self.named, keys).tolist() if self.named is not None else [False] * len(keys)
             raw = data.tobytes()
-            names = pa.array([raw[a:b] for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist())], pa.binary()).cast(pa.string())
+            names = pa.array([raw[a:b] if k else b"" for a, b, k in zip(found.starts[at].tolist(), found.ends[at].tolist(), told)], pa.binary()).cast(pa.string())
             self.parts.append((number, places(data, found), keys, lang[at], names))
             self.words += len(number)
             yield
@@ -120,9 +123,9 @@ class Automaton:
         node[at], key[at] = of, mixed(self.key[at] * STEP + self.keys[left])
         self.depth, self.node, self.key, self.good, self.first = d + 1, node, key, good, at[first]
 
-    def phrases(self, names: pa.Array) -> pa.Array:
-        """The phrase of each node."""
-        parts = [names.take(pa.array(self.word[self.first - k])) for k in range(self.depth - 1, -1, -1)]
+    def phrases(self, names: pa.Array, of: np.ndarray) -> pa.Array:
+        """The phrases of some nodes."""
+        parts = [names.take(pa.array(self.word[self.first[of] - k])) for k in range(self.depth - 1, -1, -1)]
         return parts[0] if self.depth == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
@@ -139,52 +142,56 @@ def probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys & mask, keys >> np.uint64(32) & mask
 
 
-def rows(shard: Shard, depths: tuple[int, ...], known: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of these depths in a shard, where the phrases of depth `known` inside are in the bitmap; at depth 1 the sum as well."""
+def keys_of(shard: Shard, depth: int, words: np.ndarray | None) -> pa.RecordBatch:
+    """Key and count of the phrases of one or two words in a shard; of two, those whose words are in the bitmap."""
+    tree = Automaton(*shard.joined()[:3])
+    if depth == 2:
+        tree.restrict(words)
+        tree.deepen()
+    return pa.RecordBatch.from_arrays([pa.array(tree.key[tree.first].view(np.int64)), pa.array(tree.count.astype(np.int64))], names=["key", "f"])
+
+
+def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a shard whose words and pairs are in the bitmaps; under size 0 the number of all words of each language."""
     word, place, keys, lang, names = shard.joined()
     tree, langs = Automaton(word, place, keys), pa.array(list(shard.langs), pa.string())
+    yield batch(langs, pa.nulls(len(langs), pa.string()), 0, np.bincount(lang[word], minlength=len(langs)))
     while True:
-        if tree.depth in depths:
-            of = lang[tree.word[tree.first]]
-            yield batch(langs.take(pa.array(of)), tree.phrases(names), tree.depth, tree.count, tree.key[tree.first])
-        if tree.depth == 1 in depths:
-            total = np.bincount(lang[word], minlength=len(langs))
-            yield batch(langs, pa.nulls(len(langs), pa.string()), 0, total, np.zeros(len(langs), np.uint64))
-        if tree.depth >= max(depths):
+        if tree.depth <= 2:
+            tree.restrict(words if tree.depth == 1 else pairs)
+        of = np.flatnonzero(tree.good[tree.first])
+        yield batch(langs.take(pa.array(lang[tree.word[tree.first[of]]])), tree.phrases(names, of), tree.depth, tree.count[of])
+        if tree.depth == LONGEST:
             return
-        if tree.depth == known:
-            tree.restrict(bitmap)
         tree.deepen()
 
 
-def batch(lang: pa.Array, phrase: pa.Array, size: int, count: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    n = len(count)
-    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(n, size, np.int32)), pa.array(count.astype(np.int64)), pa.array(key.view(np.int64))], names=["lang", "phrase", "size", "f", "key"])
+def batch(lang: pa.Array, phrase: pa.Array, size: int, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(count), size, np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "size", "f"])
 
 
-def counted(documents: DataFrame, depths: tuple[int, ...], known: int = 0, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Phrases of these depths that are found LEAST times or more, with their counts; size 0 holds all words of a language."""
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+def by_shards(documents: DataFrame, schema: str, of, named: np.ndarray | None = None) -> DataFrame:
+    """What `of` yields for each shard of the documents; strings of words are there where the bitmap `named` has the word."""
+    held = documents.sparkSession.sparkContext.broadcast(named)
 
     def run(batches):
-        shard = Shard()
+        shard = Shard(held.value)
         for b in batches:
             for _ in shard.add(b.column(1), b.column(0).to_pylist()):
                 if shard.words >= SHARD_WORDS:
-                    yield from rows(shard, depths, known, shared.value)
+                    yield from of(shard)
                     shard.clear()
         if shard.parts:
-            yield from rows(shard, depths, known, shared.value)
+            yield from of(shard)
 
-    found = documents.select("lang", "text").mapInArrow(run, COUNTS)
-    summed = found.groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.sum("f").alias("f"), F.min("key").alias("key"))
-    return written(summed.filter((F.col("f") >= LEAST) | (F.col("size") == 0)), "phrases")
+    return documents.select("lang", "text").mapInArrow(run, schema)
 
 
-def bitmap_of(found: DataFrame) -> np.ndarray:
-    """The bits of all keys of the frame, as bytes: the same size for any number of keys, at most 2^FILTER_BITS / PAGE_BITS rows."""
+def bitmap_of(counts: DataFrame) -> np.ndarray:
+    """The bits of all keys that are found LEAST times or more, as bytes: the same size for any number of keys, at most 2^FILTER_BITS / PAGE_BITS rows."""
     mask = (1 << FILTER_BITS) - 1
-    bits = found.filter("size > 0").select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("bit"))
+    frequent = counts.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    bits = frequent.select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("bit"))
     pages = bits.groupBy(F.expr(f"bit div {PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg(F.expr(f"bit % {PAGE_BITS}")).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for page, held in pages.collect():
@@ -192,6 +199,15 @@ def bitmap_of(found: DataFrame) -> np.ndarray:
     return out
 
 
+def counted(documents: DataFrame) -> DataFrame:
+    """lang, phrase, size and f of all phrases that are found LEAST times or more; size 0 holds all words of a language."""
+    context = documents.sparkSession.sparkContext
+    words = context.broadcast(bitmap_of(by_shards(documents, KEYS, lambda shard: [keys_of(shard, 1, None)])))
+    pairs = context.broadcast(bitmap_of(by_shards(documents, KEYS, lambda shard: [keys_of(shard, 2, words.value)])))
+    found = by_shards(documents, COUNTS, lambda shard: phrases_of(shard, words.value, pairs.value), words.value)
+    return written(found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= LEAST) | (F.col("size") == 0)), "phrases")
+
+
 def scored(found: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r and score of every candidate, by its lowest-scoring cut."""
     words = F.split("phrase", " ")
@@ -228,11 +244,8 @@ def top_of_each(df: DataFrame, key: str, order: list[Column], k: int, salt: Colu
 
 def mine(documents: DataFrame, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
-    words = counted(documents, (1,))
-    pairs = counted(documents, (2,), 1, bitmap_of(words))
-    longer = counted(documents, tuple(range(3, LONGEST + 1)), 2, bitmap_of(pairs))
-    found = words.unionByName(pairs).unionByName(longer)
-    totals = words.filter("size = 0").select("lang", F.col("f").alias("n"))
+    found = counted(documents)
+    totals = found.filter("size = 0").select("lang", F.col("f").alias("n"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = top_of_each(unsubsumed(scored(found), found), "lang", order, top, F.xxhash64("phrase"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -70,41 +70,44 @@ def test_shards_together_hold_every_phrase(docs, size, monkeypatch):
     """Automata of shards of any size, with a bitmap of what is frequent, count every frequent phrase in full."""
     want = counts(docs)
     monkeypatch.setattr("archgraph.llm.common.CHUNK_BYTES", 300)
-    frequent = {}
-    for depths, known in (((1,), 0), ((2,), 1), ((3, 4), 2)):
-        bitmap = np.zeros((1 << phrases.FILTER_BITS) // 8, np.uint8)
-        for keys in [np.array([k for (_, p), (_, k) in frequent.items() if len(p) == known], np.int64).view(np.uint64)]:
-            for at in phrases.probes(keys):
-                np.bitwise_or.at(bitmap, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        found, shard = collections.Counter(), phrases.Shard()
-        keys = {}
-
-        def flushed(shard=shard, found=found, keys=keys, depths=depths, known=known, bitmap=bitmap):
-            for b in phrases.rows(shard, depths, known, bitmap):
-                for lang, p, n, f, key in zip(*(c.to_pylist() for c in b.columns)):
-                    if n:
-                        found[lang, tuple(p.split(" "))] += f
-                        assert keys.setdefault((lang, p), key) == key
-            shard.clear()
 
+    def shards(named=None):
+        shard = phrases.Shard(named)
         for _ in shard.add(pa.array([t for t, _ in docs]), [k for _, k in docs]):
             if shard.words >= size:
-                flushed()
+                yield shard
+                shard.clear()
         if shard.parts:
-            flushed()
-        frequent = {(lang, p): (f, keys[lang, " ".join(p)]) for (lang, p), f in found.items() if f >= 30}
-        assert {k: f for k, (f, _) in frequent.items()} == {(lang, p): c for lang, of in want.items() for p, c in of.items() if c >= 30 and len(p) in depths}
+            yield shard
+
+    def bitmap(depth, words):
+        total, out = collections.Counter(), np.zeros((1 << phrases.FILTER_BITS) // 8, np.uint8)
+        for shard in shards():
+            total.update(dict(zip(*(c.to_pylist() for c in phrases.keys_of(shard, depth, words).columns))))
+        for at in phrases.probes(np.array([k for k, f in total.items() if f >= 30], np.int64).view(np.uint64)):
+            np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        return out
+
+    words = bitmap(1, None)
+    pairs, found = bitmap(2, words), collections.Counter()
+    for shard in shards(words):
+        for b in phrases.phrases_of(shard, words, pairs):
+            for lang, p, n, f in zip(*(c.to_pylist() for c in b.columns)):
+                found[lang, tuple(p.split(" ")) if n else ()] += f
+    got = {k: f for k, f in found.items() if f >= 30 and k[1]}
+    assert got == {(lang, p): c for lang, of in want.items() for p, c in of.items() if c >= 30}
+    assert {lang: f for (lang, p), f in found.items() if not p} == {k: sum(c for p, c in of.items() if len(p) == 1) for k, of in want.items()}
 
 
 def test_links_lead_to_the_phrase_without_its_first_word(docs):
-    shard = phrases.Shard()
+    shard = phrases.Shard(np.full((1 << phrases.FILTER_BITS) // 8, 255, np.uint8))
     list(shard.add(pa.array([t for t, _ in docs]), [k for _, k in docs]))
     word, place, keys, _, names = shard.joined()
     tree = phrases.Automaton(word, place, keys)
     while tree.depth < 4:
-        above, held = tree.node, tree.phrases(names).to_pylist()
+        above, held = tree.node, tree.phrases(names, np.arange(len(tree.first))).to_pylist()
         tree.deepen()
-        for at, p in zip(tree.first.tolist(), tree.phrases(names).to_pylist()):
+        for at, p in zip(tree.first.tolist(), tree.phrases(names, np.arange(len(tree.first))).to_pylist()):
             assert p.split(" ", 1)[1] == held[above[at]]
 
 
