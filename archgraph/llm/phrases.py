@@ -7,9 +7,9 @@ the endpos set of a node by the word further left; a set's size is the phrase's
 chain of only children) are one state of the automaton.
 
 Counts are summed over shards by phrase; no key gets more than one row from a shard. Rare phrases are not shuffled as strings where that is
-certain: a phrase that is found LEAST times has parts that are. So two rounds sum 64-bit keys of words, then of pairs of frequent words,
-and leave a bitmap of 2^FILTER_BITS bits each of the frequent ones; the third sums the phrases whose words and pairs are in them. A
-bitmap has that size whatever the corpus (8 MB); what it lets through by chance is counted like the rest and falls at the end, so results
+certain: a phrase that is found LEAST times has parts that are. So three rounds sum short keys of words, of pairs of frequent words and of
+triples of frequent pairs, about four bytes each, and leave a bitmap of 2^FILTER_BITS bits each of the frequent ones; the fourth sums
+the phrases whose words, pairs and triples are in them. A bitmap has that size whatever the corpus (8 MB); what it lets through by chance is counted like the rest and falls at the end, so results
 do not depend on it, nor on keys that collide.
 
 Subsumption follows the links: a phrase inside any longer candidate of at least SUBSUMED_PERCENT percent of its count is also inside one that is
@@ -36,6 +36,8 @@ from archgraph.llm.common import SPACES, Words, mixed, text_chunks, written
 
 LONGEST, LEAST, SUBSUMED_PERCENT, SCALE, TOP = 4, 30, 80, 2_000_000, 2_000
 SHARD_WORDS, FILTER_BITS = 1 << 20, 26
+#: Keys are shuffled with their leading KEY_BITS bits, in rows of one value of the leading SLOT_BITS; MERGE_ROWS of them are taken in before they are summed.
+KEY_BITS, SLOT_BITS, MERGE_ROWS = 40, 12, 1 << 21
 PAGE_BITS = 1 << 15
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +46,7 @@ BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
 
-KEYS, COUNTS = "key bigint, f bigint", "lang string, phrase string, size int, f bigint"
+COUNTS = "lang string, phrase string, size int, f bigint"
 
 
 class Shard:
@@ -132,33 +134,90 @@ class Automaton:
 def present(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether both bits of a key are set; true for all keys that the bitmap was made of."""
     out = np.ones(len(keys), bool)
-    for at in probes(keys):
+    for at in probes(keys >> np.uint64(64 - KEY_BITS)):
         out &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 
-def probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return keys & mask, keys >> np.uint64(32) & mask
-
-
-def keys_of(shard: Shard, depth: int, words: np.ndarray | None) -> pa.RecordBatch:
-    """Key and count of the phrases of one or two words in a shard; of two, those whose words are in the bitmap."""
+def probes(short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a shortened key."""
+    mask, h = np.uint64((1 << FILTER_BITS) - 1), mixed(short)
+    return h & mask, h >> np.uint64(32) & mask
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Shortened keys with their counts, as one row for each slot (the leading bits): steps between the other bits as bytes of seven bits, and counts beyond 1, up to LEAST."""
+    short, at = np.unique(keys >> np.uint64(64 - KEY_BITS), return_inverse=True)
+    many = np.minimum(np.bincount(at, counts, len(short)), LEAST).astype(np.uint8)
+    rest_bits = np.uint64(KEY_BITS - SLOT_BITS)
+    slot, rest = (short >> rest_bits).astype(np.int64), short & ((np.uint64(1) << rest_bits) - np.uint64(1))
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(short) else np.zeros(0, np.int64)
+    step = np.diff(rest, prepend=np.uint64(0))
+    step[starts] = rest[starts]
+    value = step << np.uint64(1) | (many > 1)
+    size = np.maximum(1, -(-np.frexp(value.astype(np.float64))[1] // 7))
+    ends = np.cumsum(size)
+    of, place = np.repeat(np.arange(len(value)), size), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    raw = ((value[of] >> (7 * place).astype(np.uint64)) & np.uint64(127)).astype(np.uint8) | ((place < size[of] - 1).astype(np.uint8) << 7)
+    told = np.concatenate([[0], np.cumsum(many > 1)])
+    last = np.append(starts[1:], len(short))
+    cut = np.concatenate([[0], ends])
+    extra, raw, counts = many[many > 1].tobytes(), raw.tobytes(), (told[starts], told[last])
+    blobs = [raw[a:b] + extra[c:d] for a, b, c, d in zip(cut[starts].tolist(), cut[last].tolist(), counts[0].tolist(), counts[1].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(slot[starts].astype(np.int32)), pa.array((last - starts).astype(np.int32)), pa.array(blobs, pa.binary())], names=["slot", "n", "held"])
+
+
+def unpacked(slot: int, n: int, held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(shortened keys, counts) of a row of `packed`."""
+    raw = np.frombuffer(held, np.uint8)
+    ends = np.flatnonzero(raw < 128)[:n] + 1
+    # Counts are below 128 too, so the n first ends are those of the steps.
+    starts = np.concatenate([[0], ends[:-1]])
+    body = raw[: ends[-1]]
+    place = np.arange(len(body)) - np.repeat(starts, ends - starts)
+    value = np.add.reduceat((body & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts)
+    counts = np.ones(n, np.int64)
+    counts[(value & np.uint64(1)) == 1] = raw[ends[-1] :]
+    return (np.uint64(slot) << np.uint64(KEY_BITS - SLOT_BITS)) + np.cumsum(value >> np.uint64(1)), counts
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.minimum(np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)), LEAST).astype(np.int64)
+
+
+def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that rows of `packed` count LEAST times or more in all. Holds the different keys of a partition, 16 bytes each."""
+    parts, waiting = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            parts.append(unpacked(*row))
+            waiting += row[1]
+            if waiting > MERGE_ROWS:
+                parts, waiting = [summed(parts)], 0
+    if parts:
+        keys, counts = summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= LEAST].view(np.int64))], names=["key"])
+
+
+def keys_of(shard: Shard, depth: int, words: np.ndarray | None = None, pairs: np.ndarray | None = None) -> pa.RecordBatch:
+    """Keys and counts of the phrases of `depth` words in a shard, as `packed`; of two words those whose words are in the bitmap, of three those whose pairs are."""
     tree = Automaton(*shard.joined()[:3])
-    if depth == 2:
-        tree.restrict(words)
+    while tree.depth < depth:
+        if tree.depth == 1 or pairs is not None:
+            tree.restrict(words if tree.depth == 1 else pairs)
         tree.deepen()
-    return pa.RecordBatch.from_arrays([pa.array(tree.key[tree.first].view(np.int64)), pa.array(tree.count.astype(np.int64))], names=["key", "f"])
+    return packed(tree.key[tree.first], tree.count)
 
 
-def phrases_of(shard: Shard, words: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a shard whose words and pairs are in the bitmaps; under size 0 the number of all words of each language."""
+def phrases_of(shard: Shard, *frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a shard whose words, pairs and triples are in the bitmaps; under size 0 the number of all words of each language."""
     word, place, keys, lang, names = shard.joined()
     tree, langs = Automaton(word, place, keys), pa.array(list(shard.langs), pa.string())
     yield batch(langs, pa.nulls(len(langs), pa.string()), 0, np.bincount(lang[word], minlength=len(langs)))
     while True:
-        if tree.depth <= 2:
-            tree.restrict(words if tree.depth == 1 else pairs)
+        if tree.depth <= len(frequent):
+            tree.restrict(frequent[tree.depth - 1])
         of = np.flatnonzero(tree.good[tree.first])
         yield batch(langs.take(pa.array(lang[tree.word[tree.first[of]]])), tree.phrases(names, of), tree.depth, tree.count[of])
         if tree.depth == LONGEST:
@@ -187,12 +246,18 @@ def by_shards(documents: DataFrame, schema: str, of, named: np.ndarray | None =
     return documents.select("lang", "text").mapInArrow(run, schema)
 
 
-def bitmap_of(counts: DataFrame) -> np.ndarray:
+def bitmap_of(documents: DataFrame, of) -> np.ndarray:
     """The bits of all keys that are found LEAST times or more, as bytes: the same size for any number of keys, at most 2^FILTER_BITS / PAGE_BITS rows."""
-    mask = (1 << FILTER_BITS) - 1
-    frequent = counts.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
-    bits = frequent.select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("bit"))
-    pages = bits.groupBy(F.expr(f"bit div {PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg(F.expr(f"bit % {PAGE_BITS}")).alias("bits"))
+    rows = by_shards(documents, "slot int, n int, held binary", lambda shard: [of(shard)])
+    # By a stated number of partitions: they are not merged afterwards, since one holds its different keys at once.
+    keys = rows.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot").mapInArrow(frequent, "key bigint")
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate(probes(b.column(0).to_numpy().view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["bit"])
+
+    pages = keys.mapInArrow(run, "bit bigint").groupBy(F.expr(f"bit div {PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg(F.expr(f"bit % {PAGE_BITS}")).alias("bits"))
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for page, held in pages.collect():
         out[page * PAGE_BITS // 8 :][: len(held)] = np.frombuffer(held, np.uint8)
@@ -201,10 +266,11 @@ def bitmap_of(counts: DataFrame) -> np.ndarray:
 
 def counted(documents: DataFrame) -> DataFrame:
     """lang, phrase, size and f of all phrases that are found LEAST times or more; size 0 holds all words of a language."""
-    context = documents.sparkSession.sparkContext
-    words = context.broadcast(bitmap_of(by_shards(documents, KEYS, lambda shard: [keys_of(shard, 1, None)])))
-    pairs = context.broadcast(bitmap_of(by_shards(documents, KEYS, lambda shard: [keys_of(shard, 2, words.value)])))
-    found = by_shards(documents, COUNTS, lambda shard: phrases_of(shard, words.value, pairs.value), words.value)
+    shared = documents.sparkSession.sparkContext.broadcast
+    words = shared(bitmap_of(documents, lambda shard: keys_of(shard, 1)))
+    pairs = shared(bitmap_of(documents, lambda shard: keys_of(shard, 2, words.value)))
+    triples = shared(bitmap_of(documents, lambda shard: keys_of(shard, 3, words.value, pairs.value)))
+    found = by_shards(documents, COUNTS, lambda shard: phrases_of(shard, words.value, pairs.value, triples.value), words.value)
     return written(found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= LEAST) | (F.col("size") == 0)), "phrases")
 
 

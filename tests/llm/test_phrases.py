@@ -80,18 +80,18 @@ def test_shards_together_hold_every_phrase(docs, size, monkeypatch):
         if shard.parts:
             yield shard
 
-    def bitmap(depth, words):
-        total, out = collections.Counter(), np.zeros((1 << phrases.FILTER_BITS) // 8, np.uint8)
-        for shard in shards():
-            total.update(dict(zip(*(c.to_pylist() for c in phrases.keys_of(shard, depth, words).columns))))
-        for at in phrases.probes(np.array([k for k, f in total.items() if f >= 30], np.int64).view(np.uint64)):
-            np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    def bitmap(depth, *frequent):
+        out = np.zeros((1 << phrases.FILTER_BITS) // 8, np.uint8)
+        for b in phrases.frequent(phrases.keys_of(shard, depth, *frequent) for shard in shards()):
+            for at in phrases.probes(b.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(out, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return out
 
-    words = bitmap(1, None)
+    words = bitmap(1)
     pairs, found = bitmap(2, words), collections.Counter()
+    triples = bitmap(3, words, pairs)
     for shard in shards(words):
-        for b in phrases.phrases_of(shard, words, pairs):
+        for b in phrases.phrases_of(shard, words, pairs, triples):
             for lang, p, n, f in zip(*(c.to_pylist() for c in b.columns)):
                 found[lang, tuple(p.split(" ")) if n else ()] += f
     got = {k: f for k, f in found.items() if f >= 30 and k[1]}
@@ -118,3 +118,19 @@ def test_ranks_in_shares_equal_ranks_of_the_whole(spark):
         rows = sorted((-(i * 7919 % 101), i) for i in range(3_000) if (i % 7 == 0) == (key == "true"))
         assert [got[key, k] for k in range(1, 51)] == [i for _, i in rows[:50]]
     assert len(got) == 100
+
+
+def test_packed_keys_come_back():
+    rnd = np.random.default_rng(7)
+    keys = np.unique(rnd.integers(0, 1 << 63, 5_000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    keys = np.concatenate([keys, np.arange(1, 50, dtype=np.uint64) << np.uint64(64 - phrases.KEY_BITS)])
+    counts = rnd.choice([1, 1, 1, 2, 29, 30, 500], len(keys))
+    rows = [phrases.unpacked(*r) for r in zip(*(c.to_pylist() for c in phrases.packed(keys, counts).columns))]
+    got = dict(zip(np.concatenate([k for k, _ in rows]).tolist(), np.concatenate([c for _, c in rows]).tolist()))
+    want = collections.Counter()
+    for k, c in zip((keys >> np.uint64(64 - phrases.KEY_BITS)).tolist(), counts.tolist()):
+        want[k] += c
+    assert got == {k: min(c, phrases.LEAST) for k, c in want.items()}
+    assert phrases.packed(keys[:0], counts[:0]).num_rows == 0
+    (k, c), = [phrases.summed([(np.array([5, 9], np.uint64), np.array([20, 1])), (np.array([5], np.uint64), np.array([20]))])]
+    assert (k.tolist(), c.tolist()) == ([5, 9], [30, 1])
