@@ -5,7 +5,8 @@ is three flat arrays (feature, threshold, value) in which the children of node i
 descends all trees at once with array look-ups. Fitted on at most SAMPLE_ROWS labelled rows that are not held out, those of
 least hash; every document is scored.
 
-Cases: null and empty texts have the statistics of no words and get a score like any other; NaN cannot occur; with no
+Cases: a very long text is one row of its batch and read whole; of equal gains the first feature and bin split; of rows that repeat an id one
+is learned from, all are scored; null and empty texts have the statistics of no words and get a score like any other; NaN cannot occur; with no
 labels, or one class alone, the score is the prior for all; repeated rows get equal scores; an empty table gives no rows; a kept
 column that has the result's name is an error.
 """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from archgraph.sources.shared import dropped, removed, shared_folder, written
 
-__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "mixed", "phrase", "removed", "shared_folder", "span_hashes", "table", "text_chunks", "written"]
+__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "least_by_hash", "mixed", "phrase", "removed", "shared_folder", "span_hashes", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 1 << 19
@@ -160,14 +160,18 @@ def appended(df: DataFrame, text: str, fields: dict[str, str], start, sources: t
     return held.mapInArrow(run, schema)
 
 
+def least_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most `rows` rows, those of least hash of the keys. Only about as many meet in the task that orders them: the rest lie above the share of the hash range that is wanted."""
+    share = min(1.0, (1.2 * rows + 100) / max(1, df.count()))
+    low = min((1 << 63) - 1, int((share - 0.5) * (1 << 64)))
+    h = F.xxhash64(*keys)
+    return df.filter(h <= F.lit(low)).orderBy(h, *keys).limit(rows)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text and quality of at most `rows` labelled documents that are not held out, those of least hash."""
-    chosen = (
-        labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
-        .filter(~held_out())
-        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-        .agg(F.min(F.col("quality").cast("int")).alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    """doc_id, text and quality of at most `rows` labelled documents that are not held out, those of least hash; of rows that repeat an id the one of least text."""
+    labelled = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    chosen = least_by_hash(labelled, rows, "doc_id")
+    # The table of chosen ids has at most `rows` rows; each takes one text along, also where millions of rows have its id.
+    taken = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return taken.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")

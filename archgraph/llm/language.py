@@ -8,7 +8,7 @@ on with the beginning. Where the best and the next differ by less than MARGIN of
 Training: at most SAMPLE_DOCUMENTS different texts for each language, those of least hash among rows that are not held out. All
 dictionaries together take at most MODEL_BYTES: beyond MODEL_BYTES / DICTIONARY_BYTES languages each gets an equal share.
 
-Cases: a null text or one without a letter is `und` with score 0 and rejected; ties go to the first language by
+Cases: a very long text is compressed whole, piece by piece; a word of any length is learned in parts; a null text or one without a letter is `und` with score 0 and rejected; ties go to the first language by
 name; with no training rows everything is `und`; rows without an id are not trained on; repeated rows count once in training and
 get equal results; an empty table gives no rows; a column that has a result's name is an error, which `prefix` avoids.
 """
@@ -16,9 +16,9 @@ get equal results; an empty table gives no rows; a column that has a result's na
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,10 @@ DICTIONARY_BYTES, MODEL_BYTES, PIECE_BYTES, LEVEL = 1 << 16, 1 << 25, 512, 6
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 400, 16_384
 MARGIN, SHARPNESS = 0.003, 50.0
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: One folding for both sides: letters and the marks that belong to them; a training word of more than WORD_LETTERS is taken in parts, so that each fits.
+NOT_LETTERS, WORD_LETTERS = r"[^\p{L}\p{M}]+", 64
+PARTS = NOT_LETTERS.replace("^", "").rstrip("+") + f"{{1,{WORD_LETTERS}}}"
+FOLDED = regex.compile(NOT_LETTERS)
 
 
 def dictionaries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -43,7 +46,7 @@ def dictionaries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     near = different.join(shares, "lang").filter(F.col("h").cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = written(near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCUMENTS).select("lang", "h", "doc_id"))
-    words = train.join(chosen, ["lang", "h", "doc_id"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word <> ''")
+    words = train.join(chosen, ["lang", "h", "doc_id"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(PARTS), F.lit(0))).alias("word"))
     ranked = words.groupBy("lang", "word").count().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("n") <= SAMPLE_WORDS)
     # The words of a dictionary: those whose running size fits, still in Spark, so that no more than the model reaches the driver.
     languages = max(1, shares.count())
@@ -69,7 +72,7 @@ class Compressors:
 
     def of(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected)."""
-        folded = NOT_LETTERS.sub(" ", (text or "").lower())
+        folded = FOLDED.sub(" ", (text or "").lower())
         if not self.all or not any(map(str.isalpha, folded)):
             return UNKNOWN, 0.0, 0.0, True
         raw = f" {folded.strip()} ".encode("utf-8", "surrogatepass")

@@ -86,7 +86,7 @@ def optimal(histogram: list[tuple[int, int]], buckets: int = BUCKETS) -> Buckets
 
 def pack(df: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, doc_id: str = "doc_id", length=None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), padded_to, batch_id (from 0 in each bucket), batch_docs and padding of its batch's row."""
-    rows = written(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), (word_count() if length is None else length).cast("bigint").alias("n_tokens")))
+    rows = written(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), (word_count() if length is None else length).cast("bigint").alias("n_tokens"), F.monotonically_increasing_id().alias("row")))
     sized = rows.groupBy("n_tokens").count().collect()
     bounds = optimal([(r[0], r[1]) for r in sized], buckets).bounds
     if not bounds:
@@ -101,10 +101,10 @@ def pack(df: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, doc_id: st
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), F.col("bucket") + 1)
     slices = [max(1, -(-n // slice_rows)) for n in per_bucket]
     room = [max(1, budget // max(1, b)) for b in bounds]
-    dealt = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_tokens"), at(slices)))
+    dealt = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_tokens", "row"), at(slices)))
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("bucket", "slice").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select("bucket", "slice", "offset")
-    place = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("n_tokens", "doc_id")) - 1
+    place = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("n_tokens", "doc_id", "row")) - 1
     ranked = dealt.withColumn("place", place).join(offsets, ["bucket", "slice"]).withColumn("rank", F.col("offset") + F.col("place"))
     batch = F.floor(F.col("rank") / at(room)).cast("bigint")
     held = F.least(at(room), at(per_bucket) - F.col("batch_id") * at(room))
