@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
+from archgraph.operators import constants, typed
+from archgraph.sources.shared import written
 
 UNKNOWN_TOPIC = "<unknown>"
 
@@ -206,6 +208,11 @@ def registry(details: DataFrame) -> DataFrame:
 MAPPING_ANNOTATIONS = rules.RULES["MAPPING_ANNOTATIONS"]
 
 
+def path_text(text: Column) -> Column:
+    """What a mapping annotation's argument says: the text between the quotes, without the element's name."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r'"?([^"=]*)"?\s*$', 1)
+
+
 def tables_of(rows: DataFrame, app_key: Column) -> dict[str, DataFrame]:
     """Staging rows of a source reader as the tables that the other functions take: components, methods, injections, invocations, entities, feign.
 
@@ -225,38 +232,74 @@ def tables_of(rows: DataFrame, app_key: Column) -> dict[str, DataFrame]:
     components = classified(types)
     base = types.groupBy(F.col("qualified_name").alias("component_id")).agg(F.min_by("base_path", "ord").alias("base_path"))
     method = method_rows.select(
-        F.concat("path", F.lit("#"), F.col("ord").cast("string")).alias("method_id"), qualified("owner").alias("component_id"), F.col("name").alias("method_name"), F.col("argument").alias("signature"),
-        F.col("declared").alias("return_type"), F.regexp_extract("argument", r"(?s)\((.*)\)$", 1).alias("parameters"), "annotations", argument("KafkaListener").alias("topic"), place.alias("ord"),
+        F.concat("path", F.lit("#"), F.col("method").cast("string")).alias("method_id"), qualified("owner").alias("component_id"), F.col("name").alias("method_name"), F.col("argument").alias("signature"),
+        F.col("declared").alias("return_type"), F.regexp_extract("argument", r"(?s)\((.*)\)$", 1).alias("parameters"), "annotations", place.alias("ord"),
     )
     of_controller = components.filter("kind = 'Controller'").select(F.col("qualified_name").alias("component_id"), F.lit(True).alias("routed"))
     mapped = F.filter("annotations", lambda a: a["annotation"].isin(*MAPPING_ANNOTATIONS))
     routed = method.join(base, "component_id", "left").join(of_controller, "component_id", "left").withColumn("m", F.explode_outer(F.when(F.col("routed"), mapped)))
-    strip = lambda x: F.regexp_extract(F.coalesce(x, F.lit("")), r'"?([^"=]*)"?\s*$', 1)
-    methods = routed.select(*method.columns, F.when(F.col("m").isNotNull(), rules.http_method(F.col("m.annotation"))).alias("http_method"), F.when(F.col("m").isNotNull(), scalars.join_paths(strip(F.col("base_path")), strip(F.col("m.argument")))).alias("full_path"))
+    methods = routed.select(*method.columns, F.when(F.col("m").isNotNull(), rules.http_method(F.col("m.annotation"))).alias("http_method"), F.when(F.col("m").isNotNull(), scalars.join_paths(path_text(F.col("base_path")), path_text(F.col("m.argument")))).alias("full_path"))
     injections = rows.filter("kind = 'field'").select(qualified("owner").alias("component_id"), F.col("name").alias("field_name"), "declared", place.alias("ord"))
     fields = injections.groupBy("component_id", F.col("field_name").alias("target_field")).agg(F.max_by("declared", "ord").alias("declared"))
-    invocations = rows.filter("kind = 'call'").select(
-        place.alias("invocation_id"), F.concat("path", F.lit("#"), F.floor(F.col("ord") / 1000).cast("string")).alias("method_id"), qualified("owner").alias("component_id"),
-        F.col("declared").alias("target_field"), F.col("member").alias("method_name"), F.col("declared").isNull().alias("self_call"), "argument", F.when(F.col("argument").contains("/"), F.col("argument")).alias("url"),
+    invocations = rows.filter("kind = 'call' AND receiver <> 'new'").select(
+        place.alias("invocation_id"), F.concat("path", F.lit("#"), F.col("method").cast("string")).alias("method_id"), qualified("owner").alias("component_id"),
+        F.col("declared").alias("target_field"), F.col("member").alias("method_name"), (F.col("receiver") == "self").alias("self_call"), "argument", F.when(F.col("argument").contains("/"), F.col("argument")).alias("url"),
     ).join(fields, ["component_id", "target_field"], "left")
-    entities = types.filter(F.array_contains("annotations", "Entity")).select("qualified_name", F.nullif(strip(F.col("table_name")), F.lit("")).alias("table_name"))
+    entities = types.filter(F.array_contains("annotations", "Entity")).select("qualified_name", F.nullif(path_text(F.col("table_name")), F.lit("")).alias("table_name"))
     feign = types.filter(F.array_contains("annotations", "FeignClient")).select("class_name")
     return {"types": types, "components": components, "methods": methods, "injections": injections, "invocations": invocations, "entities": entities, "feign": feign}
 
 
-def graph_of(rows: DataFrame, app_key: Column) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) from a source reader's staging rows: everything from classification to the edge table."""
+def outgoing_calls(calls: DataFrame, texts: DataFrame, methods: DataFrame, types: DataFrame) -> DataFrame:
+    """(method_id, client_type, http_method, url) of calls that leave the application, each once.
+
+    Of a web client's chain the verb is its first call's and the URL what its `uri` was given; of a Feign client both come from the mapping of the
+    method that is called (REQUEST and `<dynamic>` without one); of others from the method's name and its first argument.
+    calls as of typed.Hierarchy.resolved; texts (text_id, text) by call_id; methods and types as of `tables_of`.
+    """
+    said = calls.join(texts.select(F.col("text_id").alias("call_id"), F.when(F.col("text").contains("/"), F.col("text")).alias("url")), "call_id", "left")
+    clients = types.filter(F.array_contains("annotations", "FeignClient")).select(F.col("qualified_name").alias("component_id"), path_text(F.col("base_path")).alias("base"))
+    mapped = F.try_element_at(F.filter("annotations", lambda a: a["annotation"].isin(*MAPPING_ANNOTATIONS)), F.lit(1))
+    declared = methods.join(clients, "component_id").select(F.col("method_id").alias("callee"), mapped.alias("m"), "base").dropDuplicates(["callee"])
+    verb, url = F.coalesce(rules.http_method(F.col("m.annotation")), F.lit("REQUEST")), F.when(F.col("m").isNotNull(), scalars.join_paths("base", path_text(F.col("m.argument"))))
+    feign = calls.join(declared, "callee").select(F.col("caller").alias("method_id"), F.lit("Feign").alias("client_type"), verb.alias("http_method"), F.coalesce(url, F.lit("<dynamic>")).alias("url"))
+    kind = rules.client_kind(F.col("receiver_type"), F.col("member"), F.lit(False))
+    web = said.filter((F.col("depth") == 0) & (kind == "WebClient")).select("caller", "chain", rules.call_verb(F.col("member"), F.col("argument")).alias("http_method"))
+    given = said.filter("member = 'uri' AND depth > 0").groupBy("caller", "chain").agg(F.min_by("url", "depth").alias("url"))
+    chained = web.join(given, ["caller", "chain"], "left").select(F.col("caller").alias("method_id"), F.lit("WebClient").alias("client_type"), "http_method", F.coalesce("url", F.lit("<dynamic>")).alias("url"))
+    direct = said.filter(kind.isin("RestTemplate", "HttpURLConnection")).select(F.col("caller").alias("method_id"), kind.alias("client_type"), rules.call_verb(F.col("member"), F.col("argument")).alias("http_method"), F.coalesce("url", F.lit("<dynamic>")).alias("url"))
+    return feign.unionByName(chained).unionByName(direct).distinct()
+
+
+def inherited_owners(calls: DataFrame, project: typed.Hierarchy, components: DataFrame, types: DataFrame) -> DataFrame:
+    """Supertypes of components whose methods are called, and that are none themselves: rows like components, of kind `Inherited`."""
+    named = components.select(F.col("qualified_name").alias("sub"))
+    above = project.closed.filter("distance > 0").join(named, "sub", "left_semi").select(F.col("super").alias("qualified_name")).distinct()
+    called = project.methods.join(calls.filter("callee IS NOT NULL").select(F.col("callee").alias("method_id")).distinct(), "method_id", "left_semi").select(F.col("type_id").alias("qualified_name")).distinct()
+    own = above.join(called, "qualified_name", "left_semi").join(components.select("qualified_name"), "qualified_name", "left_anti")
+    first = types.groupBy("qualified_name").agg(F.min(F.struct("ord", *[c for c in types.columns if c not in ("qualified_name", "ord")])).alias("v")).select("qualified_name", "v.*")
+    return first.join(own, "qualified_name").withColumn("kind", F.lit("Inherited")).select(*components.columns)
+
+
+def graph_of(rows: DataFrame, app_key: Column, properties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from a source reader's staging rows: everything from classification to the edge table. properties (key, value)."""
+    rows = written(rows, "staging")
+    if properties is None:
+        properties = rows.sparkSession.createDataFrame([], "key string, value string")
     t = tables_of(rows, app_key)
-    components, methods, invocations = t["components"], t["methods"], t["invocations"]
-    calls = resolved_calls(invocations, methods, t["injections"], components)
-    kafka = rules.client_kind(F.col("declared"), F.col("method_name"), F.lit(False)) == "Kafka"
-    produced = invocations.filter(kafka).select("method_id", F.col("argument").alias("topic"))
-    consumed = methods.filter("topic IS NOT NULL").select("method_id", F.regexp_extract("topic", r'(?:topics\s*=\s*)?\{?\s*"?([^",}]*)', 1).alias("topic"))
-    external = external_calls(invocations, t["feign"])
+    methods, types = t["methods"], t["types"]
+    project = typed.Hierarchy(rows)
+    calls = written(project.resolved(rows), "calls")
+    texts = written(constants.texts_of(rows, project, properties), "texts")
+    components = t["components"].unionByName(inherited_owners(calls, project, t["components"], types))
+    by_call = texts.select(F.col("text_id").alias("call_id"), F.col("text").alias("topic"))
+    kafka = rules.client_kind(F.col("receiver_type"), F.col("member"), F.lit(False)) == "Kafka"
+    produced = calls.filter(kafka).join(by_call, "call_id", "left").select(F.col("caller").alias("method_id"), F.coalesce("topic", F.lit("<dynamic>")).alias("topic"))
+    consumed = texts.filter("text_id LIKE '%#topic%'").select(F.regexp_replace("text_id", r"#topic\d+$", "").alias("method_id"), F.col("text").alias("topic"))
     repositories = components.filter("kind = 'Repository'").select(F.col("qualified_name").alias("component_id"), F.nullif(F.regexp_extract("extends_class", r"<\s*([\w.]+)", 1), F.lit("")).alias("entity"), "extends_class")
     named = methods.groupBy("component_id").agg(F.collect_set("method_name").alias("method_names"))
     tables = repository_tables(repositories.join(named, "component_id", "left").withColumn("method_names", F.coalesce("method_names", F.array().cast("array<string>"))), t["entities"])
-    edges = edges_of(components, methods, calls, external, produced, consumed, tables)
+    edges = edges_of(components, methods, calls.filter("callee IS NOT NULL").select("caller", "callee"), outgoing_calls(calls, texts, methods, types), produced, consumed, tables)
     configured = components.filter("kind = 'Configuration'")
     return nodes_of(components, methods), edges.unionByName(bean_edges(configured, beans(methods)))
 

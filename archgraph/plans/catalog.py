@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import build, chunks, cycles, diff, impact, pattern, render, resolve, summarize, traverse
+from archgraph.operators import build, chunks, cycles, diff, impact, pattern, render, resolve, summarize, traverse, typed
 from archgraph.sources import driver_views as views
 from archgraph.sources import extract, store
+from archgraph.sources.shared import written
 from archgraph.streaming import webhooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -966,7 +968,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
  ('app', 'controller:a.b.C%', 'CONTAINS_CONTROLLER'), ('app', 'service:a.b.S%', 'CONTAINS_SERVICE'), ('app', 'repository:a.b.R%', 'CONTAINS_REPOSITORY'), ('controller:a.b.C%', 'endpoint:GET:/n%/all', 'HAS_ENDPOINT'), ('controller:a.b.C%', 'endpoint:POST:/n%/add', 'HAS_ENDPOINT'),
  ('service:a.b.S%', 'method:a.b.S%.load(String)', 'HAS_METHOD'), ('service:a.b.S%', 'method:a.b.S%.store(N%)', 'HAS_METHOD'), ('repository:a.b.R%', 'method:a.b.R%.findAll()', 'HAS_METHOD'), ('repository:a.b.R%', 'method:a.b.R%.save(N%)', 'HAS_METHOD'),
  ('endpoint:GET:/n%/all', 'method:a.b.S%.load(String)', 'CALLS'), ('endpoint:POST:/n%/add', 'method:a.b.S%.store(N%)', 'CALLS'), ('method:a.b.S%.load(String)', 'method:a.b.R%.findAll()', 'CALLS'), ('method:a.b.S%.store(N%)', 'method:a.b.R%.save(N%)', 'CALLS'), ('method:a.b.S%.store(N%)', 'method:a.b.S%.load(String)', 'CALLS'),
- ('endpoint:GET:/n%/all', 'external:GET:/users/{*}:resolved=false', 'MAKES_EXTERNAL_CALL'), ('endpoint:POST:/n%/add', 'kafka_topic:topic.%', 'PRODUCES_TO'), ('repository:a.b.R%', 'database_table:n%', 'ACCESSES')) AS t(src, dst, type)"""
+ ('endpoint:GET:/n%/all', 'external:REQUEST:{*}:resolved=false', 'MAKES_EXTERNAL_CALL'), ('endpoint:POST:/n%/add', 'kafka_topic:topic.%', 'PRODUCES_TO'), ('repository:a.b.R%', 'database_table:n%', 'ACCESSES')) AS t(src, dst, type)"""
 )
 def parsed_edges(spark, d):
     """From source text to edges."""
@@ -979,6 +981,60 @@ def body_types(spark, d):
     return build.body_types(methods).select(F.regexp_extract("component_id", r"(\d+)$", 1).alias("k"), "request_type", "response_type")
 
 
+#: A forest of classes, one for each part: k extends k / 3 unless 5 divides k, has m0 to m3 with no or one parameter by a rule of k, and a field of the class k / 2 + 1.
+#: Each declares a nested class of the same name, and run() calls through the field, results, a variable, itself and its superclass.
+DECLARES = "(k * 3 + j * 5 + a * 7 + s) % 4 = 0"
+
+
+def class_sources(spark: SparkSession, d: str) -> DataFrame:
+    part = views.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    put = lambda text, **v: functools.reduce(lambda t, kv: F.replace(t, F.lit("%" + kv[0]), F.expr(kv[1]).cast("string")), v.items(), F.lit(text))
+    methods = [
+        F.when(F.expr(DECLARES.replace("j", str(j)).replace("a", str(a))), put(f"C%r m{j}({'int x' if a else ''}) {{ }}\n", r=f"(k + {j} + {a} + 1) div 2")).otherwise("") for j in range(4) for a in (0, 1)
+    ]
+    head = F.concat(put("package p%p; import p0.*; import p1.*; import p2.*;\nclass C%k ", p="k % 3", k="k"), F.when(F.expr("k % 5 <> 0 AND k div 3 >= 1"), put("extends C%u ", u="k div 3")).otherwise(""), put("{ C%f f;\n", f="k div 2 + 1"))
+    body = put(
+        "void run() { f.m%a(1).m%b().m%c(2); C%f v = f; v.m%c(); this.m%b(3); super.m%a(); Inner i = new Inner(); i.go(); var w = f.m%b(4); w.m%a(5); f.list().stream().m0(); }\n"
+        "static class Inner { C%f f; void go() { m%a(); } void list() { } } }",
+        a="s % 4", b="(s + 1) % 4", c="(s + 2) % 4", f="k div 2 + 1",
+    )
+    return part.select(F.concat(F.lit("C"), F.col("k").cast("string"), F.lit(".java")).alias("path"), F.concat(head, *methods, body).alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 5 <> 0 AND p_partkey // 3 >= 1 THEN p_partkey // 3 END AS parent FROM part),
+    up AS (SELECT k, k AS owner, 0 AS d FROM c UNION ALL SELECT up.k, c.parent, d + 1 FROM up JOIN c ON c.k = up.owner WHERE c.parent IS NOT NULL),
+    has AS (SELECT k AS owner, j, a FROM c, range(4) AS t(j), range(2) AS u(a) WHERE {DECLARES}),
+    defs AS (SELECT up.k, j, a, w, d, owner FROM up JOIN has USING (owner), range(2) AS x(w)),
+    best AS (SELECT k, j, w, first(owner ORDER BY (a <> w)::INT, d) AS owner, first(a ORDER BY (a <> w)::INT, d) AS a FROM defs GROUP BY k, j, w),
+    bestup AS (SELECT k, j, w, first(owner ORDER BY (a <> w)::INT, d) AS owner, first(a ORDER BY (a <> w)::INT, d) AS a FROM defs WHERE d > 0 GROUP BY k, j, w),
+    -- calls on the field: m_a(1), then on its result m_b(), then m_c(2); m_b(4), then m_a(5)
+    f1 AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN best b ON b.k = c.k // 2 + 1 AND b.j = s % 4 AND b.w = 1),
+    f2 AS (SELECT f1.k, s, b.owner, b.j, b.a FROM f1 JOIN best b ON b.k = (f1.owner + f1.j + f1.a + 1) // 2 AND b.j = (s + 1) % 4 AND b.w = 0),
+    f3 AS (SELECT f2.k, s, b.owner, b.j, b.a FROM f2 JOIN best b ON b.k = (f2.owner + f2.j + f2.a + 1) // 2 AND b.j = (s + 2) % 4 AND b.w = 1),
+    w1 AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN best b ON b.k = c.k // 2 + 1 AND b.j = (s + 1) % 4 AND b.w = 1),
+    w2 AS (SELECT w1.k, s, b.owner, b.j, b.a FROM w1 JOIN best b ON b.k = (w1.owner + w1.j + w1.a + 1) // 2 AND b.j = s % 4 AND b.w = 1),
+    v AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN best b ON b.k = c.k // 2 + 1 AND b.j = (s + 2) % 4 AND b.w = 0),
+    self AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN best b ON b.k = c.k AND b.j = (s + 1) % 4 AND b.w = 1),
+    sup AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN bestup b ON b.k = c.k AND b.j = s % 4 AND b.w = 0),
+    -- a nested class calls what the class around it has
+    inn AS (SELECT c.k, s, b.owner, b.j, b.a FROM c JOIN best b ON b.k = c.k AND b.j = s % 4 AND b.w = 0),
+    hit AS (SELECT k, 'run' AS caller, owner, j, a FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM v UNION ALL SELECT * FROM self UNION ALL SELECT * FROM sup)
+      UNION ALL SELECT k, 'Inner.go', owner, j, a FROM inn)
+    SELECT 'p' || k % 3 || '.C' || k AS class, caller, 'p' || owner % 3 || '.C' || owner || '.m' || j || '/' || a AS callee, count(*) AS calls FROM hit GROUP BY ALL
+    UNION ALL SELECT 'p' || k % 3 || '.C' || k, 'run', 'p' || k % 3 || '.C' || k || '.Inner.go/0', 1 FROM c"""
+)
+def typed_calls(spark, d):
+    """Every call of generated classes that differ, through fields, results, variables and what is inherited."""
+    rows = written(extract.java_staging(class_sources(spark, d)), "staging")
+    project = typed.Hierarchy(rows)
+    calls = project.resolved(rows).filter("callee IS NOT NULL")
+    named = project.methods.select("method_id", F.concat("type_id", F.lit("."), "name", F.lit("/"), F.col("arity").cast("string")).alias("method"), "type_id", "name")
+    caller = named.select(F.col("method_id").alias("caller_id"), F.regexp_replace("type_id", r"\.Inner$", "").alias("class"), F.when(F.col("type_id").endswith(".Inner"), F.concat(F.lit("Inner."), "name")).otherwise(F.col("name")).alias("caller"))
+    callee = named.select(F.col("method_id").alias("callee"), F.col("method").alias("called"))
+    return calls.select(F.col("caller").alias("caller_id"), "callee").join(caller, "caller_id").join(callee, "callee").groupBy("class", "caller", F.col("called").alias("callee")).agg(F.count("*").alias("calls"))
+
+
 @query("SELECT o_custkey AS owner_id, o_orderkey AS member_id FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 2 = 1 OR c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def members_by_name(spark, d):
     owners = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("class_name"), F.lit("a").alias("app_key"))

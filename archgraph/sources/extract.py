@@ -114,11 +114,14 @@ NAMED = r"[\w.]+(?:<[^;{}()=]*>)?(?:\[\])*"
 TYPE = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*\b(class|interface|enum|record)\s+(\w+)\s*(?:<[^{{]*?>)?\s*(?:\([^)]*\)\s*)?(?:extends\s+([\w.<>, ]+?)\s*)?(?:implements\s+([\w.<>, ]+?)\s*)?\{{")
 FIELD = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*({NAMED})\s+(\w+)\s*(?:=[^;]*)?;")
 METHOD = re.compile(rf"((?:{NOTE})*)(?:{MODIFIER})*(?:<[^<>;{{}}()]*>\s*)?({NAMED})\s+(\w+)\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?:throws [\w., ]+)?([{{;])")
-CALL = re.compile(r"(?:(\w+)\.)?(\w+)\s*\(")
+CALL = re.compile(r"((?:\w+\s*\.\s*)*)(\w+)\s*\(")
+LOCAL = re.compile(rf"(?<![\w.])({NAMED})\s+(\w+)\s*(?==[^=]|;|:)")
+PARAMETER = re.compile(rf"(?:{NOTE})*(?:final\s+)?({NAMED})(?:\s*\.\.\.)?\s+(\w+)\s*(?:,|$)")
+IMPORT = re.compile(r"(?:^|;)\s*import\s+(static\s+)?([\w.]+)(\.\*)?\s*(?=;)", re.M)
 ASSIGNED = re.compile(r"(?:String|var)\s+(\w+)\s*=\s*([^;]+);")
 ANNOTATION = re.compile(r"@(\w+)(?:\(([^)]*)\))?")
 STRUCT = pa.struct([("annotation", pa.string()), ("argument", pa.string())])
-JAVA = "path string, package_name string, kind string, owner string, name string, declared string, annotations array<struct<annotation: string, argument: string>>, extends_class string, interfaces array<string>, member string, argument string, ord int"
+JAVA = "path string, package_name string, kind string, owner string, name string, declared string, annotations array<struct<annotation: string, argument: string>>, extends_class string, interfaces array<string>, member string, argument string, ord int, method int, call int, receiver string, typed string, on int, chain int, depth int, arity int, values array<string>"
 KEYWORDS = {"if", "for", "while", "switch", "return", "new", "catch", "super", "this", "synchronized", "try", "throw", "else", "case", "assert", "package", "import"}
 
 
@@ -144,7 +147,10 @@ def cut_outside(text: str, at: int, stops: str) -> int:
 
 
 def assembled(expression: str, known: dict[str, str]) -> str:
-    """The text that a Java expression makes: literals, constants and variables joined by `+`, String.format; what is computed is `<dynamic>`."""
+    """The text that a Java expression makes: literals, constants and variables joined by `+`, String.format; what is computed is `<dynamic>`.
+
+    A name that is not known here stands as `${#name}`, to be looked up among the constants of all files.
+    """
     e = expression.strip()
     if m := re.match(r"String\.format\(\s*\"((?:[^\"\\]|\\.)*)\"", e):
         return re.sub(r"%[-\d.]*[sd]", DYNAMIC, m[1])
@@ -152,11 +158,28 @@ def assembled(expression: str, known: dict[str, str]) -> str:
     while at < len(e):
         end = cut_outside(e, at, "+")
         part = e[at:end].strip()
-        out.append(part[1:-1] if len(part) > 1 and part[0] == part[-1] == '"' else known.get(part.rpartition(".")[2], DYNAMIC))
+        name = part.removeprefix("this.")
+        if len(part) > 1 and part[0] == part[-1] == '"':
+            out.append(part[1:-1])
+        elif re.fullmatch(r"[A-Za-z_][\w.]*", name):
+            out.append(known.get(name, f"${{#{name}}}"))
+        else:
+            out.append(DYNAMIC)
         at = end + 1
     return "".join(out)
 
 
+def annotation_texts(argument: str | None, names: tuple[str, ...], known: dict[str, str]) -> list[str]:
+    """The texts that one element of an annotation gives: of `names` the first that is there, or a lone value; each member of an array is one text."""
+    entries = [(m[1], m[2]) if (m := re.match(r"(\w+)\s*=(?!=)\s*(.*)$", x, re.S)) else ("value", x) for x in split_flow(argument or "")]
+    for name in names:
+        for key, value in entries:
+            if key == name:
+                value = value.strip()
+                return [assembled(x, known) for x in (split_flow(value[1:-1]) if value[:1] == "{" else [value])]
+    return []
+
+
 class Source:
     """A Java file without comments: its text, the text with strings blanked out, how deep in braces each place is, and its types."""
 
@@ -172,13 +195,68 @@ class Source:
         deep = self.depth[at]
         return next((k for k in range(at, len(self.plain)) if self.depth[k + 1] < deep), len(self.plain))
 
+    def chain(self, at: int) -> str:
+        """The names of the types around a place, outermost first, joined by dots."""
+        return ".".join(name for _, name in sorted((begin, m[3]) for m, begin, end in self.types if begin <= at < end))
+
     def owner(self, at: int) -> str | None:
-        """The name of the type of which a declaration at a place is a member; None in the middle of code."""
-        inside = [(begin, m[3]) for m, begin, end in self.types if begin <= at < end]
-        if not inside:
-            return None
-        begin, name = max(inside)
-        return name if self.depth[at] == self.depth[begin] else None
+        """The type (with those around it) of which a declaration at a place is a member; None in the middle of code."""
+        inside = [begin for m, begin, end in self.types if begin <= at < end]
+        return self.chain(at) if inside and self.depth[at] == self.depth[max(inside)] else None
+
+    def before(self, at: int, begin: int) -> int:
+        """The last place before another that is no space, or the one before `begin`."""
+        at -= 1
+        while at >= begin and self.plain[at].isspace():
+            at -= 1
+        return at
+
+    def calls(self, begin: int, end: int, typed: dict[str, str]) -> Iterator[tuple[re.Match, str, str | None, str | None, int | None, int, int]]:
+        """(match, receiver, name of the receiver, type of it, call it is made on, first call of the chain, place in the chain) of the calls in a body, in order.
+
+        Receivers: self, super, name (a field or a type), typed (a variable of known type), chain (the result of another call), new, unknown.
+        `typed` holds the parameters' types; declarations of variables add to it as they come.
+        """
+        opened, stack = {}, []
+        for i in range(begin, end):
+            if self.plain[i] == "(":
+                stack.append(i)
+            elif self.plain[i] == ")" and stack:
+                opened[i] = stack.pop()
+        found: dict[int, tuple[int, int, int]] = {}  # by opening bracket: number, chain, depth
+        made_by: dict[str, int] = {}
+        locals_ = [m for m in LOCAL.finditer(self.plain, begin, end) if m[1] not in KEYWORDS]
+        for k, c in enumerate(CALL.finditer(self.plain, begin, end)):
+            while locals_ and locals_[0].start() < c.start():
+                m = locals_.pop(0)
+                typed.pop(m[2], None)
+                made_by.pop(m[2], None)
+                if m[1] != "var":
+                    typed[m[2]] = m[1]
+                elif new := re.match(rf"\s*=\s*new\s+({NAMED})", self.plain[m.end() : end]):
+                    typed[m[2]] = new[1]
+                else:
+                    made_by[m[2]] = opened.get(cut_outside(self.plain, m.end(), ";") - 1, -1)
+            path = re.sub(r"\s", "", c[1]).strip(".")
+            last = self.before(c.start(), begin)
+            on = None
+            if self.plain[last] == ".":
+                on = found.get(opened.get(self.before(last, begin), -1)) if not path else None
+                receiver, name, kind = ("chain" if on else "unknown"), None, None
+            elif re.search(r"(?<!\w)new$", self.plain[max(begin, last - 3) : last + 1]):
+                receiver, name, kind = "new", None, ".".join(x for x in (path, c[2]) if x)
+            elif path in ("", "this"):
+                receiver, name, kind = "self", None, None
+            elif path == "super":
+                receiver, name, kind = "super", None, None
+            else:
+                name = path.removeprefix("this.")
+                on = found.get(made_by[name]) if name in made_by and path == name else None
+                kind = typed.get(name) if path == name else None
+                receiver = "chain" if on else "unknown" if name in made_by and path == name else "typed" if kind else "name"
+            number, chain, depth = k, on[1] if on else k, on[2] + 1 if on else 0
+            found[c.end() - 1] = (number, chain, depth)
+            yield c, receiver, name, kind, on[0] if on else None, chain, depth
 
     def members(self, pattern: re.Pattern) -> Iterator[tuple[str, re.Match]]:
         """(type, match) of the declarations in type bodies; what they name stands at the match's third group."""
@@ -196,36 +274,57 @@ class Source:
         return self.text[m.start(group) : m.end(group)] if m[group] is not None else ""
 
 
+def bare(name: str) -> str:
+    return re.sub(r"<.*|\[\]", "", name, flags=re.S).strip()
+
+
 def java_rows(path: str, text: str) -> Iterator[tuple]:
-    """Types, fields, methods and invocations of a file, in order: rows of JAVA. Interfaces' methods and members without a modifier count like others."""
+    """Imports, types, fields, methods and invocations of a file, in order: rows of JAVA. Interfaces' methods and members without a modifier count like others.
+
+    A nested type goes by the names of the types around it and its own. Methods are numbered in `method`, the calls of each in `call`.
+    """
     source = Source(text)
     package = (re.search(r"^\s*package\s+([\w.]+)\s*;", source.plain, re.M) or [None, ""])[1]
     notes = lambda s: [{"annotation": a, "argument": b.strip().strip('"') if b else None} for a, b in ANNOTATION.findall(s or "")]
     names = lambda s: [re.sub(r"<.*", "", x).strip() for x in re.sub(r"<[^<>]*>", "", s or "").split(",") if x.strip()]
-    for n, (m, _, _) in enumerate(source.types):
-        yield path, package, "type", None, m[3], m[2], notes(source.of(m, 1)), (m[4] or "").strip() or None, names(m[5]) + (names(m[4]) if m[2] == "interface" else []), None, None, n
+    place = (None,) * 8
+    for n, m in enumerate(m for m in IMPORT.finditer(source.plain) if not m[1]):
+        yield path, package, "import", None, "*" if m[3] else m[2].rpartition(".")[2], m[2], [], None, [], None, None, n, *place, []
+    for n, (m, begin, _) in enumerate(source.types):
+        around = source.chain(m.start())
+        yield path, package, "type", around or None, source.chain(begin), m[2], notes(source.of(m, 1)), (m[4] or "").strip() or None, names(m[5]) + (names(m[4]) if m[2] == "interface" else []), None, None, n, *place, []
     fields = [(owner, m) for owner, m in source.members(FIELD)]
-    constants = {m[3]: assembled(source.of(m).partition("=")[2].rstrip().rstrip(";"), {}) for _, m in fields if "=" in m[0]}
-    for n, (owner, m) in enumerate(fields):
-        yield path, package, "field", owner, m[3], m[2], notes(source.of(m, 1)), "final" if re.search(r"\bfinal\s", m[0][len(m[1]) : m.start(2) - m.start()]) else None, [], None, None, n
+    texts = [assembled(source.of(m).partition("=")[2].rstrip().rstrip(";"), {}) if "=" in m[0][len(m[1]) :] else None for _, m in fields]
+    constants = {m[3]: t for (_, m), t in zip(fields, texts) if t and "${#" not in t and not m[1]}
+    for n, ((owner, m), held) in enumerate(zip(fields, texts)):
+        marks = notes(source.of(m, 1))
+        value = next((a["argument"] for a in marks if a["annotation"] == "Value"), held if bare(m[2]) == "String" else None)
+        yield path, package, "field", owner, m[3], m[2], marks, "final" if re.search(r"\bfinal\s", m[0][len(m[1]) : m.start(2) - m.start()]) else None, [], None, value, n, *place, []
+    at = 0
     for n, (owner, m) in enumerate(source.members(METHOD)):
-        yield path, package, "method", owner, m[3], m[2].strip(), notes(source.of(m, 1)), None, [], None, f"{m[2].strip()} {m[3]}({source.of(m, 4).strip()})", n
+        marks, raw = notes(source.of(m, 1)), dict(ANNOTATION.findall(source.of(m, 1)))
+        topics = annotation_texts(raw.get("KafkaListener"), ("topics", "value"), {})
+        parameters = {p[2]: p[1] for p in PARAMETER.finditer(m[4].strip())}
+        many = sum(1 for _ in split_flow(m[4]))
+        yield path, package, "method", owner, m[3], m[2].strip(), marks, None, [], None, f"{m[2].strip()} {m[3]}({source.of(m, 4).strip()})", n, n, None, "abstract" if m[5] == ";" else None, None, None, None, None, many, topics
         if m[5] == ";":
             continue
         end = source.closed(m.end())
-        known = dict(constants)
+        known = constants | dict.fromkeys(parameters, DYNAMIC)
         for a in ASSIGNED.finditer(source.text, m.end(), end):
             known[a[1]] = assembled(a[2], known)
-        for k, c in enumerate(CALL.finditer(source.plain, m.end(), end)):
+        for k, (c, receiver, name, kind, on, chain, depth) in enumerate(source.calls(m.end(), end, dict(parameters))):
             if c[2] not in KEYWORDS:
-                argument = source.text[c.end() : cut_outside(source.text, c.end(), ",)")].strip()
-                yield path, package, "call", owner, m[3], c[1], [], None, [], c[2], assembled(argument, known) if argument else None, 1000 * n + k
+                inside = source.text[c.end() : cut_outside(source.text, c.end(), ")")]
+                given = split_flow(inside)
+                yield path, package, "call", owner, m[3], name, [], None, [], c[2], assembled(given[0], known) if given else None, at, n, k, receiver, kind, on, chain, depth, len(given), []
+                at += 1
 
 
 def java_staging(files: DataFrame) -> DataFrame:
     """Rows of JAVA for all files. files: (path, text)."""
     names = [f.strip().split()[0] for f in re.split(r", (?=\w+ )", JAVA.replace("struct<annotation: string, argument: string>", "S"))]
-    kinds = [pa.string()] * 6 + [pa.list_(STRUCT), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+    kinds = [pa.string()] * 6 + [pa.list_(STRUCT), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()] + [pa.int32()] * 3 + [pa.string()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.string())]
 
     def run(batches):
         for batch in batches:
