@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import build, chunks, cycles, diff, impact, pattern, render, resolve, summarize, traverse, typed
+from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, render, resolve, summarize, traverse, typed
 from archgraph.sources import driver_views as views
 from archgraph.sources import extract, store
 from archgraph.sources.shared import written
@@ -1035,6 +1035,24 @@ def typed_calls(spark, d):
     return calls.select(F.col("caller").alias("caller_id"), "callee").join(caller, "caller_id").join(callee, "callee").groupBy("class", "caller", F.col("called").alias("callee")).agg(F.count("*").alias("calls"))
 
 
+#: A property for each order whose key 9 does not divide: the first few are texts, two in thirteen name each other, all others name that of half the key, with a default that has one itself.
+@query(
+    """WITH RECURSIVE o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey < 4 THEN 'text' WHEN o_orderkey % 13 > 1 THEN 'half' WHEN partner IN (SELECT o_orderkey FROM orders) AND partner % 9 <> 0 THEN 'ring' ELSE 'lost' END AS kind, partner
+      FROM (SELECT *, o_orderkey + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE -1 END AS partner FROM orders) WHERE o_orderkey % 9 <> 0),
+    t AS (SELECT k, k // 2 AS up, k AS last, 'v' || k || '.' AS said FROM o WHERE kind = 'half'
+      UNION ALL SELECT t.k, o.k // 2, o.k, said || 'v' || o.k || '.' FROM t JOIN o ON o.k = t.up AND o.kind = 'half')
+    SELECT 'c' || t.k AS symbol, CASE WHEN o.k IS NULL THEN said || 'd' || last % 7 WHEN o.kind = 'text' THEN said || 'end' || t.up WHEN o.kind = 'lost' THEN said || '${c' || o.partner || '}' ELSE 'v' || t.k || '.${c' || t.k // 2 || ':d' || t.k % 7 || '}' END AS value
+    FROM t LEFT JOIN o ON o.k = t.up WHERE coalesce(o.kind, '') <> 'half'
+    UNION ALL SELECT 'c' || k, CASE WHEN kind = 'text' THEN 'end' || k ELSE '${c' || partner || '}' END FROM o WHERE kind <> 'half'"""
+)
+def settled_properties(spark, d):
+    """Every reference put in, as deep as it goes; circles and what depends on them stay as they are."""
+    k = F.col("o_orderkey")
+    text = F.when(k < 4, F.concat(F.lit("end"), k)).when(k % 13 == 0, F.concat(F.lit("${c"), k + 1, F.lit("}"))).when(k % 13 == 1, F.concat(F.lit("${c"), k - 1, F.lit("}")))
+    half = F.concat(F.lit("v"), k, F.lit(".${c"), F.expr("o_orderkey div 2"), F.lit(":${none:d"), k % 7, F.lit("}}"))
+    return constants.settled(views.table(spark, d, "orders").filter(k % 9 != 0).select(F.concat(F.lit("c"), k).alias("symbol"), F.coalesce(text, half).alias("value")))
+
+
 @query("SELECT o_custkey AS owner_id, o_orderkey AS member_id FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 2 = 1 OR c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def members_by_name(spark, d):
     owners = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("class_name"), F.lit("a").alias("app_key"))
