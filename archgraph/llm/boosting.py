@@ -93,7 +93,7 @@ def fitted(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
         return lambda column: [pa.array(list(features(column)), pa.list_(pa.float64()))]
 
     got = appended(sample, "text", {"x": "array<double>"}, start, ("doc_id", "quality")).orderBy("doc_id").toArrow()
-    x = np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, len(DOCUMENT_FEATURES))
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(DOCUMENT_FEATURES))
     return fit(x, got["quality"].to_numpy().astype(np.float64))
 
 

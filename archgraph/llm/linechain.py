@@ -44,7 +44,7 @@ def climbed(grid: np.ndarray, lengths: np.ndarray, target: np.ndarray, weights:
     np.add.at(seen, (target[:, :-1][both], target[:, 1:][both]), 1)
     speed_w, speed_m = np.zeros_like(weights), np.zeros_like(moves)
     for _ in range(steps):
-        score = np.clip(grid @ weights, -30, 30)
+        score = np.clip((grid @ weights.astype(grid.dtype)).astype(np.float64), -30, 30)
         if chain:
             emit, step = np.exp(np.stack([np.zeros_like(score), score], axis=2)), np.exp(moves)
             ahead, scale = np.zeros_like(emit), np.ones(score.shape)
@@ -141,9 +141,11 @@ def fitted(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
         return of
 
-    got = appended(sample, "text", {"x": "array<float>"}, start, ("doc_id", "quality")).orderBy("doc_id").toArrow()
-    pairs = [(np.array(x, np.float64).reshape(-1, len(LINE_FEATURES)), q) for x, q in zip(got["x"].to_pylist(), got["quality"].to_pylist()) if x]
-    return fit([x for x, _ in pairs], [q for _, q in pairs])
+    got = appended(sample, "text", {"x": "array<float>"}, start, ("doc_id", "quality")).filter("size(x) > 0").orderBy("doc_id").toArrow()
+    # Views of the Arrow buffer: a list of Python numbers would take eight times its bytes on the driver.
+    held = got["x"].combine_chunks()
+    values, cuts = held.values.to_numpy(), held.offsets.to_numpy()
+    return fit([values[a:b].reshape(-1, len(LINE_FEATURES)) for a, b in zip(cuts[:-1], cuts[1:])], got["quality"].to_pylist())
 
 
 def judge(df: DataFrame, field: tuple[np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] | None = None, prefix: str = "") -> DataFrame:
