@@ -1,9 +1,6 @@
 """Matching outgoing calls to endpoints of other applications, and topics to their two sides.
 
-Scored matching never compares all calls with all endpoints. Candidates come from equality joins: on (distance from the end,
-last literal segment), on the longest literal segment of endpoints with wildcards inside segments, on the number of segments of
-endpoints that are variables only, and on ends of paths that a URL may be. Endpoints that match by trailing variables or
-wildcards alone are reduced to the least of each kind and verb, so those that meet every URL are few.
+Scored matching never compares all calls with all endpoints: URLs are led through tries of path segments (see routing.py).
 """
 
 from __future__ import annotations
@@ -12,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions import scalars
+from archgraph.operators import routing
+from archgraph.sources.shared import written
 
 ACCEPT = 3
 
@@ -48,48 +47,26 @@ def candidates(calls: DataFrame) -> DataFrame:
     return usable.select("call_id", F.explode(scalars.url_candidates(scalars.resolver_url("url"))).alias("candidate")).distinct()
 
 
-def scored(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(call_id, endpoint_id, score): every pair that may win, with its best score over the URL's candidates.
+def scored(calls: DataFrame, endpoints: DataFrame, match_verb: bool = False) -> DataFrame:
+    """(call_id, endpoint_id, score): of every call the endpoints that may win, each with its best score over the URL's candidates.
 
-    calls (call_id, url); endpoints (endpoint_id, path), whose paths are brought into the form of URLs; empty ones match nothing.
+    calls (call_id, url); endpoints (endpoint_id, path), whose paths are brought into the form of URLs; empty ones match nothing. URLs that are equal
+    are led through the tries once.
     """
-    urls = candidates(calls)
-    ends = endpoints.filter(F.coalesce(F.col("path"), F.lit("")) != "").select("endpoint_id", scalars.resolver_url("path").alias("path")).withColumn("parts", segments(F.col("path")))
-    back = F.reverse("parts")
-    trailing = F.aggregate(back, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & is_variable(x)).cast("int")).alias("n"), (s["on"] & is_variable(x)).alias("on")))["n"]
-    wild = F.exists("parts", lambda s: (s.contains("{") & ~is_variable(s)) | s.contains("*"))
-    ends = ends.withColumn("d", trailing).withColumn("wild", wild)
-    literal = F.array_max(F.transform(F.filter("parts", lambda s: ~s.rlike("[{*]")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-
-    from_end = F.reverse(segments(F.col("candidate")))
-    placed = urls.select("call_id", "candidate", F.posexplode(from_end).alias("d", "segment"))
-    anchored = ends.withColumn("segment", F.try_element_at(F.reverse("parts"), F.col("d") + 1)).select("endpoint_id", "path", "d", "segment")
-    pairs = placed.join(anchored, ["d", "segment"]).select("call_id", "candidate", "endpoint_id", "path")
-    inner = urls.select("call_id", "candidate", F.explode(F.array_distinct(segments(F.col("candidate")))).alias("segment"))
-    pairs = pairs.unionByName(inner.join(ends.filter("wild").withColumn("segment", literal), "segment").select("call_id", "candidate", "endpoint_id", "path"))
-
-    # Of endpoints that match a URL in the same way, only the least of each verb can win.
-    verb = F.upper("verb") if "verb" in endpoints.columns else F.lit(None).cast("string")
-    ends = ends.join(endpoints.select("endpoint_id", verb.alias("v")), "endpoint_id")
-    least = lambda df, *keys: df.groupBy(*keys, "v").agg(F.min(F.struct("endpoint_id", "path")).alias("e")).select(*keys, "e.endpoint_id", "e.path")
-    shape = F.regexp_replace("path", r"\{[^}]+\}", "{}")
-    numbered = urls.withColumn("size", F.size(segments(F.col("candidate"))))
-    matched = lambda df: df.select("call_id", "candidate", "endpoint_id", "path")
-    # By trailing variables alone, whatever the URL's segments are: as many as the segments agree, the place before the first slash counts as one.
-    trailed = least(ends.filter("d >= 2"), "d").drop("d")
-    pairs = pairs.unionByName(matched(numbered.crossJoin(F.broadcast(trailed))))
-    # Variables only, as many as the URL has segments.
-    variable = least(ends.filter("d > 0 AND d = size(parts)").withColumn("size", F.col("d")).withColumn("shape", shape), "size", "shape")
-    pairs = pairs.unionByName(matched(numbered.join(variable, "size")))
-    # Wildcards and no literal segment.
-    bare = least(ends.filter("wild").filter(literal.isNull()).withColumn("shape", shape), "shape")
-    pairs = pairs.unionByName(matched(urls.crossJoin(F.broadcast(bare))))
-    # Paths whose end the URL is: trailing variables that the URL names, and the root.
-    variables = F.transform(F.when(F.col("d") > 0, F.sequence(F.lit(1), F.col("d"))).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.size("parts") - j + 1, j), "/")))
-    slash = F.when(F.col("path").endswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
-    ended = ends.withColumn("candidate", F.explode(F.concat(variables, slash))).withColumn("equal", F.col("path") == F.col("candidate"))
-    pairs = pairs.unionByName(matched(urls.join(least(ended, "candidate", "equal"), "candidate")))
-    return pairs.distinct().withColumn("score", match_score(F.col("candidate"), F.col("path"))).groupBy("call_id", "endpoint_id").agg(F.max("score").alias("score"))
+    by_verb = match_verb and "verb" in endpoints.columns
+    verb = F.upper("verb") if by_verb else F.lit(None).cast("string")
+    own = F.when(verb.isNull() | (verb == "REQUEST"), routing.OPEN).otherwise(verb)
+    classes = F.array(F.lit(routing.ANY), own) if by_verb else F.array(F.lit(routing.ANY))
+    ends = endpoints.filter(F.coalesce(F.col("path"), F.lit("")) != "").select("endpoint_id", scalars.resolver_url("path").alias("path"), F.explode(classes).alias("class")).filter("path <> ''")
+    asked = written(candidates(calls), "candidates")
+    found = routing.routed(asked.select("candidate").distinct(), routing.Registry(written(ends, "endpoints")), match_score)
+    best = found.groupBy("candidate", "class").agg(F.min(F.struct((-F.col("score")).alias("s"), "endpoint_id")).alias("b")).select("candidate", "class", "b.endpoint_id", (-F.col("b.s")).alias("score"))
+    served = calls.select("call_id", F.lit(routing.ANY).alias("class"))
+    if by_verb:
+        v = F.upper("verb")
+        free = v.isNull() | v.isin("UNKNOWN", "REQUEST")
+        served = calls.select("call_id", F.explode(F.when(free, F.array(F.lit(routing.ANY))).otherwise(F.array(v, F.lit(routing.OPEN)))).alias("class"))
+    return asked.join(served, "call_id").join(best, ["candidate", "class"]).groupBy("call_id", "endpoint_id").agg(F.max("score").alias("score"))
 
 
 def resolve(calls: DataFrame, endpoints: DataFrame, match_verb: bool = False, accept: int = ACCEPT) -> DataFrame:
@@ -97,10 +74,7 @@ def resolve(calls: DataFrame, endpoints: DataFrame, match_verb: bool = False, ac
 
     With `match_verb`, both sides carry `verb`, and a known verb must agree.
     """
-    pairs = scored(calls, endpoints)
-    if match_verb:
-        both = pairs.join(calls.select("call_id", F.upper("verb").alias("v")), "call_id").join(endpoints.select("endpoint_id", F.upper("verb").alias("w")), "endpoint_id")
-        pairs = both.filter(F.coalesce(F.col("v").isin("UNKNOWN", "REQUEST") | F.col("w").isin("REQUEST") | (F.col("v") == F.col("w")), F.lit(True))).select("call_id", "endpoint_id", "score")
+    pairs = scored(calls, endpoints, match_verb)
     best = pairs.filter(F.col("score") >= accept).groupBy("call_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "endpoint_id")).alias("b"))
     return best.select("call_id", "b.endpoint_id", (-F.col("b.s")).alias("score"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, render, resolve, summarize, traverse, typed
+from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, render, resolve, substrings, summarize, traverse, typed
 from archgraph.sources import driver_views as views
 from archgraph.sources import extract, store
 from archgraph.sources.shared import written
@@ -464,39 +464,69 @@ def url_candidates(spark, d):
     return resolve.candidates(views.table(spark, d, "pages").select(F.col("page_id").alias("call_id"), "url")).select(F.col("call_id").alias("page_id"), "candidate")
 
 
-#: Endpoints made of all page paths, with variables for numbers, and some without a literal segment. A path is its id.
-VARIABLE_ONLY = ("/{id}", "/{a}/{b}", "/{a}/{b}/{c}", "/**", "/*/{x}")
-ENDPOINTS_SQL = r"""ends AS (SELECT path AS endpoint_id, path FROM (SELECT DISTINCT regexp_replace(path, '/[0-9]+', '/{id}', 'g') AS path FROM u WHERE path <> '' UNION SELECT unnest(['/{id}', '/{a}/{b}', '/{a}/{b}/{c}', '/**', '/*/{x}'])))"""
-SCORE_SQL = r"""cand AS (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u WHERE path <> ''),
-cands AS (SELECT page_id, path AS candidate FROM cand UNION SELECT page_id, '/' || array_to_string(parts[2:], '/') FROM cand WHERE len(parts) >= 2 UNION SELECT page_id, '/' || array_to_string(parts[3:], '/') FROM cand WHERE len(parts) >= 3),
-pairs AS (SELECT page_id, endpoint_id, candidate, path, list_reverse(string_split(candidate, '/')) AS a, list_reverse(string_split(path, '/')) AS b FROM cands, ends),
+#: Of every supplier (%) ten endpoints, the verb of each, a call that it answers, and the verb of the call: templates, equal paths, ends of paths either way, runs of 2, 3, 5 and 8 segments, wildcards.
+ROUTES = (
+    ("/svc%/orders/{id}", "GET", "/svc%/orders/7", "GET"), ("/svc%/items/list", "POST", "/svc%/items/list", "GET"), ("/svc%/short", "GET", "/a/b/c/svc%/short", "GET"), ("/api/v1/x/svc%/tail", "REQUEST", "/svc%/tail", "PUT"),
+    ("/h%/u%/{x}", "GET", "/q/w/e/z/u%/9", "UNKNOWN"), ("/h%/u%/m/{x}", "PUT", "/q/w/e/z/u%/m/9", "PUT"), ("/h%/u%/m/n/o/{x}", "GET", "/q/w/e/z/u%/m/n/o/9", "GET"), ("/h%/u%/m/n/o/r/s/t/{x}", "PUT", "/q/w/e/z/u%/m/n/o/r/s/t/9", "GET"),
+    ("/files%/**", "GET", "/files%/a/b/c", "GET"), ("/svc%/x{id}/{v}", "DELETE", "/svc%/x5/6", "DELETE"),
+)
+ROUTES_SQL = "routes AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, '{e}', '{v}', '{u}', '{w}')" for j, (e, v, u, w) in enumerate(ROUTES)) + ") AS t(j, template, verb, url, asked))"
+#: The registry: all page paths, with variables for numbers, and the suppliers' endpoints. A path is its id. Calls: all pages, and the suppliers'.
+ENDPOINTS_SQL = ROUTES_SQL + r""", ends AS (SELECT path AS endpoint_id, path, verb FROM (SELECT DISTINCT regexp_replace(path, '/[0-9]+', '/{id}', 'g') AS path, 'GET' AS verb FROM u WHERE path <> '' UNION ALL SELECT replace(template, '%', s_suppkey::VARCHAR), verb FROM supplier, routes)),
+calls AS (SELECT 'p' || page_id AS call_id, path, 'GET' AS verb, NULL AS target FROM u WHERE path <> '' UNION ALL SELECT 's' || s_suppkey || '.' || j, replace(url, '%', s_suppkey::VARCHAR), asked, CASE WHEN j < 6 AND s_suppkey % 2 = 0 THEN replace(template, '%', s_suppkey::VARCHAR) END FROM supplier, routes)"""
+SCORE_SQL = r"""cand AS (SELECT call_id, verb AS asked, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM calls),
+cands AS (SELECT call_id, asked, path AS candidate FROM cand UNION SELECT call_id, asked, '/' || array_to_string(parts[2:], '/') FROM cand WHERE len(parts) >= 2 UNION SELECT call_id, asked, '/' || array_to_string(parts[3:], '/') FROM cand WHERE len(parts) >= 3),
+pairs AS (SELECT call_id, asked, verb, endpoint_id, candidate, path, list_reverse(string_split(candidate, '/')) AS a, list_reverse(string_split(path, '/')) AS b FROM cands, ends),
 runs AS (SELECT *, coalesce(list_position(list_transform(list_zip(a[1:least(len(a), len(b))], b[1:least(len(a), len(b))]), lambda z: z[1] = z[2] OR (starts_with(z[2], '{') AND suffix(z[2], '}'))), false) - 1, least(len(a), len(b))) AS run FROM pairs),
-sc AS (SELECT page_id, endpoint_id, CASE WHEN candidate = path THEN 10 WHEN regexp_full_match(candidate, regexp_replace(replace(replace(replace(regexp_replace(path, '([.+?()\[\]^$|\\])', '\\\1', 'g'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*'), '\{[^}]+\}', '[^/]+', 'g')) THEN 8 WHEN suffix(candidate, path) THEN 7 WHEN suffix(path, candidate) THEN 5 WHEN len(a) >= 2 AND len(b) >= 2 AND run >= 2 THEN run + 1 ELSE 0 END AS score FROM runs)"""
+sc AS (SELECT call_id, asked, verb, endpoint_id, CASE WHEN candidate = path THEN 10 WHEN regexp_full_match(candidate, regexp_replace(replace(replace(replace(regexp_replace(path, '([.+?()\[\]^$|\\])', '\\\1', 'g'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*'), '\{[^}]+\}', '[^/]+', 'g')) THEN 8 WHEN suffix(candidate, path) THEN 7 WHEN suffix(path, candidate) THEN 5 WHEN len(a) >= 2 AND len(b) >= 2 AND run >= 2 THEN run + 1 ELSE 0 END AS score FROM runs)"""
+
+
+def routes(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers' rows of ROUTES: number, template, verb, url, asked."""
+    table = spark.createDataFrame([(j, *r) for j, r in enumerate(ROUTES)], "j int, template string, verb string, url string, asked string")
+    k = F.col("s_suppkey").cast("string")
+    return views.table(spark, d, "supplier").crossJoin(F.broadcast(table)).select("s_suppkey", "j", F.replace("template", F.lit("%"), k).alias("template"), "verb", F.replace("url", F.lit("%"), k).alias("url"), "asked")
 
 
 def endpoints(spark: SparkSession, d: str) -> DataFrame:
-    paths = normalize_url(spark, d).filter("path <> ''").select(F.regexp_replace("path", "/[0-9]+", "/{id}").alias("path"))
-    more = spark.createDataFrame([(x,) for x in VARIABLE_ONLY], "path string")
-    return paths.union(more).distinct().select(F.col("path").alias("endpoint_id"), "path")
+    paths = normalize_url(spark, d).filter("path <> ''").select(F.regexp_replace("path", "/[0-9]+", "/{id}").alias("path"), F.lit("GET").alias("verb")).distinct()
+    return paths.union(routes(spark, d).select("template", "verb")).select(F.col("path").alias("endpoint_id"), "path", "verb")
+
+
+def asked_calls(spark: SparkSession, d: str) -> DataFrame:
+    pages = normalize_url(spark, d).filter("path <> ''").select(F.concat(F.lit("p"), "page_id").alias("call_id"), F.col("path").alias("url"), F.lit("GET").alias("verb"), F.lit(None).cast("string").alias("target_path"))
+    target = F.when((F.col("j") < 6) & (F.col("s_suppkey") % 2 == 0), F.col("template"))
+    return pages.union(routes(spark, d).select(F.concat(F.lit("s"), "s_suppkey", F.lit("."), "j"), "url", F.col("asked"), target))
+
 
+BEST_SQL = "best AS (SELECT call_id, endpoint_id, max(score) AS score FROM sc WHERE {} GROUP BY ALL) SELECT call_id, endpoint_id, score FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY score DESC, endpoint_id) AS k FROM best WHERE score >= 3) WHERE k = 1"
 
-@query(f"WITH {URL_SQL}, {ENDPOINTS_SQL}, {SCORE_SQL}, best AS (SELECT page_id, endpoint_id, max(score) AS score FROM sc GROUP BY ALL) SELECT page_id, endpoint_id, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, endpoint_id) AS k FROM best WHERE score >= 3) WHERE k = 1")
+
+@query(f"WITH {URL_SQL}, {ENDPOINTS_SQL}, {SCORE_SQL}, {BEST_SQL.format('true')}")
 def scored_resolution(spark, d):
-    calls = views.table(spark, d, "pages").select(F.col("page_id").alias("call_id"), "url")
-    return resolve.resolve(calls, endpoints(spark, d)).select(F.col("call_id").alias("page_id"), "endpoint_id", "score")
+    """Calls led through the tries of a registry that grows with the suppliers; every score from 3 to 10 wins somewhere."""
+    return resolve.resolve(asked_calls(spark, d), endpoints(spark, d))
+
+
+@query(f"WITH {URL_SQL}, {ENDPOINTS_SQL}, {SCORE_SQL}, " + BEST_SQL.format("asked IN ('UNKNOWN', 'REQUEST') OR verb = 'REQUEST' OR asked = verb"))
+def verb_resolution(spark, d):
+    """The same where verbs have to agree."""
+    return resolve.resolve(asked_calls(spark, d), endpoints(spark, d), True)
 
 
-@query(f"""WITH {URL_SQL}, {ENDPOINTS_SQL} SELECT page_id, min(endpoint_id) AS endpoint_id FROM u, ends WHERE u.path <> '' AND NOT contains(ends.path, '*') AND (u.path = ends.path OR regexp_full_match(u.path, regexp_replace(regexp_replace(ends.path, '([.+()\\[\\]^$|\\\\])', '\\\\\\1', 'g'), '\\{{[^}}]+\\}}', '[^/]+', 'g') || '(/.*)?')) GROUP BY 1""")
+@query(f"""WITH {URL_SQL}, {ENDPOINTS_SQL} SELECT call_id, min(endpoint_id) AS endpoint_id FROM calls, ends WHERE NOT contains(ends.path, '*') AND (calls.path = ends.path OR regexp_full_match(calls.path, regexp_replace(regexp_replace(ends.path, '([.+()\\[\\]^$|\\\\])', '\\\\\\1', 'g'), '\\{{[^}}]+\\}}', '[^/]+', 'g') || '(/.*)?')) GROUP BY 1""")
 def first_match_resolution(spark, d):
-    calls = normalize_url(spark, d).filter("path <> ''").select(F.col("page_id").alias("call_id"), F.lit("GET").alias("verb"), "path")
+    calls = asked_calls(spark, d).select("call_id", F.lit("GET").alias("verb"), F.col("url").alias("path"))
     # A registry of templates: wildcards are the scored resolution's.
     registry = endpoints(spark, d).filter("NOT contains(path, '*')").select("endpoint_id", F.lit("get").alias("verb"), "path", F.col("endpoint_id").alias("ord"))
-    return resolve.first_match(calls, registry).select(F.col("call_id").alias("page_id"), "endpoint_id")
+    return resolve.first_match(calls, registry)
 
 
-@query("SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edges WHERE type = 'ACCESSES' UNION ALL SELECT 's:' || l_suppkey, 'p:' || l_partkey, 'ACCESSES' FROM lineitem)", graph=True)
+@query("SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edges WHERE type = 'ACCESSES' UNION ALL SELECT 's:' || l_suppkey, 'p:' || (l_partkey + l_quantity::BIGINT % 2), 'ACCESSES' FROM lineitem)", graph=True)
 def merged_edges(spark, d):
-    new = views.table(spark, d, "lineitem").select(views.key("s", "l_suppkey").alias("src"), views.key("p", "l_partkey").alias("dst"), F.lit("ACCESSES").alias("type"))
+    # Half of the lines have an edge already, the other half name the part after theirs.
+    part = F.concat(F.lit("p:"), F.col("l_partkey") + F.col("l_quantity").cast("bigint") % 2)
+    new = views.table(spark, d, "lineitem").select(views.key("s", "l_suppkey").alias("src"), part.alias("dst"), F.lit("ACCESSES").alias("type"))
     return resolve.merged_edges(views.edges(spark, d, ("ACCESSES",)), new)
 
 
@@ -786,10 +816,13 @@ def patched_rows(spark, d):
     return store.patched(old, update, ["o_orderkey"])
 
 
-@query("SELECT o_custkey AS id, max(o_totalprice) AS price FROM orders GROUP BY 1 HAVING count(*) > 0")
+@query("SELECT c_custkey AS id, coalesce(price, c_acctbal) AS price FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey UNION ALL SELECT -1 - o_custkey, max(o_totalprice) FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def upserted_rows(spark, d):
-    best = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("price"))
-    return store.upserted(best.withColumn("price", F.lit(0.0)), best, ["id"])
+    """Rows that stay, rows that are replaced and rows that are new."""
+    orders = views.table(spark, d, "orders")
+    best = lambda status, key: orders.filter(F.col("o_orderstatus") == status).groupBy(key.alias("id")).agg(F.max("o_totalprice").alias("price"))
+    new = best("F", F.col("o_custkey")).unionByName(best("O", -1 - F.col("o_custkey")))
+    return store.upserted(views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("price")), new, ["id"])
 
 
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 24 HOURS < (SELECT max(ts) FROM events)")
@@ -857,14 +890,12 @@ def score_distribution(spark, d):
     return found.select("label", *[F.round(c, 6).alias(c) for c in ("most", "least", "mean")], "n")
 
 
-@query(f"""WITH {URL_SQL}, {ENDPOINTS_SQL}, c AS (SELECT page_id, path AS url, CASE WHEN page_id % 3 < 2 THEN path END AS target, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, list_filter(string_split(path, '/'), lambda x: x <> '')[-1] AS last FROM u WHERE path <> ''),
-  h AS (SELECT page_id, endpoint_id, CASE WHEN verb = 'GET' THEN 0 ELSE 1 END AS rule FROM c JOIN ends ON ends.path = c.target UNION ALL SELECT page_id, endpoint_id, 2 FROM c JOIN ends ON list_contains(string_split(ends.path, '/'), last) WHERE last <> '' AND NOT contains(last, '{{'))
-  SELECT page_id, endpoint_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rule, endpoint_id) AS k FROM h) WHERE k = 1""")
+@query(f"""WITH {URL_SQL}, {ENDPOINTS_SQL}, c AS (SELECT call_id, path AS url, target, verb, list_filter(string_split(path, '/'), lambda x: x <> '')[-1] AS last FROM calls),
+  h AS (SELECT call_id, endpoint_id, CASE WHEN c.verb = ends.verb THEN 0 ELSE 1 END AS rule FROM c JOIN ends ON ends.path = c.target UNION ALL SELECT call_id, endpoint_id, 2 FROM c JOIN ends ON list_contains(string_split(ends.path, '/'), last) WHERE last <> '' AND NOT contains(last, '{{'))
+  SELECT call_id, endpoint_id, rule FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY rule, endpoint_id) AS k FROM h) WHERE k = 1""")
 def displayed_targets(spark, d):
-    urls = normalize_url(spark, d).filter("path <> ''")
-    verb = F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST")
-    calls = urls.select(F.col("page_id").alias("call_id"), verb.alias("verb"), F.when(F.col("page_id") % 3 < 2, F.col("path")).alias("target_path"), F.col("path").alias("url"))
-    return resolve.displayed_target(calls, endpoints(spark, d).withColumn("verb", F.lit("get"))).select(F.col("call_id").alias("page_id"), "endpoint_id", "rule")
+    """Where calls are drawn to: the stored path with its verb, the stored path alone, an endpoint with the URL's last segment."""
+    return resolve.displayed_target(asked_calls(spark, d), endpoints(spark, d))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'plain' ELSE s_name END AS value FROM supplier")
@@ -1053,6 +1084,17 @@ def settled_properties(spark, d):
     return constants.settled(views.table(spark, d, "orders").filter(k % 9 != 0).select(F.concat(F.lit("c"), k).alias("symbol"), F.coalesce(text, half).alias("value")))
 
 
+@query("""WITH t AS (SELECT p_partkey, p_name || '(' || p_type || ' ' || p_brand || ',' || p_size || ')' AS signature FROM part), n AS (SELECT DISTINCT substring(s_name, 12) AS name FROM supplier UNION SELECT DISTINCT c_mktsegment[2:5] FROM customer UNION SELECT DISTINCT p_name[4:8] FROM part UNION SELECT DISTINCT 'and#' || p_size FROM part UNION SELECT DISTINCT ',' || p_size FROM part)
+    SELECT p_partkey, name FROM t JOIN n ON contains(signature, name) WHERE name <> ''""")
+def signature_substrings(spark, d):
+    """Names inside signatures at any place, not as whole words only."""
+    part = views.table(spark, d, "part")
+    text = F.concat("p_name", F.lit("("), "p_type", F.lit(" "), "p_brand", F.lit(","), "p_size", F.lit(")"))
+    names = views.table(spark, d, "supplier").select(F.expr("substring(s_name, 12)").alias("name")).union(views.table(spark, d, "customer").select(F.expr("substring(c_mktsegment, 2, 4)")))
+    names = names.union(part.select(F.expr("substring(p_name, 4, 5)"))).union(part.select(F.concat(F.lit("and#"), "p_size"))).union(part.select(F.concat(F.lit(","), "p_size"))).distinct()
+    return substrings.containing(part.select("p_partkey", text.alias("signature")), "signature", names, "name").select("p_partkey", "name")
+
+
 @query("SELECT o_custkey AS owner_id, o_orderkey AS member_id FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 2 = 1 OR c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def members_by_name(spark, d):
     owners = views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("class_name"), F.lit("a").alias("app_key"))
