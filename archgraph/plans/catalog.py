@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, render, resolve, substrings, summarize, traverse, typed
+from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, rebuild, render, resolve, substrings, summarize, traverse, typed
 from archgraph.sources import driver_views as views
 from archgraph.sources import extract, store
 from archgraph.sources.shared import written
@@ -1084,6 +1084,16 @@ def settled_properties(spark, d):
     return constants.settled(views.table(spark, d, "orders").filter(k % 9 != 0).select(F.concat(F.lit("c"), k).alias("symbol"), F.coalesce(text, half).alias("value")))
 
 
+@query("""WITH k AS (SELECT * FROM nodes WHERE app_key IS NOT NULL AND app_key NOT IN ('r:1', 'r:2')), used AS (SELECT DISTINCT dst FROM edges JOIN k ON k.id = src WHERE starts_with(dst, 'p:')),
+  n AS (SELECT id FROM k UNION ALL SELECT dst FROM used), e AS (SELECT type FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+  SELECT 'node' AS part, left(id, 1) AS kind, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM e GROUP BY ALL""", graph=True)
+def deleted_applications(spark, d):
+    """What stays of the whole graph when two applications are deleted, tables that others use included."""
+    gone = spark.sql("SELECT explode(array('r:1', 'r:2')) AS app_key")
+    nodes, edges = rebuild.without_applications(views.nodes(spark, d), views.edges(spark, d), gone)
+    return nodes.groupBy(F.lit("node").alias("part"), F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("part"), F.col("type").alias("kind")).agg(F.count("*").alias("n")))
+
+
 @query("""WITH t AS (SELECT p_partkey, p_name || '(' || p_type || ' ' || p_brand || ',' || p_size || ')' AS signature FROM part), n AS (SELECT DISTINCT substring(s_name, 12) AS name FROM supplier UNION SELECT DISTINCT c_mktsegment[2:5] FROM customer UNION SELECT DISTINCT p_name[4:8] FROM part UNION SELECT DISTINCT 'and#' || p_size FROM part UNION SELECT DISTINCT ',' || p_size FROM part)
     SELECT p_partkey, name FROM t JOIN n ON contains(signature, name) WHERE name <> ''""")
 def signature_substrings(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archgraph.sources.shared import removed, written
+
 
 def save_snapshot(df: DataFrame, folder: str, snapshot_id: str, app_key: str | None = None) -> None:
     """Replaces one snapshot (or one application of it) and leaves all others: dynamic partition overwrite."""
@@ -14,6 +16,39 @@ def save_snapshot(df: DataFrame, folder: str, snapshot_id: str, app_key: str | N
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
 
 
+def digests(df: DataFrame, partition: str) -> DataFrame:
+    """(partition, rows, digest): the digest is the same for the same rows in any order, however often each."""
+    parts = [c for c in df.columns if c != partition]
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in parts], *[F.col(c).isNull() for c in parts])
+    return df.groupBy(partition).agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("digest"))
+
+
+def save_changed(df: DataFrame, folder: str, partition: str) -> dict[str, int]:
+    """Makes the table in a folder equal to the frame; only partitions whose rows changed are written, vanished ones are deleted. Returns how many of each.
+
+    The frame is read twice, so it should be a table, and not one below the folder. The driver sees the values of changed partitions alone.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        df.write.partitionBy(partition).parquet(folder)
+        return {"written": df.select(partition).distinct().count(), "deleted": 0}
+    old = spark.read.schema(df.schema).parquet(folder).select(df.columns)
+    now, was = digests(df, partition), digests(old, partition)
+    # Null partitions are equal to each other.
+    both = now.alias("n").join(was.alias("w"), F.col(f"n.{partition}").eqNullSafe(F.col(f"w.{partition}")), "full")
+    changed = written(both.filter("n.rows IS NOT NULL AND NOT (n.rows <=> w.rows AND n.digest <=> w.digest)").select(F.col(f"n.{partition}").alias("__part")), "changed")
+    gone = [r[0] for r in both.filter("n.rows IS NULL").select(f"w.{partition}").collect()]
+    many = changed.count()
+    if many:
+        rows = written(df.join(changed, df[partition].eqNullSafe(changed["__part"]), "left_semi"), "changed_rows")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(folder)
+    for value in gone:
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, None if value is None else str(value))
+        removed(spark, f"{folder.rstrip('/')}/{name}")
+    return {"written": many, "deleted": len(gone)}
+
+
 def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str) -> DataFrame:
     """One snapshot: the partition filter prunes folders."""
     return spark.read.parquet(folder).filter(F.col("snapshot_id") == snapshot_id)
