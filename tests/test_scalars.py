@@ -78,3 +78,15 @@ def test_url_fold_keeps_equal_pairs_and_resets_after_a_change(spark):
     patch = '--- a\n+++ b\n-x("/api/a")\n+x("/api/a")\n+x("/api/b")\n+x("/api/c")\n-x("/api/d")'
     got = [tuple(x) for x in value(spark, impact.url_changes(F.lit(patch)))]
     assert got == [("/api/a", "/api/b"), ("/api/d", "/api/c")]
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ('+ x("b", "/users/all", "/api/one")', "/api/one"), ('- call("api/x")', "api/x"), ('+ a("/v1/orders/{id}")', "/v1/orders/{id}"), ('+ a("/users")', None), ('+ restTemplate.getForObject("/users", X)', "/users"),
+        ('+ webClient.get().uri("/u?x=1")', "/u?x=1"), ('+ @GetMapping("/list")', "/list"), ("+ @PostMapping('/list')", "/list"), ('+ log("it\'s /a/b")', None), ('+ "/open', None), ("+ nothing", None), ('+ a("/a.b/c")', None),
+        ('+ x("/Api", "/API/y")', "/API/y"), ('+ httpClient.send("//h/x", "/p")', "//h/x"),
+    ],
+)
+def test_url_in_a_line(spark, line, want):
+    assert value(spark, impact.url_in(F.lit(line))) == want
