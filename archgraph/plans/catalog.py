@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.functions import rules, scalars
-from archgraph.operators import build, chunks, constants, cycles, diff, impact, pattern, rebuild, render, resolve, substrings, summarize, traverse, typed
+from archgraph.operators import build, chunks, constants, cycles, diff, impact, neighbours, pattern, rebuild, render, resolve, substrings, summarize, traverse, typed
 from archgraph.sources import driver_views as views
 from archgraph.sources import extract, store
 from archgraph.sources.shared import written
@@ -1094,6 +1094,23 @@ def deleted_applications(spark, d):
     return nodes.groupBy(F.lit("node").alias("part"), F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("part"), F.col("type").alias("kind")).agg(F.count("*").alias("n")))
 
 
+@query("""SELECT query_id, rank::INT AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
+  (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def vector_neighbours(spark, d):
+    """Ten neighbours of every fiftieth vector among all, by blocks."""
+    vectors = views.table(spark, d, "embeddings")
+    return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 10, neighbours.centres(vectors), True)
+
+
+def vector_cells(spark, d):
+    """The same through an inverted file: tests hold its recall against all pairs."""
+    vectors = views.table(spark, d, "embeddings")
+    return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 10, neighbours.centres(vectors))
+
+
+QUERIES["vector_cells"] = vector_cells
+
+
 @query("""WITH t AS (SELECT p_partkey, p_name || '(' || p_type || ' ' || p_brand || ',' || p_size || ')' AS signature FROM part), n AS (SELECT DISTINCT substring(s_name, 12) AS name FROM supplier UNION SELECT DISTINCT c_mktsegment[2:5] FROM customer UNION SELECT DISTINCT p_name[4:8] FROM part UNION SELECT DISTINCT 'and#' || p_size FROM part UNION SELECT DISTINCT ',' || p_size FROM part)
     SELECT p_partkey, name FROM t JOIN n ON contains(signature, name) WHERE name <> ''""")
 def signature_substrings(spark, d):
