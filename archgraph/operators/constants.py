@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from archgraph.functions.scalars import DYNAMIC
 from archgraph.operators.typed import SCOPE, Hierarchy, named_types
-from archgraph.sources.shared import written
+from archgraph.sources.shared import dropped, written
 
 INNERMOST = r"\$\{([^${}:]+)(?::([^${}]*))?\}"
 #: Stands for the sign of a reference that has neither value nor default, until all is done.
@@ -44,6 +44,7 @@ def settled(symbols: DataFrame) -> DataFrame:
         waiting = state.filter(is_open(F.col("value")))
         next_ = written(state.filter(~is_open(F.col("value"))).unionByName(substituted(waiting, state, "symbol", "value")), "symbols")
         changed = next_.join(waiting.withColumnRenamed("value", "old"), "symbol").filter("value <> old").limit(1).count()
+        dropped(state)
         state = next_
         if not changed:
             return state.withColumn("value", F.replace("value", F.lit(KEPT), F.lit("${")))
@@ -56,6 +57,7 @@ def filled(texts: DataFrame, symbols: DataFrame, key: str = "text_id", text: str
         waiting = state.filter(is_open(F.col(text)))
         next_ = written(state.filter(~F.coalesce(is_open(F.col(text)), F.lit(False))).unionByName(substituted(waiting, symbols, key, text)), "texts")
         changed = next_.select(key, text).join(waiting.select(key, F.col(text).alias("old")), key).filter(F.col(text) != F.col("old")).limit(1).count()
+        dropped(state)
         state = next_
         if not changed:
             return state.withColumn(text, F.replace(text, F.lit(KEPT), F.lit("${")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.functions import scalars
-from archgraph.sources.shared import written
+from archgraph.sources.shared import dropped, written
 
 #: A type's members may not be named by what stands in angle or square brackets.
 BRACKETS = r"<.*|\[\]"
@@ -89,6 +89,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
         further = known.join(onward, "super").filter("next <> sub").select("sub", F.col("next").alias("super"), (F.col("distance") + F.col("d")).alias("distance"), F.concat("way", "w").alias("way"))
         grown = written(best(known.unionByName(further)), "ancestors")
         now = grown.count()
+        dropped(known)
         if now == many:
             return grown
         known, many = grown, now
