@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from archgraph.llm import queries, secretscan
 from archgraph.llm.common import held_out
+from pyspark.sql import functions as F
 
 PLAIN = [
     (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -141,3 +142,90 @@ def test_sample_is_bounded_and_not_held_out(spark):
     grid, _, y = secretscan.labelled(found, 3, 11)
     assert (y == 1).sum() == 3 and (y == 0).sum() == 11
     assert secretscan.labelled(secretscan.written(found.filter(held_out())))[0].shape[0] == 0
+
+
+def of_windows(spark, rows):
+    """A table like that of `scanned`, a document and a candidate for each (window, found)."""
+    held = [(4 * i, [(0, 9, f, w)]) for i, (w, f) in enumerate(rows)]
+    frame = spark.createDataFrame(held, "doc_id long, candidates array<struct<start:bigint,end:bigint,found:boolean,windows:binary>>")
+    return frame.withColumn("doc_id", F.lit(next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)))
+
+
+def windows_at_random(spark, good, bad, seed=6):
+    """Different windows, those of either class in the order of their hashes, with the hash."""
+    rnd = np.random.default_rng(seed)
+    grid = rnd.integers(97, 123, (good + bad, secretscan.WIDTH + 1), np.uint8)
+    grid[:, 0] = secretscan.CORE
+    grid[:good, 30:50] = rnd.integers(48, 58, (good, 20))
+    frame = spark.createDataFrame([(g.tobytes(), k < good) for k, g in enumerate(grid)], "window binary, found boolean")
+    rows = frame.withColumn("h", F.xxhash64("window")).orderBy("h").collect()
+    return [(bytes(r["window"]), r["found"], r["h"]) for r in rows]
+
+
+def test_windows_of_greatest_hash_are_learned_from(spark):
+    """More windows than were taken once: those of each class that come last by hash change the network."""
+    rows = windows_at_random(spark, 6_010, 12_010)
+    last = {[r for r in rows if r[1] == label][-1][0] for label in (False, True)}
+    nets = [secretscan.fitted(of_windows(spark, [r[:2] for r in rows if not fewer or r[0] not in last])) for fewer in (False, True)]
+    assert not np.array_equal(nets[0].kernel, nets[1].kernel)
+
+
+def test_threshold_is_of_all_windows(spark):
+    """Slope, shift and threshold from sums and counts in Spark against the same on arrays; the training is the same each time."""
+    rows = windows_at_random(spark, 300, 700)
+    table = of_windows(spark, [r[:2] for r in rows])
+    net = secretscan.fitted(table)
+    windows = secretscan.written(secretscan.different(table).withColumn("fold", secretscan.fold()))
+    got = windows.collect()
+    many = [tuple(sum(r["fold"] == k and r["found"] == label for r in got) for label in (False, True)) for k in range(secretscan.FOLDS)]
+    assert sum(map(sum, many)) == 1_000 and min(map(min, many)) > 50
+    *apart, whole = secretscan.mixed_rounds(windows.repartition(7), many)
+    assert len(apart) == secretscan.FOLDS and np.array_equal(net.embed, whole.embed) and not np.array_equal(apart[0].embed, whole.embed)
+    z, y = [], []
+    for k, other in enumerate(apart):
+        own = [r for r in got if r["fold"] == k]
+        *seen, label = secretscan.shown(*secretscan.opened(b"".join(bytes(r["window"]) for r in own)), np.array([int(r["found"]) for r in own]))
+        z.append(other.logits(*seen))
+        y.append(label)
+    want = secretscan.calibrated_by(whole, np.concatenate(z), np.concatenate(y))
+    assert (net.slope, net.shift, net.threshold) == pytest.approx((want.slope, want.shift, want.threshold), rel=1e-4, abs=1e-4)
+
+
+def test_every_window_is_in_a_shard_and_every_shard_has_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(secretscan, "SHARD", 100)
+    monkeypatch.setattr(secretscan, "LEAST_OF_CLASS", 16)
+    rows = windows_at_random(spark, 20, 980)
+    table = spark.createDataFrame([r[:2] for r in rows], "window binary, found boolean").withColumn("fold", secretscan.fold())
+    got, shards = secretscan.dealt(table, 980, 20)
+    got = [(bytes(r["window"]), r["found"], r["shard"]) for r in got.collect()]
+    assert {r[:2] for r in got} == {r[:2] for r in rows} and len(set(got)) == len(got)
+    assert shards == 10 and {r[2] for r in got} == set(range(10))
+    assert {r[2] for r in got if r[1]} == set(range(10)) and sum(not r[1] for r in got) == 980
+    counts = [(r["fold"], r["found"]) for r in table.collect()]
+    many = [(counts.count((k, False)), counts.count((k, True))) for k in range(secretscan.FOLDS)]
+    net = secretscan.mixed_rounds(secretscan.written(table), many)[-1]
+    z = net.logits(*secretscan.opened(b"".join(r[0] for r in rows)))
+    assert ((z > 0) == np.array([r[1] for r in rows])).mean() > 0.98
+
+
+def test_a_class_in_one_fold_alone_adds_nothing(spark):
+    rows = windows_at_random(spark, 1, 60)
+    assert secretscan.fitted(of_windows(spark, [r[:2] for r in rows])).threshold > 1
+    assert secretscan.fitted(of_windows(spark, [r[:2] for r in rows if not r[1]])).threshold > 1
+
+
+def test_ranked_logit_equals_sorting(spark):
+    z = np.random.default_rng(7).normal(0, 30, 500).astype(np.float32)
+    z[:40] = z[40:80]
+    bits = z.view(np.int32)
+    places = spark.createDataFrame([(int(p),) for p in bits ^ ((bits >> 31) & 0x7FFFFFFF)], "place int")
+    for rank in (0, 17, 250, 499):
+        assert secretscan.ranked_logit(places, rank)[0] == np.sort(z)[rank]
+
+
+def test_state_of_training_goes_through_an_array():
+    """The numbers of a state go through an array and back unchanged."""
+    numbers = secretscan.untrained()
+    numbers[:-1] += np.arange(len(numbers) - 1, dtype=np.float32) % 7
+    kept = secretscan.resumed(numbers)
+    assert np.allclose(kept.numbers(), numbers) and kept.step == 0 and kept.net.embed.shape == (256, secretscan.EMBED)
