@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.sources.shared import dropped, removed, shared_folder, written
+from archgraph.sources.shared import dropped, removed, shared_folder, short_scans, written
 
-__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "least_by_hash", "mixed", "phrase", "removed", "shared_folder", "span_hashes", "table", "text_chunks", "written"]
+__all__ = ["FAMILIES", "Powers", "Words", "appended", "dropped", "held_out", "labelled_sample", "least_by_hash", "mixed", "phrase", "removed", "shared_folder", "short_scans", "span_hashes", "table", "text_chunks", "written"]
 
 #: Bytes of text that the numpy kernels take at once.
 CHUNK_BYTES = 1 << 19

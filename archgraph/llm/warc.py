@@ -6,7 +6,7 @@ revisit records that name it. Files end after FILE_RECORDS rows, so none grows w
 
 Reading: gzip files are not split, so a task gets the lines of a file in order, and a parser takes header lines and then as many
 bytes as Content-Length says. Continuations are grouped by origin, ordered by segment number and joined; the total
-length that the last one states is verified; the HTTP framing is decoded.
+length that the last one states is verified; the HTTP framing is decoded, of whole records where they are parsed.
 
 Cases: a null payload is empty; payloads may hold any line ends and text that looks like a record; ties of equal payloads
 go to the largest id; every row is a record of its own, rows repeated in id and payload included (all of them responses if
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.common import removed, shared_folder, written
+from archgraph.llm.common import removed, shared_folder, short_scans, written
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS, LEAST_REVISIT_BYTES = 16_384, 4_096, 5_000, 0
 CRLF = b"\r\n"
@@ -126,7 +126,8 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     lines = planned.mapInArrow(run, "value binary")
-    lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    with short_scans(pages.sparkSession):
+        lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 class Parser:
@@ -161,11 +162,21 @@ class Parser:
         return out
 
 
-RECORD = "type string, record_id string, page_id bigint, origin string, segment int, total bigint, refers_to bigint, payload_digest string, block binary"
+def opened(kind: str | None, block: bytes) -> tuple[bytes, bytes | None]:
+    """The HTTP head of a response's whole block and its payload; other blocks, and those of broken framing, as they are and None."""
+    head, end, body = block.partition(CRLF + CRLF)
+    payload = None if kind != "response" else dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    return (block if payload is None else head + end), payload
+
+
+RECORD = "type string, record_id string, page_id bigint, origin string, segment int, total bigint, refers_to bigint, payload_digest string, block binary, payload binary"
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in a folder."""
+    """All records of the archives in a folder: those of whole responses opened into head (`block`) and payload, others with their block.
+
+    Whole responses are decoded by the task that parses them, so that their bytes pass one Python worker, not two at a time.
+    """
     pieces = spark.read.option("lineSep", "\r\n").text(folder).select(F.xxhash64(F.input_file_name()).alias("file"), F.col("value").cast("binary").alias("value"))
     names = [f.split()[0] for f in RECORD.split(", ")]
 
@@ -183,8 +194,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     if got := parser.take(piece or b""):
                         h, block = got
                         own = h.get("warc-record-id")
-                        out.append((h.get("warc-type"), own, number(h, "x-page-id"), h.get("warc-segment-origin-id") or own, number(h, "warc-segment-number") or 0, number(h, "warc-segment-total-length"), number(h, "x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                        out.append((h.get("warc-type"), own, number(h, "x-page-id"), h.get("warc-segment-origin-id") or own, segment := number(h, "warc-segment-number") or 0, number(h, "warc-segment-total-length"), number(h, "x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), *((block, None) if segment else opened(h.get("warc-type"), block))))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     return pieces.mapInArrow(run, RECORD)
@@ -195,7 +206,8 @@ def reassembled(read: DataFrame) -> DataFrame:
 
     Unsegmented records stay where they are; only segments are grouped, a group being one record's block.
     """
-    whole = read.filter("segment = 0").select("page_id", "type", "refers_to", "payload_digest", "block", F.lit(True).alias("complete"))
+    whole = read.filter("segment = 0 AND type IN ('response', 'revisit')").select("page_id", "type", "refers_to", "payload_digest", "payload", F.lit(True).alias("complete"))
+    names = whole.columns
     part = F.struct("segment", "block", "total", "page_id", "type", "payload_digest")
     groups = read.filter("segment > 0").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     block = F.expr("unhex(array_join(transform(parts.block, b -> hex(b)), ''))")
@@ -206,13 +218,11 @@ def reassembled(read: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            payloads = []
-            for kind, block in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
-                head, _, body = (block or b"").partition(CRLF + CRLF)
-                payloads.append(None if kind != "response" else dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payloads, pa.binary()), batch.column(5)], names=["page_id", "type", "refers_to", "payload_digest", "payload", "complete"])
+            payloads = [opened(kind, block or b"")[1] for kind, block in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payloads, pa.binary()), batch.column(5)], names=names)
 
-    return whole.unionByName(joined).filter("type IN ('response', 'revisit')").mapInArrow(run, "page_id bigint, type string, refers_to bigint, payload_digest string, payload binary, complete boolean")
+    decoded = joined.filter("type IN ('response', 'revisit')").mapInArrow(run, "page_id bigint, type string, refers_to bigint, payload_digest string, payload binary, complete boolean")
+    return whole.unionByName(decoded)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,19 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(str(target))
     context._archgraph_shipped = True
+
+
+#: Rows that a scan of long texts decodes at once: Spark's 4,096 are one array of all their bytes, which grows by doubling.
+SCAN_ROWS = 128
+
+
+@contextlib.contextmanager
+def short_scans(spark: SparkSession) -> Iterator[None]:
+    """Parquet scans that run inside decode SCAN_ROWS rows at once, so that an executor's heap follows long texts less; then the session is as before."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(SCAN_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

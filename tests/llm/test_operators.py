@@ -14,6 +14,7 @@ import xxhash
 import zstandard
 from archgraph.llm import boosting, chat, covering, language, lempelziv, linechain, packing, piecewise, warc
 from archgraph.llm.common import Words, phrase, text_chunks
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, extra int"
@@ -490,6 +491,40 @@ def test_warc_keeps_a_record_of_each_row(spark, tmp_path):
     assert {(i, r["payload_bytes"], r["record_type"]) for (i, _), r in got.items()} == {(1, 30, "revisit"), (2, 30, "response"), (2, 500, "response")}
 
 
+def python_in_one_stage(plan, above=0):
+    """The most Python operators in a row of a physical plan, without an aggregate between them."""
+    name = plan.nodeName()
+    here = 0 if "Aggregate" in name else above + (name == "MapInArrow")
+    return max([here, *(python_in_one_stage(plan.children().apply(k), here) for k in range(plan.children().size()))])
+
+
+def test_warc_bytes_pass_one_python_worker_at_a_time(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a" * 30), (2, "u", "b" * 2500), (3, "u", "a" * 30)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"), segment_bytes=1000)
+    read = warc.read_records(spark, str(tmp_path / "w"))
+    back = warc.reassembled(read)
+    assert python_in_one_stage(back._jdf.queryExecution().sparkPlan()) == 1
+    assert {(r["page_id"], bytes(r["payload"] or b"").decode()) for r in back.collect()} == {(1, ""), (2, "b" * 2500), (3, "a" * 30)}
+    heads = {(r["page_id"], r["segment"]): bytes(r["block"]) for r in read.filter("segment < 2").collect()}
+    assert all(h.startswith(b"HTTP/1.1 200 OK\r\n") for h in heads.values()) and heads.keys() == {(1, 0), (2, 1), (3, 0)}
+    assert heads[3, 0].endswith(b"\r\n\r\n")
+    broken = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"
+    assert warc.opened("response", broken) == (broken, None)
+
+
+def test_warc_scans_long_pages_in_short_batches(spark, tmp_path, monkeypatch):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before, seen, text = spark.conf.get(key), [], DataFrameWriter.text
+    spark.createDataFrame([(i, "u", "x" * 50) for i in range(300)], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **b: (seen.append(int(spark.conf.get(key))), text(self, *a, **b))[1])
+    assert warc.round_trip(spark.read.parquet(str(tmp_path / "p"))).filter("complete").count() == 300
+    assert seen and max(seen) <= 128 and spark.conf.get(key) == before
+    with pytest.raises(Exception, match="(?i)already exists"):
+        (tmp_path / "there").mkdir()
+        warc.write(spark.range(0).selectExpr("id AS page_id", "'u' AS url", "'' AS html"), str(tmp_path / "there"))
+    assert spark.conf.get(key) == before
+
+
 def test_chunked_framing():
     for payload in (b"", b"abc", b"\r\n" * 3000):
         assert warc.dechunked(warc.chunked(payload, 7)) == payload
