@@ -145,13 +145,17 @@ def project_of_url(projects: DataFrame, clone_url: str, html_url: str) -> DataFr
 def displayed_target(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(call_id, endpoint_id, rule): where a call is drawn to: its stored path with its verb, else its stored path, else an endpoint with its last segment.
 
-    calls (call_id, verb, target_path, url); endpoints (endpoint_id, verb, path). The first rule that hits counts, then the least id.
+    calls (call_id, verb, target_path, url); endpoints (endpoint_id, verb, path). The first rule that hits counts, then the least id. Only the
+    least endpoint of a path with a verb, of a path and of a segment can win, so each call meets one row for each rule, however many share its segment.
     """
     last = lambda c: F.coalesce(F.try_element_at(segments(F.col(c)), F.lit(-1)), F.lit(""))
     left = calls.select("call_id", F.upper("verb").alias("v"), "target_path", F.when(~last("url").contains("{"), F.nullif(last("url"), F.lit(""))).alias("segment"))
     right = endpoints.select("endpoint_id", F.upper("verb").alias("w"), "path")
-    stored = left.join(right, left.target_path == right.path).select("call_id", "endpoint_id", F.when(F.col("v") == F.col("w"), 0).otherwise(1).alias("rule"))
-    parts = right.select("endpoint_id", F.explode(F.array_distinct(segments(F.col("path")))).alias("segment"))
-    contained = left.join(parts, "segment").select("call_id", "endpoint_id", F.lit(2).alias("rule"))
-    best = stored.unionByName(contained).groupBy("call_id").agg(F.min(F.struct("rule", "endpoint_id")).alias("b"))
+    least = F.min("endpoint_id").alias("endpoint_id")
+    spoken = right.groupBy(F.col("path").alias("target_path"), F.col("w").alias("v")).agg(least)
+    stored = right.groupBy(F.col("path").alias("target_path")).agg(least)
+    parts = right.select("endpoint_id", F.explode(F.array_distinct(segments(F.col("path")))).alias("segment")).groupBy("segment").agg(least)
+    met = lambda found, keys, rule: left.join(found, keys).select("call_id", "endpoint_id", F.lit(rule).alias("rule"))
+    hits = met(spoken, ["target_path", "v"], 0).unionByName(met(stored, ["target_path"], 1)).unionByName(met(parts, ["segment"], 2))
+    best = hits.groupBy("call_id").agg(F.min(F.struct("rule", "endpoint_id")).alias("b"))
     return best.select("call_id", "b.endpoint_id", "b.rule")
