@@ -2,7 +2,7 @@
 
 import random
 
-from archgraph.operators import resolve
+from archgraph.operators import resolve, substrings
 from pyspark.sql import functions as F
 from tests.plans import rows_made
 
@@ -30,3 +30,22 @@ def test_displayed_targets_equal_all_pairs(spark):
             want[c] = min(hits)
     got = resolve.displayed_target(spark.createDataFrame(calls, "call_id long, verb string, target_path string, url string"), spark.createDataFrame(ends, "endpoint_id long, verb string, path string"))
     assert {r["call_id"]: (r["rule"], r["endpoint_id"]) for r in got.collect()} == want and {0, 1, 2} == {rule for rule, _ in want.values()}
+
+
+def test_grams_of_texts_do_not_go_through_the_driver(spark, tmp_path):
+    # Read from files, so that the planner takes what is exploded for small.
+    spark.range(3_000).select("id", F.concat(F.lit("com.shop.Service"), "id", F.lit(".run()")).alias("text")).write.parquet(str(tmp_path / "texts"))
+    spark.range(40).select(F.concat(F.lit("Service"), F.col("id") * 50).alias("name")).write.parquet(str(tmp_path / "names"))
+    found = substrings.containing(spark.read.parquet(str(tmp_path / "texts")), "text", spark.read.parquet(str(tmp_path / "names")), "name")
+    assert rows_made(found, "BroadcastExchange") <= 500
+    assert {r["name"] for r in found.filter("id = 1500").collect()} == {"Service150", "Service1500"}
+
+
+def test_grams_too_many_to_broadcast_are_merged(spark, monkeypatch):
+    texts = [(i, f"t{i}.{i * 7}") for i in range(200)]
+    names = sorted({f"{i}." for i in range(30)} | {"t1", "99", "."})
+    frames = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    monkeypatch.setattr(substrings, "FEW_GRAMS", 0)
+    got = substrings.containing(frames[0], "text", frames[1], "name")
+    assert rows_made(got, "BroadcastExchange") == 0
+    assert sorted((r["id"], r["name"]) for r in got.collect()) == sorted((i, n) for i, t in texts for n in names if n in t)
