@@ -23,10 +23,16 @@ def applications(types: DataFrame) -> DataFrame:
 
 
 def scoped(types: DataFrame, apps: DataFrame) -> DataFrame:
-    """Types with each application whose base package theirs begins with; an empty base takes all. Packages are exploded into their beginnings and joined by equality."""
-    n = F.length(F.coalesce("package_name", F.lit("")))
-    beginnings = types.withColumn("__k", F.explode(F.sequence(F.lit(0), n))).withColumn("base_package", F.substring(F.coalesce("package_name", F.lit("")), F.lit(1), F.col("__k"))).drop("__k")
-    return beginnings.join(apps.select("app_key", "base_package"), "base_package").drop("base_package")
+    """Types with each application whose base package theirs begins with; an empty base takes all.
+
+    Packages are exploded into their beginnings of those lengths that base packages have, and joined by equality. The join is a merge: an exploded
+    side looks small to the planner, which would send it through the driver.
+    """
+    lengths = apps.agg(F.collect_set(F.length("base_package")).alias("__lengths"))
+    package = F.coalesce("package_name", F.lit(""))
+    long_enough = types.crossJoin(F.broadcast(lengths)).withColumn("__k", F.explode(F.filter("__lengths", lambda k: k <= F.length(package))))
+    beginnings = long_enough.withColumn("base_package", F.substring(package, F.lit(1), F.col("__k"))).drop("__k", "__lengths")
+    return beginnings.join(apps.select("app_key", "base_package").hint("merge"), "base_package").drop("base_package")
 
 
 def classified(types: DataFrame) -> DataFrame:

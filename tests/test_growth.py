@@ -2,7 +2,7 @@
 
 import random
 
-from archgraph.operators import resolve, substrings
+from archgraph.operators import build, resolve, substrings
 from pyspark.sql import functions as F
 from tests.plans import rows_made
 
@@ -49,3 +49,19 @@ def test_grams_too_many_to_broadcast_are_merged(spark, monkeypatch):
     got = substrings.containing(frames[0], "text", frames[1], "name")
     assert rows_made(got, "BroadcastExchange") == 0
     assert sorted((r["id"], r["name"]) for r in got.collect()) == sorted((i, n) for i, t in texts for n in names if n in t)
+
+
+def test_beginnings_of_packages_do_not_go_through_the_driver(spark, tmp_path):
+    spark.range(3_000).select("id", F.concat(F.lit("com.shop.p"), F.col("id") % 7, F.lit(".inner")).alias("package_name")).write.parquet(str(tmp_path / "types"))
+    spark.range(7).select(F.concat(F.lit("app"), "id").alias("app_key"), F.concat(F.lit("com.shop.p"), "id").alias("base_package")).write.parquet(str(tmp_path / "apps"))
+    found = build.scoped(spark.read.parquet(str(tmp_path / "types")), spark.read.parquet(str(tmp_path / "apps")))
+    assert rows_made(found, "BroadcastExchange") <= 7 and rows_made(found, "Generate") == 3_000
+    assert found.count() == 3_000 and found.filter("app_key <> concat('app', id % 7)").isEmpty()
+
+
+def test_scoping_equals_all_pairs(spark):
+    types = [(k, p) for k, p in enumerate(["a.b", "a.bc", "a", "", None, "x.y", "a.b.c", "é.b"])]
+    apps = [("all", ""), ("none", None), ("a", "a"), ("ab", "a.b"), ("ab2", "a.b"), ("e", "é."), ("long", "a.b.c.d.e.f")]
+    got = build.scoped(spark.createDataFrame(types, "id long, package_name string"), spark.createDataFrame(apps, "app_key string, base_package string"))
+    assert sorted((r["id"], r["app_key"]) for r in got.collect()) == sorted((k, a) for k, p in types for a, b in apps if b is not None and (p or "").startswith(b))
+    assert build.scoped(spark.createDataFrame(types, "id long, package_name string"), spark.createDataFrame([], "app_key string, base_package string")).isEmpty()
