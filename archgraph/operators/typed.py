@@ -117,7 +117,7 @@ class Hierarchy:
         marked = self.types.select(F.col("type_id").alias("sub"), "form", "place", F.exists("annotations", lambda a: a["annotation"].isin("Service", "Component", "Repository", "RestController", "Controller", "Configuration")).alias("managed"))
         concrete = self.closed.filter("distance > 0").join(marked, "sub").filter("form <> 'interface'")
         #: (type, implementation): the first class below a type, managed ones before others.
-        self.implementation = concrete.groupBy(F.col("super").alias("type_id")).agg(F.min_by("sub", F.struct(~F.col("managed"), "place")).alias("implementation"))
+        self.implementation = written(concrete.groupBy(F.col("super").alias("type_id")).agg(F.min_by("sub", F.struct(~F.col("managed"), "place")).alias("implementation")), "implementation")
 
     def definers(self, asked: DataFrame) -> DataFrame:
         """(call_id, callee, result): of the methods of the called name that the call's types have or inherit, the first by: alternative, body or not, number of parameters, nearness.
@@ -130,9 +130,11 @@ class Hierarchy:
         order = F.struct("alternative", (F.col("takes") != F.col("arity")).alias("other"), "distance", "way", "place", "method_id", "result", "result_name")
         return hit.groupBy("call_id").agg(F.min(order).alias("v")).select("call_id", F.col("v.method_id").alias("callee"), "v.result", "v.result_name")
 
-    def resolved(self, rows: DataFrame) -> DataFrame:
+    def resolved(self, rows: DataFrame, names: bool = True) -> DataFrame:
         """(call_id, caller, member, argument, receiver_type name, chain, depth, callee) of all calls; the callee is null where nothing of the project is called.
 
+        Without `names` the receivers' types are left out, which takes a join less.
+
         A field or variable means its declared type; a type without a body for the method, its first implementation below. What is known
         by no type at all (neither field, variable nor type) is the only method of its name in the project, if there is just one.
         """
@@ -175,8 +177,11 @@ class Hierarchy:
         for step in steps[1:]:
             every = every.unionByName(step)
         told = every.select("call_id", "callee", "result_name")
-        names = direct.select("call_id", "type_name").unionByName(later.join(told.withColumnRenamed("call_id", "call_id_on"), "call_id_on").select("call_id", F.col("result_name").alias("type_name")))
-        return calls.join(told.drop("result_name"), "call_id", "left").join(names, "call_id", "left").select("call_id", "caller", "own", "through", "member", "argument", "receiver", F.col("type_name").alias("receiver_type"), "chain", "depth", "arity", "callee")
+        known = calls.join(told.drop("result_name"), "call_id", "left")
+        if not names:
+            return known.select("call_id", "caller", "own", "through", "member", "argument", "receiver", "chain", "depth", "arity", "callee")
+        called_on = direct.select("call_id", "type_name").unionByName(later.join(told.withColumnRenamed("call_id", "call_id_on"), "call_id_on").select("call_id", F.col("result_name").alias("type_name")))
+        return known.join(called_on, "call_id", "left").select("call_id", "caller", "own", "through", "member", "argument", "receiver", F.col("type_name").alias("receiver_type"), "chain", "depth", "arity", "callee")
 
     def of_types(self, asked: DataFrame) -> DataFrame:
         """`definers` of calls on types (call_id, type_id, member, arity, beyond, outer): what the type has with a body, else what its implementation has, else what it declares."""
@@ -185,8 +190,9 @@ class Hierarchy:
         # An interface that the framework implements (repositories, clients) stands for itself; any other for its first implementation.
         stands = (F.col("form") != "interface") | F.coalesce("speaks", F.lit(False)) | F.col("implementation").isNull() | (F.col("beyond") == 1)
         choices = F.when(stands, F.array(F.col("type_id"))).otherwise(F.array("implementation", "type_id"))
-        asked = rows.select("call_id", "member", "arity", "beyond", "outer", F.posexplode(choices).alias("choice", "type_id")).withColumn("alternative", 2 * F.col("outer") + F.col("choice"))
-        found = self.definers(asked)
+        # Both are read twice; as plans they would be made twice.
+        asked = written(rows.select("call_id", "member", "arity", "beyond", "outer", F.posexplode(choices).alias("choice", "type_id")).withColumn("alternative", 2 * F.col("outer") + F.col("choice")), "asked")
+        found = written(self.definers(asked), "found")
         # A method without a body of an abstract class means the first class below that has one.
         bodies = self.methods.select(F.col("method_id").alias("callee"), "has_body", F.col("type_id").alias("abstract"))
         told = found.join(bodies, "callee")

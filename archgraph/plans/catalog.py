@@ -1015,10 +1015,13 @@ def body_types(spark, d):
 #: A forest of classes, one for each part: k extends k / 3 unless 5 divides k, has m0 to m3 with no or one parameter by a rule of k, and a field of the class k / 2 + 1.
 #: Each declares a nested class of the same name, and run() calls through the field, results, a variable, itself and its superclass.
 DECLARES = "(k * 3 + j * 5 + a * 7 + s) % 4 = 0"
+#: How many sources a task parses at most, or so: the table of which they are made is far smaller than they, so its files are few tasks.
+SOURCES_PER_TASK = 5_000
 
 
 def class_sources(spark: SparkSession, d: str) -> DataFrame:
     part = views.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    part = part.repartition(part.count() // SOURCES_PER_TASK + 1, "k")
     put = lambda text, **v: functools.reduce(lambda t, kv: F.replace(t, F.lit("%" + kv[0]), F.expr(kv[1]).cast("string")), v.items(), F.lit(text))
     methods = [
         F.when(F.expr(DECLARES.replace("j", str(j)).replace("a", str(a))), put(f"C%r m{j}({'int x' if a else ''}) {{ }}\n", r=f"(k + {j} + {a} + 1) div 2")).otherwise("") for j in range(4) for a in (0, 1)
@@ -1059,7 +1062,7 @@ def typed_calls(spark, d):
     """Every call of generated classes that differ, through fields, results, variables and what is inherited."""
     rows = written(extract.java_staging(class_sources(spark, d)), "staging")
     project = typed.Hierarchy(rows)
-    calls = project.resolved(rows).filter("callee IS NOT NULL")
+    calls = project.resolved(rows, names=False).filter("callee IS NOT NULL")
     named = project.methods.select("method_id", F.concat("type_id", F.lit("."), "name", F.lit("/"), F.col("arity").cast("string")).alias("method"), "type_id", "name")
     caller = named.select(F.col("method_id").alias("caller_id"), F.regexp_replace("type_id", r"\.Inner$", "").alias("class"), F.when(F.col("type_id").endswith(".Inner"), F.concat(F.lit("Inner."), "name")).otherwise(F.col("name")).alias("caller"))
     callee = named.select(F.col("method_id").alias("callee"), F.col("method").alias("called"))

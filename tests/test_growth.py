@@ -3,6 +3,8 @@
 import random
 
 from archgraph.operators import build, resolve, substrings
+from archgraph.plans import catalog
+from archgraph.sources import extract
 from pyspark.sql import functions as F
 from tests.plans import rows_made
 
@@ -65,3 +67,17 @@ def test_scoping_equals_all_pairs(spark):
     got = build.scoped(spark.createDataFrame(types, "id long, package_name string"), spark.createDataFrame(apps, "app_key string, base_package string"))
     assert sorted((r["id"], r["app_key"]) for r in got.collect()) == sorted((k, a) for k, p in types for a, b in apps if b is not None and (p or "").startswith(b))
     assert build.scoped(spark.createDataFrame(types, "id long, package_name string"), spark.createDataFrame([], "app_key string, base_package string")).isEmpty()
+
+
+def test_sources_made_from_a_small_table_are_dealt_out(spark, tmp_path):
+    many = 2 * catalog.SOURCES_PER_TASK + 1
+    spark.range(many).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = catalog.class_sources(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 3 and made.select("path").distinct().count() == many
+
+
+def test_braces_and_brackets_of_a_source():
+    source = extract.Source('class A { int f = g(")"); void m() { if (x) { y(); } } class B { } }')
+    assert [source.depth(k) for k in (0, 10, 38, 46, len(source.plain))] == [0, 1, 2, 3, 0]
+    assert source.closed(9) == len(source.plain) - 1 and source.plain[source.closed(source.plain.index("m()") + 5)] == "}"
+    assert extract.cut_outside("f(a, ',', \"x,\\\"\"), b", 0, ",") == 17 and extract.split_flow(" ") == [] and extract.split_flow(" a ") == ["a"]
