@@ -32,6 +32,18 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return table
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted as soon as it is written, not when the driver collects its garbage; then the session is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that `shared_folder` named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,8 +1,9 @@
 """Rows that joins make and that go through the driver do not grow with pairs or with what is exploded."""
 
 import random
+import time
 
-from archgraph.operators import build, resolve, substrings
+from archgraph.operators import build, rebuild, resolve, substrings
 from archgraph.plans import catalog
 from archgraph.sources import extract
 from pyspark.sql import functions as F
@@ -81,3 +82,32 @@ def test_braces_and_brackets_of_a_source():
     assert [source.depth(k) for k in (0, 10, 38, 46, len(source.plain))] == [0, 1, 2, 3, 0]
     assert source.closed(9) == len(source.plain) - 1 and source.plain[source.closed(source.plain.index("m()") + 5)] == "}"
     assert extract.cut_outside("f(a, ',', \"x,\\\"\"), b", 0, ",") == 17 and extract.split_flow(" ") == [] and extract.split_flow(" a ") == ["a"]
+
+
+def test_deleting_reads_nodes_and_edges_once_and_leaves_no_shuffle_files(spark, tmp_path):
+    rnd = random.Random(5)
+    nodes = [(f"n{k}", rnd.choice(["A", "B", None, None])) for k in range(120)]
+    edges = [(f"n{rnd.randrange(125)}", f"n{rnd.randrange(125)}", rnd.choice("XY")) for _ in range(140)]
+    spark.createDataFrame(nodes, "id string, app_key string").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame(edges, "src string, dst string, type string").write.parquet(str(tmp_path / "edges"))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f.getName() for f in iter_java(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, was = names(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept, links = rebuild.without_applications(spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "edges")), spark.createDataFrame([("A",)], "app_key string"))
+    # Files go a moment after the write that made them.
+    for _ in range(50):
+        if not (left := names() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    assert not any(str(tmp_path) in f for f in kept.inputFiles() + links.inputFiles())
+    stay = {i for i, a in nodes if a == "B"}
+    there = {i for i, a in nodes if a != "A"}
+    while more := {d for s, d, _ in edges if s in stay and d in there} - stay:
+        stay |= more
+    assert {r["id"] for r in kept.collect()} == stay
+    assert sorted(tuple(r) for r in links.collect()) == sorted(e for e in edges if e[0] in stay and e[1] in stay)
+
+
+def iter_java(items):
+    return [items.apply(k) for k in range(items.size())]
